@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from .rules import Rule
@@ -129,7 +130,7 @@ class Registry:
         return out
 
 
-@F.udtf(returnType="name string, version string")
+@F.udtf(returnType=T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType())]))
 class ParseRequirements:
     """Table function over the text of a requirements file, for SQL."""
 
