@@ -15,7 +15,7 @@ NPM = "packages map<string, struct<version: string, dev: boolean, hasInstallScri
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path and content of every text file below a folder."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_binaries(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _npm(files: DataFrame) -> DataFrame:
     """v2 and v3 from the packages map but its root; v1 from dependencies and those below them."""
     j = files.select("path", F.from_json("content", NPM).alias("j"))
     new = j.filter("j.packages is not null").select("path", F.explode("j.packages").alias("key", "p")).filter("key <> ''")
-    new = new.select("path", F.regexp_extract("key", r"(?:^|.*/)node_modules/(.+)$", 1).alias("name"), "p.version", F.coalesce("p.dev", F.lit(False)).alias("dev"))
+    new = new.select("path", F.regexp_extract("key", r"^(?:.*/)?node_modules/(.+)$", 1).alias("name"), "p.version", F.coalesce("p.dev", F.lit(False)).alias("dev"))
     old = j.filter("j.packages is null").select("path", F.explode("j.dependencies").alias("name", "d"))
     below = old.select("path", F.explode("d.dependencies").alias("name", "e")).select("path", "name", "e.version", F.coalesce("e.dev", F.lit(False)).alias("dev"))
     return new.unionByName(old.select("path", "name", "d.version", F.coalesce("d.dev", F.lit(False)).alias("dev"))).unionByName(below).filter("name <> ''")
@@ -93,12 +93,18 @@ def wheel_headers(files: DataFrame) -> DataFrame:
     return pairs.groupBy("path", "key").agg(F.transform(F.array_sort(F.collect_list("v")), lambda x: x["value"]).alias("values"))  # headers of one file
 
 
+def header_values(content: Column, key: str) -> Column:
+    """The values of a header in the order of its lines, without what follows a blank line."""
+    head = F.get(F.split(content, r"\r?\n\r?\n"), F.lit(0))
+    return F.regexp_extract_all(head, F.lit(rf"(?im)^{key}:[ \t]*([^\r\n]*?)[ \t]*$"), F.lit(1))
+
+
 def wheel_metadata(files: DataFrame) -> DataFrame:
     """One row per wheel (its .dist-info folder): name, version, tags, generator and requirements."""
-    h = wheel_headers(files.filter(F.col("path").rlike(r"\.dist-info/(WHEEL|METADATA)$"))).withColumn("wheel", F.regexp_extract("path", r"([^/]+)\.dist-info/", 1))
-    one = lambda k: F.max(F.when(F.col("key") == k, F.get("values", F.lit(0))))
-    many = lambda k: F.coalesce(F.max(F.when(F.col("key") == k, F.col("values"))), F.array().cast("array<string>"))
-    return h.groupBy("wheel").agg(one("name").alias("name"), one("version").alias("version"), one("generator").alias("generator"), many("tag").alias("tags"), (one("root-is-purelib") == "true").alias("pure"), F.transform(many("requires-dist"), S.required_name).alias("requires"))
+    own = files.filter(F.col("path").rlike(r"\.dist-info/(WHEEL|METADATA)$")).withColumn("wheel", F.regexp_extract("path", r"([^/]+)\.dist-info/", 1))
+    many = lambda k: F.coalesce(F.max(F.when(F.size(header_values(F.col("content"), k)) > 0, header_values(F.col("content"), k))), F.array().cast("array<string>"))
+    one = lambda k: F.get(many(k), F.lit(0))
+    return own.groupBy("wheel").agg(one("Name").alias("name"), one("Version").alias("version"), one("Generator").alias("generator"), many("Tag").alias("tags"), (F.lower(one("Root-Is-Purelib")) == "true").alias("pure"), F.transform(many("Requires-Dist"), S.required_name).alias("requires"))
 
 
 def record_entries(files: DataFrame) -> DataFrame:

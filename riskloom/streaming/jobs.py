@@ -25,6 +25,7 @@ def kpi_windows(events: DataFrame, length: str = "1 day", slide: str | None = No
     w = F.window("timestamp", length, slide or length)
     return (
         events.filter("not demo")
+        .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         .withWatermark("timestamp", late)
         .groupBy(w)
         .agg(F.count_if(done).alias("scans"), F.count_if(F.col("type") == "scan_failed").alias("failed"), F.expr("approx_percentile(CASE WHEN type = 'scan_completed' THEN duration_ms END, 0.95)").alias("p95"), F.approx_count_distinct("org_id").alias("orgs"))
