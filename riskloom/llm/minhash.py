@@ -6,7 +6,7 @@ first filled bin in a fixed random order of its own.  BANDS bands of ROWS bins b
 
 Copies (equal shingle sets) are one node.  In a round, each bucket's centre is compared with the members of other
 components only, which is a star; links are confirmed on the full sets, components are contracted, buckets that lie
-within one component are done, and the compared centres leave.  The rounds go on, with twice the centres each time,
+within one component are done, and the compared centres leave.  The rounds go on, with more centres each time,
 until no bucket is left, so that no candidate pair between components goes unchecked although a linked group of n
 copies costs n comparisons.
 
@@ -31,7 +31,7 @@ from .common import saved, small_side, text_key
 from .graph import components
 from .tokens import mix, shingle_set
 
-BINS, BANDS, ROWS, SHINGLE, PERCENT = 128, 32, 4, 5, 75
+BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES = 128, 32, 4, 5, 75, 32
 #: Each bin's own random order of all bins, itself first.
 ORDER = np.stack([np.concatenate(([i], np.random.default_rng(977 + i).permutation(np.delete(np.arange(BINS), i)))) for i in range(BINS)])
 _WEIGHT = np.random.default_rng(5).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,39 +75,51 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have at least PERCENT of their union in common."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    sized = pairs.join(left.drop("ia").hint("merge"), "a").join(right.drop("ib").hint("merge"), "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    both = sized.join(left.drop("na").hint("merge"), "a").join(right.drop("nb").hint("merge"), "b")
-    common = F.size(F.array_intersect("ia", "ib"))
-    return both.withColumn("common", common).filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")).hint("merge")
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib")).hint("merge")
+    possible = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    common = F.when(possible, F.size(F.array_intersect("ia", "ib"))).otherwise(0)
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
+    return both.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def pairs_of(star: DataFrame) -> DataFrame:
+    return star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after further links, by the components of the labels that they connect."""
+    known = labels.hint("merge")
+    ends = links.join(known.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(known.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
+    ends = saved(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    merged = saved(components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+    fresh = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("lb").alias("label")))
+    every = labels.unionByName(fresh).distinct()
+    return saved(every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def star_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """node and label of the linked nodes in buckets (h, node); None if there are none."""
-    labels = links = checked = None
-    rest, turn = buckets.withColumn("label", F.col("node")), 0
+    """node and label of the linked nodes in buckets (h, centre, node); None if there are no buckets.
+
+    The first round's centre is each bucket's least node; later ones have CENTRES centres and eight times as many each
+    time, in buckets that hold more than one component.
+    """
+    if buckets.isEmpty():
+        return None
+    links = saved(linked(pairs_of(buckets.filter("node <> centre").withColumnRenamed("centre", "c")), sets))
+    labels = saved(components(links))
+    rest, many = buckets.filter("node <> centre").select("h", "node"), CENTRES
+    in_bucket = Window.partitionBy("h")
     while True:
-        if labels is not None:
-            rest = rest.drop("label").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("centre")).filter("lo < hi").select("h", "centre")
-        rest = saved(rest.join(open_.hint("merge"), "h"))
+        rest = rest.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = rest.withColumns({"lo": F.min("label").over(in_bucket), "hi": F.max("label").over(in_bucket), "i": F.row_number().over(in_bucket.orderBy("node"))})
+        rest = saved(rest.filter("lo < hi").select("h", "node", "label", "i"))
         if rest.isEmpty():
             return labels
-        if turn == 0:
-            centres = rest.filter("node = centre").select("h", F.col("node").alias("c"), F.col("label").alias("cl"))
-        else:
-            order = Window.partitionBy("h").orderBy("node")
-            centres = saved(rest.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= 2**turn).select("h", F.col("node").alias("c"), F.col("label").alias("cl")))
+        centres = rest.filter(F.col("i") <= many).select("h", F.col("node").alias("c"), F.col("label").alias("cl"))
         star = rest.join(centres.hint("merge"), "h").filter("label <> cl")
-        pairs = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        pairs = saved(pairs if checked is None else pairs.join(checked.hint("merge"), ["a", "b"], "left_anti"))
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        new = saved(linked(pairs, sets))
-        links = new if links is None else links.unionByName(new)
-        labels = saved(components(links))
-        rest = rest.drop("centre").join(centres.select("h", F.col("c").alias("node")).hint("merge"), ["h", "node"], "left_anti")
-        turn += 1
+        labels = relabelled(labels, saved(linked(pairs_of(star), sets)))
+        rest, many = rest.filter(F.col("i") > many).select("h", "node"), many * 8
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -117,8 +129,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
     classes = saved(signed.filter("node is not null").groupBy("node").agg(own).select("node", F.col("r.doc_id").alias("cid"), "r.k1", "r.k2"))
     each = signed.filter("node is not null").select("node", F.explode("bands").alias("h"))
-    shared = each.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("h")
-    buckets = saved(each.join(small_side(saved(shared)), "h").select("h", "node").distinct())
+    shared = each.groupBy("h").agg(F.min("node").alias("centre"), F.max("node").alias("hi")).filter("centre < hi").select("h", "centre")
+    buckets = saved(each.join(small_side(saved(shared)), "h").select("h", "centre", "node").distinct())
     reps = saved(classes.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi"))
     by_text = small_side(reps.select("node", F.col("cid"), F.col("k1").alias("r1"), F.col("k2").alias("r2")))
     chosen = keyed.join(by_text, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("cid"))).select("node", "text").dropDuplicates(["node"])

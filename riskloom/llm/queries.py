@@ -66,4 +66,31 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_main_text, op3_decontaminate, op4_best_fit, op5_pii, op6_near_vectors, op7_substring_dedup, op8_role_repair, op9_near_duplicates, op10_language)}
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS3 = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WORDS9 = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+')"
+_REACH = "r(node, other) AS (SELECT {0}, {0} FROM {1} UNION SELECT r.node, l.b FROM r JOIN links l ON l.a = r.other)"
+
+#: What the results are in SQL, by comparing everything.
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS3} AS w FROM documents), i AS (SELECT item_id, {_WORDS3} AS w FROM benchmark),
+  iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+  dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+  h AS (SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON iw.n = dw.n AND iw.win = dw.win),
+  hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY 1),
+  its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT cast(item_id AS varchar), ',' ORDER BY cast(item_id AS varchar))) AS s FROM h GROUP BY 1)
+  SELECT d.doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    "op6_near_vectors": f"""WITH RECURSIVE v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9), {_REACH.format('vec_id', 'v')},
+  c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+  SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN c ON c.node = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = v.vec_id""",
+    "op9_near_duplicates": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS9} AS w FROM documents),
+  g AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + k - 1], ' ') AS x FROM (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), {_REACH.format('doc_id', 'd')},
+  c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
