@@ -25,20 +25,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """All (graph_id, src, dst) with a way of one edge or more; from the given (graph_id, node) only, if any.
 
-    From roots, a frontier is followed edge by edge; without, ways are doubled each round.
+    Only ways found in the last round are prolonged, by one edge, so each way is joined once.
     """
-    e = edges.select("graph_id", "src", "dst").distinct()
-    if roots is None:
-        found = checkpointed(e)
-        n = found.count()
-        while True:
-            longer = found.alias("a").join(found.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("end")), ["graph_id", "dst"]).select("graph_id", "src", F.col("end").alias("dst"))
-            found = checkpointed(found.unionByName(longer).distinct())
-            before, n = n, found.count()
-            if before == n:
-                return found
-    start = roots.select("graph_id", F.col("node").alias("src"))
-    found = front = checkpointed(start.join(e, ["graph_id", "src"]).distinct())
+    e = checkpointed(edges.select("graph_id", "src", "dst").distinct())
+    start = e if roots is None else roots.select("graph_id", F.col("node").alias("src")).join(e, ["graph_id", "src"]).distinct()
+    found = front = checkpointed(start)
     while not front.isEmpty():
         step = front.join(e.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("next")), ["graph_id", "dst"]).select("graph_id", "src", F.col("next").alias("dst")).distinct()
         front = checkpointed(step.join(found, ["graph_id", "src", "dst"], "left_anti"))
