@@ -4,6 +4,9 @@ One hash of each shingle picks its bin and its value; a bin keeps its least valu
 first filled bin in a fixed random order of its own.  BANDS bands of ROWS bins become buckets.  At a similarity of
 0.75 a pair misses all buckets with a probability of about 5e-6.
 
+Candidates are compared by a sketch first, one bit of each of the BINS values, of which a pair at 0.75 differs in 16
+on average and in more than DIFFER with a probability of about 5e-6; the rest are confirmed on the full sets.
+
 Copies (equal shingle sets) are one node.  In a round, each bucket's centre is compared with the members of other
 components only, which is a star; links are confirmed on the full sets, components are contracted, buckets that lie
 within one component are done, and the compared centres leave.  The rounds go on, with more centres each time,
@@ -24,16 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small_side, text_key
 from .graph import components
 from .tokens import mix, shingle_set
 
-BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES = 128, 32, 4, 5, 75, 32
+BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES, DIFFER = 128, 32, 4, 5, 75, 8, 34
 #: Each bin's own random order of all bins, itself first.
 ORDER = np.stack([np.concatenate(([i], np.random.default_rng(977 + i).permutation(np.delete(np.arange(BINS), i)))) for i in range(BINS)])
+_BIN = np.arange(BINS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 _WEIGHT = np.random.default_rng(5).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -47,22 +51,32 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return value[ORDER[np.arange(BINS), filled[ORDER].argmax(axis=1)]]
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket for each band."""
-    total = (signature(hashes).reshape(BANDS, ROWS) * _WEIGHT).sum(axis=1, dtype=np.uint64)
+def bands(values: np.ndarray) -> np.ndarray:
+    """One 64-bit bucket for each band of a signature."""
+    total = (values.reshape(BANDS, ROWS) * _WEIGHT).sum(axis=1, dtype=np.uint64)
     return mix(total + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """A bit of each value of a signature, which depends on its bin, as two 64-bit numbers."""
+    bits = mix(values + _BIN) & np.uint64(1)
+    return (bits.reshape(2, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, node, rows = [], [], []
+        n, node, rows, s1, s2 = [], [], [], [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py(), SHINGLE)
             n.append(len(s))
             node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-            rows.append(bands(s) if len(s) else None)
+            values = signature(s) if len(s) else None
+            rows.append(bands(values) if len(s) else None)
+            a, b = sketch(values).tolist() if len(s) else (None, None)
+            s1.append(a)
+            s2.append(b)
         keep = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=[*keep, "n_shingles", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=[*keep, "n_shingles", "node", "bands", "s1", "s2"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +97,11 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def alike(c1: str, c2: str) -> Column:
+    """Whether a node (s1, s2, n) and a centre may be linked, by their sketches."""
+    return F.bit_count(F.col("s1").bitwiseXOR(F.col(c1))) + F.bit_count(F.col("s2").bitwiseXOR(F.col(c2))) <= DIFFER
+
+
 def pairs_of(star: DataFrame) -> DataFrame:
     return star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
@@ -99,38 +118,41 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def star_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """node and label of the linked nodes in buckets (h, centre, node); None if there are no buckets.
+    """node and label of the linked nodes in buckets (h, centre, node, s1, s2); None if there are no buckets.
 
     The first round's centre is each bucket's least node; later ones have CENTRES centres and eight times as many each
     time, in buckets that hold more than one component.
     """
     if buckets.isEmpty():
         return None
-    links = saved(linked(pairs_of(buckets.filter("node <> centre").withColumnRenamed("centre", "c")), sets))
+    first = buckets.filter("node = centre").select("h", F.col("node").alias("c"), F.col("s1").alias("c1"), F.col("s2").alias("c2"))
+    star = buckets.filter("node <> centre").join(first.hint("merge"), "h").filter(alike("c1", "c2"))
+    links = saved(linked(pairs_of(star), sets))
     labels = saved(components(links))
-    rest, many = buckets.filter("node <> centre").select("h", "node"), CENTRES
+    rest, many = buckets.filter("node <> centre").select("h", "node", "s1", "s2"), CENTRES
     in_bucket = Window.partitionBy("h")
     while True:
         rest = rest.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         rest = rest.withColumns({"lo": F.min("label").over(in_bucket), "hi": F.max("label").over(in_bucket), "i": F.row_number().over(in_bucket.orderBy("node"))})
-        rest = saved(rest.filter("lo < hi").select("h", "node", "label", "i"))
+        rest = saved(rest.filter("lo < hi").select("h", "node", "s1", "s2", "label", "i"))
         if rest.isEmpty():
             return labels
-        centres = rest.filter(F.col("i") <= many).select("h", F.col("node").alias("c"), F.col("label").alias("cl"))
-        star = rest.join(centres.hint("merge"), "h").filter("label <> cl")
+        centres = rest.filter(F.col("i") <= many).select("h", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("s1").alias("c1"), F.col("s2").alias("c2"))
+        star = rest.join(centres.hint("merge"), "h").filter("label <> cl").filter(alike("c1", "c2"))
         labels = relabelled(labels, saved(linked(pairs_of(star), sets)))
-        rest, many = rest.filter(F.col("i") > many).select("h", "node"), many * 8
+        rest, many = rest.filter(F.col("i") > many).select("h", "node", "s1", "s2"), many * 8
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (of the text), n_shingles, component_id and kept of every row."""
     keyed = docs.select("doc_id", *text_key(F.col("text")), "text")
-    signed = saved(keyed.mapInArrow(_sign, "doc_id long, k1 long, k2 long, n_shingles long, node long, bands array<long>"))
+    signed = saved(keyed.mapInArrow(_sign, "doc_id long, k1 long, k2 long, n_shingles long, node long, bands array<long>, s1 long, s2 long"))
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
-    classes = saved(signed.filter("node is not null").groupBy("node").agg(own).select("node", F.col("r.doc_id").alias("cid"), "r.k1", "r.k2"))
+    classes = saved(signed.filter("node is not null").groupBy("node").agg(own, F.first("s1").alias("s1"), F.first("s2").alias("s2")).select("node", F.col("r.doc_id").alias("cid"), "r.k1", "r.k2", "s1", "s2"))
     each = signed.filter("node is not null").select("node", F.explode("bands").alias("h"))
     shared = each.groupBy("h").agg(F.min("node").alias("centre"), F.max("node").alias("hi")).filter("centre < hi").select("h", "centre")
-    buckets = saved(each.join(small_side(saved(shared)), "h").select("h", "centre", "node").distinct())
+    found = each.join(small_side(saved(shared)), "h").select("h", "centre", "node").distinct()
+    buckets = saved(found.join(classes.select("node", "s1", "s2").hint("merge"), "node"))
     reps = saved(classes.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi"))
     by_text = small_side(reps.select("node", F.col("cid"), F.col("k1").alias("r1"), F.col("k2").alias("r2")))
     chosen = keyed.join(by_text, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("cid"))).select("node", "text").dropDuplicates(["node"])
@@ -142,7 +164,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = saved(classes.select("node", "cid").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
         least = named.groupBy("label").agg(F.min("cid").alias("component_id"))
         found = named.join(least.hint("merge"), "label").select("node", "component_id")
-    out = signed.drop("bands").join(found.hint("merge"), "node", "left")
+    out = signed.drop("bands", "s1", "s2").join(found.hint("merge"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
