@@ -191,6 +191,21 @@ def test_chunks_resist_insertions():
     assert sum(a[1]) == len(text.encode()) and max(a[1]) <= chunking.MAX
 
 
+def test_chunks_lose_no_passage_of_51_short_words(spark):
+    r, rows, at = random.Random(31), [], {}
+    for k in range(60):
+        passage = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 + k % 4)) for _ in range(51))
+        for i in (2 * k, 2 * k + 1):
+            before, after = (" ".join(f"u{r.randrange(10**9)}" for _ in range(r.randint(3, 60))) for _ in range(2))
+            rows.append((i, f"{before} {passage} {after}"))
+            at[i] = len(before) + 1, len(before) + 1 + len(passage)
+    out = {x.doc_id: x for x in chunking.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (start, end) in at.items():
+        for spans in [out[i].shared, *[out[i].removed] * (i % 2)]:
+            assert len(spans) == 1 and spans[0].start < start + chunking.WINDOW and spans[0].end > end - chunking.WINDOW, i
+        assert i % 2 or not out[i].removed
+
+
 def vectors(n=400, dim=16, seed=1):
     r = np.random.default_rng(seed)
     x = r.standard_normal((n, dim))
