@@ -5,8 +5,9 @@ tags, their class and id words, and its text.  The field is trained on generated
 (TRAIN_PAGES of them) and decoded by Viterbi; the blocks labelled as article are joined by one space.
 
 Defined results: a null or empty page, or one without article blocks, gives the empty text; a page that is plain text
-without tags is one block; unclosed and stray tags are tolerated, an unclosed comment, script or style runs to the
-end; character references decode as in HTML5; nothing is cut by length; repeated rows each get their row; an empty
+without tags is one block; unclosed and stray tags are tolerated: a head ends at the first element or text that cannot
+stand in it, an svg, select, object or the like that is never closed ends at the next block element, and an unclosed
+comment, script or style runs to the end; character references decode as in HTML5; nothing is cut by length; repeated rows each get their row; an empty
 table gives no rows; other columns are carried along.
 """
 
@@ -30,6 +31,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that an opening tag of the same kind closes.
 ALONE = frozenset("p li dt dd option tr td th".split())
+#: What can stand in a head, and what ends an unclosed embedded element; foreign ones end there unless it is in a part that holds HTML.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
+FOREIGN, HOLDS_HTML = frozenset(("svg", "math")), frozenset(("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"))
+EMBEDDED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noscript|template)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)(object|svg|math|select|canvas|audio|video)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*')*+>", re.DOTALL | re.IGNORECASE)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -40,6 +46,20 @@ SENTENCE = re.compile(r"[.!?…。]")
 LABELS, TRAIN_PAGES, EPOCHS, SEED = 2, 300, 15, 17
 
 
+def unclosed(page: str) -> set[int]:
+    """Places of the embedded elements' opening tags that no closing tag belongs to."""
+    opened: dict[str, list[int]] = {}
+    for m in EMBEDDED.finditer(page):
+        if m[3]:
+            places = opened.setdefault(m[3].lower(), [])
+            if not m[2]:
+                if not m[0].endswith("/>"):
+                    places.append(m.start())
+            elif places:
+                places.pop()
+    return {x for places in opened.values() for x in places}
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, features of the ancestors, characters inside links) of the shown leaf blocks."""
     out: list[tuple[str, tuple[str, ...], int]] = []
@@ -47,6 +67,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     text: list[str] = []
     linked, in_link, end = 0, 0, 0
     page = page or ""
+    never_closed, loose = unclosed(page), []
 
     def flush() -> None:
         nonlocal linked
@@ -64,6 +85,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if name is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
+                while stack and stack[-1][0] == "head" and not piece.isspace():
+                    stack.pop()
                 if not any(h for _, _, h in stack[-1:]):
                     text.append(piece)
                     if in_link:
@@ -74,6 +97,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         name = name.lower()
         if name not in INLINE:
             flush()
+        if name not in IN_HEAD and (not m[1] or name in ("body", "html", "br")):
+            while stack and stack[-1][0] == "head":
+                stack.pop()
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -84,6 +110,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             if name == "a" and in_link:
                 in_link -= 1
             continue
+        if name in BLOCKS and stack and stack[-1][2]:
+            for i, (n, _, _) in enumerate(stack):
+                if (i, n) in loose or (n in FOREIGN and not any(x in HOLDS_HTML for x, _, _ in stack[i + 1 :])):
+                    del stack[i:]
+                    break
         if name in VOID or m[3].endswith("/"):
             continue
         if name in RAW:
@@ -104,6 +135,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                     hidden = True
         if name == "a":
             in_link += 1
+        loose = [x for x in loose if x[0] < len(stack)]
+        if m.start() in never_closed:
+            loose.append((len(stack), name))
         stack.append((name, tuple(marks), hidden))
     flush()
     return out

@@ -315,6 +315,21 @@ def test_main_text(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+def test_main_text_behind_unclosed_hidden_elements():
+    shown = lambda page: [t for t, _, _ in html.blocks(page)]
+    field = html.train()
+    assert html.main_text(PAGE.replace("</head>", ""), field) == html.main_text(PAGE, field) != ""
+    assert html.main_text(PAGE.replace("</head><body>", ""), field) == html.main_text(PAGE, field)
+    assert shown("<head><meta charset=x><title>t</title>\n<p>a") == shown("<head><title>t</title>a") == shown("<head></body>a") == ["a"]
+    for name in ("svg", "math", "select", "object", "canvas", "audio", "video"):
+        assert shown(f"<body><div>a</div><{name} x='>'>no<article><p>b</article>c") == ["a", "b", "c"]
+        assert shown(f"<body><{name}>no<article>b</article><{name}>no</{name}>c") == ["b", "c"]
+        assert shown(f"<body>a<{name}>no</{name}>b") == ["a", "b"]
+    assert shown("a<object>no<section>no<object>no</object></section></object>b") == ["a", "b"]
+    assert shown("a<svg><foreignObject><p>no</p></foreignObject></svg>b<svg><p>c</svg>") == ["a", "b", "c"]
+    assert shown("<head><script>'<svg>'</script></head><body>a<!-- <svg> --><svg>no</svg>b") == ["a", "b"]
+
+
 def test_main_text_of_held_out_pages():
     field, r, right, n = html.train(), random.Random(12345), 0, 0
     for _ in range(80):
