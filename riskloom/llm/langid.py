@@ -3,7 +3,8 @@
 Each language has a codeword; one binary classifier per bit (logistic regression on hashed byte n-grams) predicts it.
 Decoding takes the codeword of least loss, each bit weighted by its training margin, and flags ambiguity where the
 runner-up is close.  The classifiers are fitted on about PER_LANGUAGE labelled documents of each language, chosen by a
-hash of the id; predictions read whole texts and nothing else.
+hash of the id; predictions read whole texts and nothing else.  Every label is learned: samples beyond DRIVER_ROWS stay
+in Spark, which sums the gradient of each step.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and not ambiguous; without labelled
 documents all texts are `und`; with one language it is predicted for every text with a letter; an empty table gives
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import saved, small_side
 from .tokens import LOWER
 
-#: Documents of each language that classifiers are fitted on, on average; languages beyond the most frequent ones aren't learned.
-PER_LANGUAGE, LANGUAGES = 500, 64
+#: Documents of each language that classifiers are fitted on, on average, and rows of 16 KB that the driver may hold.
+PER_LANGUAGE, DRIVER_ROWS = 500, 8000
 DIMS, EPOCHS, RATE, DECAY = 4096, 300, 0.5, 1e-4
 #: A runner-up whose loss is within this share of the best one's distance is ambiguous.
 AMBIGUOUS = 0.1
@@ -78,27 +80,75 @@ class Codes:
         if len(self.languages) == 1:
             return np.zeros(len(x), dtype=int), np.ones(len(x)), np.zeros(len(x), dtype=bool)
         bit = np.hstack([x, np.ones((len(x), 1))]) @ self.weights
-        loss = (np.log1p(np.exp(-np.clip(bit[:, None, :] * self.code[None], -30, 30))) * self.margin).sum(axis=2)
+        bit = np.clip(bit, -30, 30)
+        loss = (np.log1p(np.exp(-bit)) * self.margin) @ (self.code.T > 0) + (np.log1p(np.exp(bit)) * self.margin) @ (self.code.T < 0)
         two = np.partition(loss, 1, axis=1)[:, :2]
         odds = np.exp(-(loss - two[:, :1]))
         return loss.argmin(axis=1), 1 / odds.sum(axis=1), (two[:, 1] - two[:, 0]) < AMBIGUOUS * (1e-9 + two[:, 1])
 
 
+def _slope(x1: np.ndarray, target: np.ndarray, share: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The loss's gradient over weighted rows."""
+    slope = -target / (1 + np.exp(np.clip(target * (x1 @ w), -30, 30)))
+    return x1.T @ (slope * share[:, None])
+
+
+def _agreement(x1: np.ndarray, target: np.ndarray, share: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per bit, the weight of rows on the right side less that of the others."""
+    return (np.sign(x1 @ w) * target * share[:, None]).sum(axis=0)
+
+
+def _descend(languages: list[str], code: np.ndarray, total: Callable[[Callable, np.ndarray], np.ndarray]) -> Codes:
+    """One logistic regression per bit, all fitted together by gradient descent; total(f, w) sums f over the rows."""
+    w, speed = np.zeros((DIMS + 1, code.shape[1])), np.zeros((DIMS + 1, code.shape[1]))
+    for _ in range(EPOCHS):
+        speed = 0.9 * speed - RATE * (total(_slope, w) * 4 + DECAY * w)
+        w = w + speed
+    margin = np.clip(total(_agreement, w), 0.01, 1)
+    return Codes(tuple(languages), code, w, margin / margin.mean())
+
+
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Codes:
-    """One logistic regression per bit, all fitted together by gradient descent on class-balanced rows."""
+    """The classifiers from class-balanced rows."""
     code = codewords(len(languages))
     if len(languages) == 1:
         return Codes(tuple(languages), code, np.zeros((DIMS + 1, 0)), np.ones(0))
     target = code[y]
     share = 1 / np.bincount(y, minlength=len(languages))[y] / len(languages)
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, speed = np.zeros((x1.shape[1], code.shape[1])), np.zeros((x1.shape[1], code.shape[1]))
-    for _ in range(EPOCHS):
-        slope = -target / (1 + np.exp(np.clip(target * (x1 @ w), -30, 30)))
-        speed = 0.9 * speed - RATE * (x1.T @ (slope * share[:, None]) * 4 + DECAY * w)
-        w = w + speed
-    margin = np.clip((np.sign(x1 @ w) * target * share[:, None]).sum(axis=0), 0.01, 1)
-    return Codes(tuple(languages), code, w, margin / margin.mean())
+    return _descend(languages, code, lambda f, w: f(x1, target, share, w))
+
+
+def fit_in_spark(found: DataFrame, counts: dict[str, int]) -> Codes:
+    """The same from a saved table of lang and x that the driver needn't hold: a job for each step."""
+    languages = sorted(counts)
+    code = codewords(len(languages))
+    if len(languages) == 1:
+        return Codes(tuple(languages), code, np.zeros((DIMS + 1, 0)), np.ones(0))
+    index, sc = {v: i for i, v in enumerate(languages)}, found.sparkSession.sparkContext
+
+    def total(f: Callable, w: np.ndarray) -> np.ndarray:
+        shared = sc.broadcast(w)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    some = b.slice(at, 1000)
+                    x = np.stack([np.frombuffer(v, dtype=np.float32) for v in some.column("x").to_pylist()]).astype(float)
+                    lang = some.column("lang").to_pylist()
+                    share = np.array([1 / counts[v] / len(index) for v in lang])
+                    found_ = f(np.hstack([x, np.ones((len(x), 1))]), code[[index[v] for v in lang]], share, shared.value)
+                    out = found_ if out is None else out + found_
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["g"])
+
+        parts = found.coalesce(32).mapInArrow(part, "g binary").collect()
+        out = sum(np.frombuffer(r["g"]) for r in parts)
+        shared.destroy()
+        return out.reshape(w.shape) if f is _slope else out
+
+    return _descend(languages, code, total)
 
 
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +161,17 @@ def train(docs: DataFrame, learn: Column | None = None) -> Codes | None:
     """Classifiers from the labelled documents that are not held out; None if there are none."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], PER_LANGUAGE / r["count"])])
+    share = saved(rows.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("share")))
     chance = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 20)) / float(1 << 20)
-    known = rows.filter(F.col("lang").isin([r["lang"] for r in counts])).filter(chance < F.element_at(share, F.col("lang")))
-    found = sorted((r["lang"], bytes(r["x"])) for r in known.select("text", "lang").mapInArrow(_with_features, "lang string, x binary").collect())
-    languages = sorted({lang for lang, _ in found})
-    if not languages:
+    known = rows.join(small_side(share), "lang").filter(chance < F.col("share"))
+    sample = saved(known.select("text", "lang").mapInArrow(_with_features, "lang string, x binary"))
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    if not counts:
         return None
+    if sum(counts.values()) > DRIVER_ROWS:
+        return fit_in_spark(sample, counts)
+    found = sorted((r["lang"], bytes(r["x"])) for r in sample.collect())
+    languages = sorted(counts)
     x = np.stack([np.frombuffer(b, dtype=np.float32) for _, b in found]).astype(float)
     return fit(x, np.array([languages.index(lang) for lang, _ in found]), languages)
 

@@ -287,6 +287,24 @@ def test_language_codes():
             assert (apart + np.eye(n) * 99).min() >= max(1, code.shape[1] // 4)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 60)
+    r, rows = random.Random(8), []
+    for k in range(70):
+        own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)]
+        rows += [(len(rows) + i, " ".join(r.choice(own) for _ in range(40)), f"l{k}") for i in range(4 if k else 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, F.lit(True))
+    assert len(model.languages) == 70
+    assert langid.identify(table, model).filter("lang = lang_pred").count() >= 0.95 * len(rows)
+    monkeypatch.setattr(langid, "EPOCHS", 3)
+    some = table.filter("doc_id < 40")
+    here = langid.train(some, F.lit(True))
+    monkeypatch.setattr(langid, "DRIVER_ROWS", 0)
+    there = langid.train(some, F.lit(True))
+    assert here.languages == there.languages and np.allclose(here.weights, there.weights) and np.allclose(here.margin, there.margin)
+
+
 def test_language_on_held_out_documents(spark, sf, empty, docs):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(table)
