@@ -7,11 +7,15 @@ first filled bin in a fixed random order of its own.  BANDS bands of ROWS bins b
 Candidates are compared by a sketch first, one bit of each of the BINS values, of which a pair at 0.75 differs in 16
 on average and in more than DIFFER with a probability of about 5e-6; the rest are confirmed on the full sets.
 
-Copies (equal shingle sets) are one node.  In a round, each bucket's centre is compared with the members of other
-components only, which is a star; links are confirmed on the full sets, components are contracted, buckets that lie
+Copies (equal shingle sets) are one node.  In a round, each bucket's centres are compared with the members of other
+components only, which are stars; links are confirmed on the full sets, components are contracted, buckets that lie
 within one component are done, and the compared centres leave.  The rounds go on, with more centres each time,
 until no bucket is left, so that no candidate pair between components goes unchecked although a linked group of n
-copies costs n comparisons.
+copies costs n comparisons.  A pair meets in its first common bucket only.
+
+A large group of copies that are alike but mostly not linked would cost n * n there.  After the first round its members
+are therefore split by shingles: a pair either has a rare shingle in common, and is found by a join on these, or it
+has only common ones, of which most members have too few to be linked with anything.  Both bounds are exact.
 
 A node is named by 64 bits of its set's digest.
 
@@ -34,7 +38,7 @@ from .common import saved, small_side, text_key
 from .graph import components
 from .tokens import mix, shingle_set
 
-BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES, DIFFER = 128, 32, 4, 5, 75, 8, 34
+BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES, DIFFER, RARE = 128, 32, 4, 5, 75, 8, 34, 8
 #: Each bin's own random order of all bins, itself first.
 ORDER = np.stack([np.concatenate(([i], np.random.default_rng(977 + i).permutation(np.delete(np.arange(BINS), i)))) for i in range(BINS)])
 _BIN = np.arange(BINS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -102,12 +106,24 @@ def alike(c1: str, c2: str) -> Column:
     return F.bit_count(F.col("s1").bitwiseXOR(F.col(c1))) + F.bit_count(F.col("s2").bitwiseXOR(F.col(c2))) <= DIFFER
 
 
+def first_shared(bands: str, other: str, band: str) -> Column:
+    """Whether a band is the first that two nodes have in common, so that a pair meets in one bucket only."""
+    return F.array_position(F.zip_with(bands, other, lambda x, y: x == y), True) == F.col(band) + 1
+
+
+def enough(least: Column, n: str, m: str) -> Column:
+    """Whether sets of n and m shingles can be linked if they have no more than `least` in common."""
+    return (100 + PERCENT) * least >= PERCENT * (F.col(n) + F.col(m))
+
+
 def pairs_of(star: DataFrame) -> DataFrame:
     return star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) after further links, by the components of the labels that they connect."""
+    if links.isEmpty():
+        return labels
     known = labels.hint("merge")
     ends = links.join(known.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(known.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
     ends = saved(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
@@ -117,30 +133,73 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
+def stars(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """The pairs of members (h, band, node, n, k, s1, s2, bands, label) and centres (h, c) of one bucket that may be linked."""
+    meet = members.join(centres.hint("merge"), "h").filter((F.col("label") != F.col("c.label")) & enough(F.least("k", "c.k"), "n", "c.n") & alike("c.s1", "c.s2"))
+    return meet.filter(first_shared("bands", "c.bands", "band")).select("node", F.col("c.node").alias("c"))
+
+
+def centres_of(members: DataFrame, *keys: str) -> DataFrame:
+    """The member of highest score for each of the keys, as a struct c."""
+    return members.groupBy(*keys).agg(F.max(F.struct("score", "node", "n", "k", "s1", "s2", "bands", "label")).alias("c"))
+
+
+def undone(members: DataFrame) -> DataFrame:
+    """Members that may be linked with one of another component in their bucket, and the bucket's size."""
+    whole = members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.count("*").alias("size"))
+    return members.join(whole.filter("lo < hi").hint("merge"), "h").filter(enough(F.col("k"), "n", "least")).drop("lo", "hi", "least")
+
+
+def by_rare_shingles(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes (node, label) that may be linked and have a rare shingle in common; k, the common ones of each node.
+
+    A shingle is rare if 2 to RARE of the nodes have it.  A pair that has none in common has at most the lesser k in
+    common, which rules most members of a large loose group out for all others at once.
+    """
+    own = nodes.join(sets.hint("merge"), "node")
+    tokens = saved(own.select("node", "label", "n", F.explode("items").alias("item")))
+    known = saved(tokens.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"))
+    common = tokens.select("node", "item").join(known.filter(F.col("df") > RARE).select("item").hint("merge"), "item").groupBy("node").agg(F.count("*").alias("k"))
+    k = saved(nodes.select("node").join(common.hint("merge"), "node", "left").select("node", F.coalesce("k", F.lit(0)).alias("k")))
+    rare = saved(tokens.join(known.filter(F.col("df") <= RARE).select("item").hint("merge"), "item"))
+    left = rare.select("item", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = rare.select("item", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    met = left.join(right.hint("merge"), "item").filter("a < b and la <> lb").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    met = met.join(k.withColumnsRenamed({"node": "a", "k": "ka"}).hint("merge"), "a").join(k.withColumnsRenamed({"node": "b", "k": "kb"}).hint("merge"), "b")
+    return met.filter(enough(F.least("ka", "kb") + F.col("shared"), "na", "nb")).select("a", "b"), k
+
+
 def star_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """node and label of the linked nodes in buckets (h, centre, node, s1, s2); None if there are no buckets.
+    """node and label of the linked nodes in buckets (h, band, node, n, score, s1, s2, bands); None if there are no buckets.
 
-    The first round's centre is each bucket's least node; later ones have CENTRES centres and eight times as many each
-    time, in buckets that hold more than one component.
+    The first round has one centre a bucket, its member of highest score.  What isn't one component then is ruled out
+    by its shingles where possible; the rest goes through rounds of CENTRES centres and eight times as many each time.
     """
     if buckets.isEmpty():
         return None
-    first = buckets.filter("node = centre").select("h", F.col("node").alias("c"), F.col("s1").alias("c1"), F.col("s2").alias("c2"))
-    star = buckets.filter("node <> centre").join(first.hint("merge"), "h").filter(alike("c1", "c2"))
-    links = saved(linked(pairs_of(star), sets))
-    labels = saved(components(links))
-    rest, many = buckets.filter("node <> centre").select("h", "node", "s1", "s2"), CENTRES
-    in_bucket = Window.partitionBy("h")
+    every = buckets.withColumn("k", F.col("n")).withColumn("label", F.col("node"))
+    centres = saved(centres_of(every, "h"))
+    labels = saved(components(saved(linked(pairs_of(stars(every, centres)), sets))))
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    rest = every.drop("label").join(centres.select("h", F.col("c.node").alias("node")).hint("merge"), ["h", "node"], "left_anti")
+    rest = saved(undone(labelled(rest)).drop("size", "label", "k"))
+    if rest.isEmpty():
+        return labels
+    pairs, k = by_rare_shingles(saved(labelled(rest.select("node").distinct())), sets)
+    labels = relabelled(labels, saved(linked(saved(pairs), sets)))
+    rest, many = rest.join(k.hint("merge"), "node"), CENTRES
     while True:
-        rest = rest.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = rest.withColumns({"lo": F.min("label").over(in_bucket), "hi": F.max("label").over(in_bucket), "i": F.row_number().over(in_bucket.orderBy("node"))})
-        rest = saved(rest.filter("lo < hi").select("h", "node", "s1", "s2", "label", "i"))
+        rest = saved(undone(saved(undone(labelled(rest)).drop("size"))))
         if rest.isEmpty():
             return labels
-        centres = rest.filter(F.col("i") <= many).select("h", F.col("node").alias("c"), F.col("label").alias("cl"), F.col("s1").alias("c1"), F.col("s2").alias("c2"))
-        star = rest.join(centres.hint("merge"), "h").filter("label <> cl").filter(alike("c1", "c2"))
-        labels = relabelled(labels, saved(linked(pairs_of(star), sets)))
-        rest, many = rest.filter(F.col("i") > many).select("h", "node", "s1", "s2"), many * 8
+        rest = rest.withColumn("salt", F.when(F.col("size") <= many, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(many))))
+        centres = saved(centres_of(rest, "h", "salt").drop("salt"))
+        labels = relabelled(labels, saved(linked(pairs_of(stars(rest, centres)), sets)))
+        rest = rest.drop("salt", "size", "label").join(centres.select("h", F.col("c.node").alias("node")).hint("merge"), ["h", "node"], "left_anti")
+        many *= 8
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -148,11 +207,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", *text_key(F.col("text")), "text")
     signed = saved(keyed.mapInArrow(_sign, "doc_id long, k1 long, k2 long, n_shingles long, node long, bands array<long>, s1 long, s2 long"))
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
-    classes = saved(signed.filter("node is not null").groupBy("node").agg(own, F.first("s1").alias("s1"), F.first("s2").alias("s2")).select("node", F.col("r.doc_id").alias("cid"), "r.k1", "r.k2", "s1", "s2"))
-    each = signed.filter("node is not null").select("node", F.explode("bands").alias("h"))
-    shared = each.groupBy("h").agg(F.min("node").alias("centre"), F.max("node").alias("hi")).filter("centre < hi").select("h", "centre")
-    found = each.join(small_side(saved(shared)), "h").select("h", "centre", "node").distinct()
-    buckets = saved(found.join(classes.select("node", "s1", "s2").hint("merge"), "node"))
+    one = [F.first(c).alias(c) for c in ("s1", "s2", "n_shingles", "bands")]
+    classes = saved(signed.filter("node is not null").groupBy("node").agg(own, *one).select("node", F.col("r.doc_id").alias("cid"), "r.k1", "r.k2", "s1", "s2", F.col("n_shingles").alias("n"), "bands"))
+    each = classes.select("node", F.posexplode("bands").alias("band", "h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    found = saved(each.join(small_side(saved(shared)), "h"))
+    # a node in large buckets is close to many: a good centre
+    score = found.groupBy("node").agg(F.sum("size").alias("score"))
+    buckets = saved(found.select("h", "band", "node").join(classes.select("node", "n", "s1", "s2", "bands").join(score.hint("merge"), "node").hint("merge"), "node"))
     reps = saved(classes.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi"))
     by_text = small_side(reps.select("node", F.col("cid"), F.col("k1").alias("r1"), F.col("k2").alias("r2")))
     chosen = keyed.join(by_text, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("cid"))).select("node", "text").dropDuplicates(["node"])

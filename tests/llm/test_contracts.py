@@ -116,6 +116,21 @@ def test_star_rounds_lose_no_link(spark):
     assert [got[i] for i in range(len(rows))] == comp and 12 < len(set(comp)) < len(rows)
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_large_loose_groups_lose_no_link(spark, with_base):
+    """400 copies at a similarity of 0.3 to 0.95, whose changes are drawn from few words and so recur."""
+    r, words = random.Random(8), [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(words))] if with_base else []
+    for _ in range(400):
+        w = words[:]
+        for _ in range(r.randint(2, 12)):
+            w[r.randrange(150)] = f"n{r.randrange(6)}"
+        rows.append((len(rows), " ".join(w)))
+    _, comp = brute.near_duplicates([t for _, t in rows])
+    got = dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(rows))] == comp and 20 < len(set(comp)) < len(rows)
+
+
 def test_shards(docs, empty):
     rows = sharding.hilbert_shards(docs, 5).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((r[0], len((r[1] or "").encode()) + 16, brute.crc(r[1])) for r in ROWS)
