@@ -38,7 +38,7 @@ from .common import saved, small_side, text_key
 from .graph import components
 from .tokens import mix, shingle_set
 
-BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES, DIFFER, RARE = 128, 32, 4, 5, 75, 8, 34, 8
+BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES, DIFFER, RARE = 128, 32, 4, 5, 75, 64, 34, 8
 #: Each bin's own random order of all bins, itself first.
 ORDER = np.stack([np.concatenate(([i], np.random.default_rng(977 + i).permutation(np.delete(np.arange(BINS), i)))) for i in range(BINS)])
 _BIN = np.arange(BINS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -192,7 +192,7 @@ def star_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
     labels = relabelled(labels, saved(linked(saved(pairs), sets)))
     rest, many = rest.join(k.hint("merge"), "node"), CENTRES
     while True:
-        rest = saved(undone(saved(undone(labelled(rest)).drop("size"))))
+        rest = saved(undone(labelled(rest)))
         if rest.isEmpty():
             return labels
         rest = rest.withColumn("salt", F.when(F.col("size") <= many, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(many))))
