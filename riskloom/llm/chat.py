@@ -6,8 +6,9 @@ preceded by empty turns; an empty assistant turn may close the conversation.  Ea
 costs between the automaton's states, and the cheapest repair a chain of such tables.
 
 A conversation may hold a third of all turns, so it is cut into segments of at most SEGMENT turns: tables are
-multiplied (least sums) within segments, the few products are chained per conversation, which fixes the states at
-the segments' borders, and each segment is decoded between them.
+multiplied (least sums) within segments, the products of conversations with several segments are chained, which fixes
+the states at the segments' borders, and each segment is decoded between them.  Segments come from one sort of the
+turns, in batches; repairs of short runs of roles are remembered.
 
 Costs are in COST; ties go to the earlier action in the order keep, relabel, merge, insertion.
 
@@ -18,16 +19,23 @@ their own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_side
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn.
 START, STATES, SEGMENT = 3, 4, 4096
+#: Turns of the longest run of roles whose repair is remembered, and how many are.
+MEMO, REMEMBERED = 32, 1 << 14
+SEGMENT_TYPES = {"conv_id": pa.string(), "seg": pa.int64(), "costs": pa.list_(pa.int64()), "place": pa.list_(pa.int64()), "turn": pa.list_(pa.int64()), "role": pa.list_(pa.string()), "text": pa.list_(pa.string())}
+OUT_TYPES = {"conv_id": pa.string(), "turn": pa.int64(), "place": pa.int64(), "role": pa.string(), "role_out": pa.string(), "action": pa.string(), "cost": pa.int64(), "rendered": pa.string()}
 #: What each action costs.
 COST = {"relabel": 3, "merge": 1, "insert": 2, "unknown": 1}
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
@@ -88,7 +96,7 @@ def known(role: str | None) -> str | None:
     return role if role in ROLES else None
 
 
-def product(roles: list[str | None]) -> np.ndarray:
+def product(roles: Sequence[str | None]) -> np.ndarray:
     """Least costs between states over a run of turns."""
     total = np.where(np.eye(STATES, dtype=bool), 0, FAR)
     for r in roles:
@@ -96,7 +104,7 @@ def product(roles: list[str | None]) -> np.ndarray:
     return total
 
 
-def decode(roles: list[str | None], before: int, after: int | None = None) -> list[tuple[int, int, str, tuple[int, ...]]]:
+def decode(roles: Sequence[str | None], before: int, after: int | None = None) -> list[tuple[int, int, str, tuple[int, ...]]]:
     """(role, cost, action, inserted roles) of each turn on a cheapest way from one state to another, or to any end."""
     best, back = [FAR] * STATES, []
     best[before] = 0
@@ -116,6 +124,20 @@ def decode(roles: list[str | None], before: int, after: int | None = None) -> li
     return out[::-1]
 
 
+def memo(f: Callable) -> Callable:
+    """f, which remembers its results for short runs of roles, within a task."""
+    found: dict = {}
+
+    def asked(roles: tuple[str | None, ...], *more):
+        if len(roles) > MEMO or (len(found) >= REMEMBERED and (roles, *more) not in found):
+            return f(roles, *more)
+        if (roles, *more) not in found:
+            found[roles, *more] = f(roles, *more)
+        return found[roles, *more]
+
+    return asked
+
+
 def borders(tables: list[np.ndarray]) -> list[tuple[int, int]]:
     """The states before and after each segment on a cheapest way."""
     reach, back = np.full(STATES, FAR, dtype=np.int64), []
@@ -149,31 +171,64 @@ def render(texts: list, steps: list, first: bool, last: bool) -> list[str]:
     return out
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each segment, with its table of costs, from turns in order of conversation and place."""
+    key, run, done, costs = None, [], [], memo(lambda roles: product(roles).ravel().tolist())
+
+    def close() -> None:
+        if run:
+            done.append((*key, costs(tuple(known(r[2]) for r in run)), *(list(c) for c in zip(*run, strict=True))))
+            run.clear()
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), SEGMENT_TYPES.values(), strict=True)], names=list(SEGMENT_TYPES))
+        done.clear()
+        return out
+
+    for batch in batches:
+        for conv, seg, *turn in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seg", "place", "turn", "role", "text")), strict=True):
+            if (conv, seg) != key:
+                close()
+                key = (conv, seg)
+            run.append(turn)
+        if done:
+            yield rows()
+    close()
+    if done:
+        yield rows()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    way = memo(decode)
+    for batch in batches:
+        out: list[list] = [[] for _ in OUT_TYPES]
+        for one in batch.to_pylist():
+            alone = one["before"] is None
+            roles = tuple(known(r) for r in one["role"])
+            steps = way(roles, START if alone else one["before"], one["after"])
+            said = render(one["text"], steps, alone or one["first"], alone or one["last"])
+            for column, values in zip(out, ([one["conv_id"]] * len(steps), one["turn"], one["place"], one["role"], [ROLES[s[0]] for s in steps], [s[2] for s in steps], [s[1] for s in steps], said), strict=True):
+                column.extend(values)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, OUT_TYPES.values(), strict=True)], names=list(OUT_TYPES))
+
+
+def _chained(key: tuple, segs: pd.DataFrame) -> pd.DataFrame:
+    segs = segs.sort_values("seg")
+    ways = borders([np.array(c, dtype=np.int64).reshape(STATES, STATES) for c in segs["costs"]])
+    n = len(segs)
+    return pd.DataFrame({"c": [key[0]] * n, "s": segs["seg"].tolist(), "before": [b for b, _ in ways], "after": [a for _, a in ways], "first": [i == 0 for i in range(n)], "last": [i == n - 1 for i in range(n)]})
+
+
 def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Per turn: conv_id, turn, place (in order), role, role_out, action, cost and rendered; joined by place the pieces are the conversation."""
     cast = turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     parts = cast.sparkSession.conf.get("spark.sql.shuffle.partitions")
     placed = cast.repartitionByRange(int(parts), "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
-    rows = saved(placed.withColumn("place", F.monotonically_increasing_id())).withColumn("seg", F.expr(f"place div {segment}"))
-
-    def tables(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        roles = [known(r) for r in part.sort_values("place")["role"]]
-        return pd.DataFrame({"conv_id": [key[0]], "seg": [key[1]], "costs": [product(roles).ravel().tolist()]})
-
-    def chained(key: tuple, segs: pd.DataFrame) -> pd.DataFrame:
-        segs = segs.sort_values("seg")
-        ways = borders([np.array(c, dtype=np.int64).reshape(STATES, STATES) for c in segs["costs"]])
-        n = len(segs)
-        return pd.DataFrame({"conv_id": [key[0]] * n, "seg": segs["seg"].tolist(), "before": [b for b, _ in ways], "after": [a for _, a in ways], "first": [i == 0 for i in range(n)], "last": [i == n - 1 for i in range(n)]})
-
-    def decoded(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        one = part.iloc[0]
-        steps = decode([known(r) for r in part["role"]], int(one["before"]), int(one["after"]))
-        out = part[["conv_id", "turn", "place", "role"]].assign(role_out=[ROLES[s[0]] for s in steps], action=[s[2] for s in steps], cost=[s[1] for s in steps], rendered=render(part["text"].tolist(), steps, bool(one["first"]), bool(one["last"])))
-        return out.astype({"turn": "Int64"})
-
-    costs = rows.select("conv_id", "seg", "place", "role").groupBy("conv_id", "seg").applyInPandas(tables, "conv_id string, seg long, costs array<long>")
-    ways = saved(costs.groupBy("conv_id").applyInPandas(chained, "conv_id string, seg long, before int, after int, first boolean, last boolean"))
-    wide = rows.join(ways.select(F.col("conv_id").alias("c"), F.col("seg").alias("s"), "before", "after", "first", "last").hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s"))).drop("c", "s")
-    return wide.groupBy("conv_id", "seg").applyInPandas(decoded, "conv_id string, turn long, place long, role string, role_out string, action string, cost long, rendered string")
+    rows = placed.withColumn("place", F.monotonically_increasing_id()).withColumn("seg", F.expr(f"place div {segment}"))
+    segments = saved(rows.mapInArrow(_segments, "conv_id string, seg long, costs array<long>, place array<long>, turn array<long>, role array<string>, text array<string>"))
+    # only conversations of several segments are chained; they are few, or long
+    several = saved(segments.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("conv_id").alias("c")))
+    chains = segments.select("conv_id", "seg", "costs").join(small_side(several), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    ways = saved(chains.groupBy("conv_id").applyInPandas(_chained, "c string, s long, before int, after int, first boolean, last boolean"))
+    ends = segments.drop("costs").join(small_side(ways), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s")), "left").drop("c", "s", "seg")
+    return ends.mapInArrow(_decoded, "conv_id string, turn long, place long, role string, role_out string, action string, cost long, rendered string")
