@@ -234,7 +234,11 @@ def lenient_version(version: Column) -> Column:
 
 def version_in_range(version: Column, low: Column, high: Column) -> Column:
     """Inclusive range; an unreadable version is outside, an unreadable bound is ignored."""
-    v, a, b = lenient_version(version), lenient_version(low), lenient_version(high)
+    return parsed_in_range(lenient_version(version), lenient_version(low), lenient_version(high))
+
+
+def parsed_in_range(v: Column, a: Column, b: Column) -> Column:
+    """The same for versions that lenient_version has read."""
     return F.coalesce(v.isNotNull() & (a.isNull() | (v >= a)) & (b.isNull() | (v <= b)), F.lit(False))
 
 

@@ -59,8 +59,10 @@ def rule_hits(sources: DataFrame, text: str, keys: Sequence[str], rules: Sequenc
             matched = matched + t.rlike(p).cast("int")
         return F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"), matched.alias("matched"), F.lit(r.least).alias("least"))
 
-    hits = sources.select(*keys, text, F.filter(F.array(*[result(r) for r in rules]), lambda x: x["matched"] >= x["least"]).alias("__hits"))
-    out = hits.filter(F.size("__hits") > 0).select(*keys, text, F.explode("__hits").alias("h")).select(*keys, text, "h.rule", "h.category", "h.severity", "h.title", "h.matched")
+    # the outer explode keeps the optimiser from testing every pattern a second time in a filter below it
+    found = F.filter(F.array(*[result(r) for r in rules]), lambda x: x["matched"] >= x["least"])
+    kept = [*keys, text] if evidence else list(keys)
+    out = sources.select(*kept, F.explode_outer(found).alias("h")).filter("h is not null").select(*kept, "h.rule", "h.category", "h.severity", "h.title", "h.matched")
     if evidence:
         line = None
         for r in rules:

@@ -125,9 +125,15 @@ def valid_patterns(patterns: list[str]) -> list[str]:
 
 
 def dependency_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Vulnerabilities of each pinned dependency: those of its package whose range contains the version."""
-    hit = dependencies.join(advisories, "package_id").filter(S.version_in_range(F.col("version"), F.col("min_version"), F.col("max_version")))
-    return hit.groupBy("package_id", "version").agg(F.count_distinct("advisory_id").alias("n_vulns"), F.max("epss_percentile").alias("highest_percentile"), F.bool_or(F.col("kev_date").isNotNull()).alias("has_kev"))
+    """Vulnerabilities of each pinned dependency: those of its package whose range contains the version.
+
+    Versions are read before the join, once a row, so the join compares numbers only.
+    """
+    d = dependencies.select("package_id", "version").distinct().withColumn("__v", S.lenient_version(F.col("version")))
+    a = advisories.select("package_id", "advisory_id", "epss_percentile", "kev_date", S.lenient_version(F.col("min_version")).alias("__a"), S.lenient_version(F.col("max_version")).alias("__b"))
+    hit = d.join(a, "package_id").filter(S.parsed_in_range(F.col("__v"), F.col("__a"), F.col("__b")))
+    one = hit.groupBy("package_id", "version", "advisory_id").agg(F.max("epss_percentile").alias("p"), F.bool_or(F.col("kev_date").isNotNull()).alias("k"))
+    return one.groupBy("package_id", "version").agg(F.count("*").alias("n_vulns"), F.max("p").alias("highest_percentile"), F.bool_or("k").alias("has_kev"))
 
 
 def package_vulnerabilities(links: DataFrame, advisories: DataFrame, epss: DataFrame) -> DataFrame:

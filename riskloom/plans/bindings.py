@@ -54,7 +54,7 @@ FROM events""",
   c_name AS destination, (c_acctbal >= 0) AS enabled,
   CASE c_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS min_risk_level FROM customer""",
     "dep_edges": """SELECT DISTINCT graph_id, src, dst FROM (
-  SELECT l_orderkey % 500 AS graph_id, l_partkey % 60 AS src,
+  SELECT cast(floor(l_orderkey / 1000) AS bigint) AS graph_id, l_partkey % 60 AS src,
          lead(l_partkey % 60) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
   FROM lineitem) t WHERE dst IS NOT NULL AND dst <> src""",
     "releases": f"SELECT l_partkey AS package_id, {_ROW} AS release_id, l_shipdate AS published_at FROM lineitem",

@@ -291,9 +291,9 @@ def a10_composite_risk(t: Inputs) -> DataFrame:
     return scoring.composite_exploit_risk(_cves(t), "package_id")
 
 
-@query(f"""SELECT package_id, source_id, p AS epss_percentile, cvss_score FROM {_CVES} WHERE package_id % 10 = 0 ORDER BY package_id, p DESC, cvss_score DESC, source_id""")
+@query(f"""SELECT package_id, source_id, p AS epss_percentile, cvss_score FROM {_CVES} ORDER BY package_id, p DESC, cvss_score DESC, source_id""")
 def t1_findings_order(t: Inputs) -> DataFrame:
-    return _cves(t).filter("package_id % 10 = 0").select("package_id", "source_id", "epss_percentile", "cvss_score").orderBy("package_id", F.desc_nulls_last("epss_percentile"), F.desc("cvss_score"), "source_id")
+    return _cves(t).select("package_id", "source_id", "epss_percentile", "cvss_score").orderBy("package_id", F.desc_nulls_last("epss_percentile"), F.desc("cvss_score"), "source_id")
 
 
 _ADOPTION = "(SELECT package_id, ecosystem, name, greatest(1, cast(floor((1 - row_number() OVER (PARTITION BY ecosystem ORDER BY weekly_downloads DESC, package_id) / cast(count(*) OVER (PARTITION BY ecosystem) AS double)) * 100 + 0.5) AS int)) AS adoption FROM packages)"
@@ -453,7 +453,7 @@ def a18_health_score(t: Inputs) -> DataFrame:
 # --- exposure and alerts ----------------------------------------------------------
 
 
-_FLAGGED = "SELECT DISTINCT package_id, version FROM analyses WHERE risk_score >= 96"
+_FLAGGED = "SELECT DISTINCT package_id, version FROM analyses WHERE risk_score >= 60"
 
 
 @query(f"SELECT DISTINCT w.watchlist_id, f.package_id, f.version FROM ({_FLAGGED}) f JOIN watchlist_packages w ON w.package_id = f.package_id AND (w.version IS NULL OR w.version = f.version)")
@@ -604,9 +604,9 @@ def j6_malware_matches(t: Inputs) -> DataFrame:
 
 
 @query("""SELECT a, b, round(s, 4) AS similarity, round(least(1.0, s * 0.5 + CASE WHEN a = b THEN 0.2 ELSE 0 END), 4) AS score, CASE WHEN a = b THEN 'high' ELSE 'low' END AS level FROM (
-  SELECT a, b, greatest(1 - levenshtein(a, b) / cast(greatest(length(a), length(b)) AS double), jaro_winkler_similarity(a, b)) AS s FROM (SELECT DISTINCT base_name AS a FROM packages WHERE ecosystem = 'npm'), (SELECT DISTINCT base_name AS b FROM packages WHERE ecosystem = 'pypi')) WHERE s >= 0.95""")
+  SELECT a, b, greatest(1 - levenshtein(a, b) / cast(greatest(length(a), length(b)) AS double), jaro_winkler_similarity(a, b)) AS s FROM (SELECT DISTINCT base_name AS a FROM packages WHERE ecosystem = 'npm'), (SELECT DISTINCT base_name AS b FROM packages WHERE ecosystem = 'pypi')) WHERE s >= 0.85""")
 def j7_cross_ecosystem(t: Inputs) -> DataFrame:
-    return names.cross_ecosystem_pairs(t["packages"], 0.95)
+    return names.cross_ecosystem_pairs(t["packages"])
 
 
 @query()
@@ -753,7 +753,7 @@ def g5_cycle_impact(t: Inputs) -> DataFrame:
 
 @query()
 def g6_clusters(t: Inputs) -> DataFrame:
-    pairs = names.cross_ecosystem_pairs(t["packages"], 0.95).select(F.concat(F.lit("npm:"), F.col("a")).alias("a"), F.concat(F.lit("pypi:"), F.col("b")).alias("b"))
+    pairs = names.cross_ecosystem_pairs(t["packages"]).select(F.concat(F.lit("npm:"), F.col("a")).alias("a"), F.concat(F.lit("pypi:"), F.col("b")).alias("b"))
     return graph.clusters(pairs, "a", "b").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
@@ -897,12 +897,12 @@ def a19_health_overrides(t: Inputs) -> DataFrame:
     return x.select("package_id", detectors.health_override(c("health_level"), c("commit_velocity_90d"), c("orphaned_dep_count"), c("release_cadence_days"), c("circular_dep_count"), c("license_deprecated")).alias("level"))
 
 
-@query(f"""SELECT a.package_id, list_sort(list(DISTINCT b.version)) AS candidates FROM (SELECT DISTINCT package_id, version FROM analyses WHERE version LIKE '2.%') a JOIN (SELECT DISTINCT package_id, version FROM analyses) b ON b.package_id = a.package_id
-  AND {parts_sql('b.version')} > {parts_sql('a.version')} GROUP BY a.package_id""")
+@query(f"""SELECT a.package_id, a.version, list_sort(list(DISTINCT b.version)) AS candidates FROM (SELECT DISTINCT package_id, version FROM analyses) a JOIN (SELECT DISTINCT package_id, version FROM analyses) b ON b.package_id = a.package_id
+  AND {parts_sql('b.version')} > {parts_sql('a.version')} GROUP BY a.package_id, a.version""")
 def t8_fix_candidates(t: Inputs) -> DataFrame:
     v = t["analyses"].select("package_id", "version").distinct()
-    pairs = v.filter("version like '2.%'").join(v.withColumnRenamed("version", "newer"), "package_id").filter(S.semver(F.col("newer")) > S.semver(F.col("version")))
-    return pairs.groupBy("package_id").agg(F.array_sort(F.collect_set("newer")).alias("candidates"))
+    pairs = v.join(v.withColumnRenamed("version", "newer"), "package_id").filter(S.semver(F.col("newer")) > S.semver(F.col("version")))
+    return pairs.groupBy("package_id", "version").agg(F.array_sort(F.collect_set("newer")).alias("candidates"))
 
 
 @query()
