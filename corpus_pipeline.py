@@ -2,7 +2,7 @@
 
 Language ID drops what has no letters or no certain language; near-dedup keeps one document of each group; benchmark
 decontamination drops documents that hold a window of an item; personal data is replaced by [KIND]; best-fit packing
-gives the bin and offset of every piece.
+gives the bin and offset of every piece.  Stages return the columns of documents only; others are left out.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, langid, minhash, packing, pii
-from riskloom.llm.common import shared_dir, table
+from riskloom.llm.common import exists, scratch, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,11 +57,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, on documents."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages, in order, on documents.
+
+    Each stage's own tables go once it is written.  With a folder of the shared store, a later run after a lost driver
+    goes on behind the last stage that was finished there; it must be a new folder for other documents.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}")
+        path = f"{folder}/{i}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -14,7 +14,6 @@ no rows; other columns are carried along.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,10 +31,14 @@ PER_LANGUAGE, DRIVER_ROWS = 500, 8000
 DIMS, EPOCHS, RATE, DECAY = 4096, 300, 0.5, 1e-4
 #: A runner-up whose loss is within this share of the best one's distance is ambiguous.
 AMBIGUOUS = 0.1
-LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (of a Unicode category L); other numerals and signs aren't."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -185,7 +188,7 @@ def identify(docs: DataFrame, model: Codes | None) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             lang, score, doubt = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-            some = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+            some = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
             for at in range(0, len(some), 256):
                 part = some[at : at + 256]
                 best, score[part], doubt[part] = model.decode(np.stack([features(texts[i]) for i in part]))

@@ -8,6 +8,9 @@ Ranks are exact without a global sort: rows are counted per (cell, sub-bucket),
 curve, and rows are numbered inside their sub-bucket only.  A hot cell is spread over SUBS sub-buckets by a hash of
 the row.
 
+Source and lang are cut at sixteenths of their rows (approximate percentiles over all of them, of the first six bytes),
+in the order of their values, so that a file's least and greatest value bound a narrow range.
+
 Defined results: a null text has size 16 and checksum 0; null lang, source or doc_id fall into bin 0 of their
 dimension; equal rows get different slots; an empty table gives no rows; other columns are ignored.
 """
@@ -56,9 +59,16 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.get(F.transform(F.transform(bound, gray), interleave), F.lit(0))
 
 
-def digit_bin(value: Column) -> Column:
-    """A category's bin: first hexadecimal digit of its MD5; null is 0."""
-    return F.coalesce(F.conv(F.substring(F.md5(value), 1, 1), 16, 10).cast("int"), F.lit(0))
+def prefix_code(value: Column) -> Column:
+    """The first six bytes of a text as a number, in the order of the texts."""
+    return F.conv(F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def edge_bin(code: Column, edges: list[float] | None) -> Column:
+    """How many of the edges a number reaches: bins in the order of the values, about equal in rows; null is 0."""
+    if not edges:
+        return F.lit(0)
+    return F.coalesce(sum((code >= F.lit(e)).cast("int") for e in edges), F.lit(0))
 
 
 def size_bin(size: Column) -> Column:
@@ -76,7 +86,9 @@ def range_bin(value: Column, low: int | None, high: int | None, bins: int = 1 <<
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, hilbert, shard and slot of every row; shard sizes differ by at most one row."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    shares = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    edges = [F.percentile_approx(prefix_code(F.col(c)), shares, 1000) for c in ("source", "lang")]
+    low, high, sources, langs = docs.agg(F.min("doc_id"), F.max("doc_id"), *edges).first()
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
     narrow = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), "lang", "source")
     rows = saved(
@@ -84,7 +96,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             "doc_id",
             "size",
             "text_crc32",
-            hilbert_index([digit_bin(F.col("source")), digit_bin(F.col("lang")), size_bin(F.col("size")), range_bin(F.col("doc_id"), low, high)]).alias("hilbert"),
+            hilbert_index([edge_bin(prefix_code(F.col("source")), sources), edge_bin(prefix_code(F.col("lang")), langs), size_bin(F.col("size")), range_bin(F.col("doc_id"), low, high)]).alias("hilbert"),
             F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SUBS)).cast("int").alias("sub"),
         )
     )

@@ -141,6 +141,18 @@ def test_shards(docs, empty):
     assert sharding.hilbert_shards(empty).count() == 0
 
 
+def test_shards_prune_by_least_and_greatest_value(spark):
+    r = random.Random(2)
+    rows = [(i, "x" * r.choice([5, 60, 700, 9000]), r.choice(["de", "en", "fr", "pl"]), f"site-{r.choice('abcdefgh')}.test") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = sharding.hilbert_shards(docs, 32).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    for column, most in (("lang", 0.7), ("source", 0.7), ("size", 0.7)):
+        bounds = placed.groupBy("shard").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+        wanted = [v[0] for v in placed.select(column).distinct().collect()]
+        read = [sum(b.lo <= v <= b.hi for b in bounds) / len(bounds) for v in wanted]
+        assert sum(read) / len(read) < most, (column, read)
+
+
 def test_hilbert_curve_is_a_walk(spark):
     """Each index once, and neighbours on the curve differ by one in one coordinate."""
     cells = spark.range(4**3).select(*[((F.col("id") / 4**i).cast("int") % 4).alias(f"x{i}") for i in range(3)])
@@ -293,6 +305,10 @@ def test_role_repair_odd_rows(spark):
     assert chat.repaired(spark.createDataFrame([], "conv_id string, turn long, role string, text string")).count() == 0
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in ("", "½ ² Ⅷ 12_!", "1é", "日", "…a")] == [False, False, True, True, True]
+
+
 def test_language_codes():
     for n in (1, 2, 4, 6, 9):
         code = langid.codewords(n)
