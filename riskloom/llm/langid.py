@@ -3,8 +3,8 @@
 Each language has a codeword; one binary classifier per bit (logistic regression on hashed byte n-grams) predicts it.
 Decoding takes the codeword of least loss, each bit weighted by its training margin, and flags ambiguity where the
 runner-up is close.  The classifiers are fitted on about PER_LANGUAGE labelled documents of each language, chosen by a
-hash of the id; predictions read whole texts and nothing else.  Every label is learned: samples beyond DRIVER_ROWS stay
-in Spark, which sums the gradient of each step.
+hash of the id; predictions read whole texts and nothing else.  Every label is learned: a sample beyond TASK_ROWS is
+fitted by many tasks, whose gradients are summed at each step.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and not ambiguous; without labelled
 documents all texts are `und`; with one language it is predicted for every text with a letter; an empty table gives
@@ -14,6 +14,7 @@ no rows; other columns are carried along.
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from .common import saved, small_side
 from .tokens import LOWER
 
-#: Documents of each language that classifiers are fitted on, on average, and rows of 16 KB that the driver may hold.
-PER_LANGUAGE, DRIVER_ROWS = 500, 8000
+#: Documents of each language that classifiers are fitted on, on average, and rows of 16 KB that one task may hold.
+PER_LANGUAGE, TASK_ROWS = 500, 8000
 DIMS, EPOCHS, RATE, DECAY = 4096, 300, 0.5, 1e-4
 #: A runner-up whose loss is within this share of the best one's distance is ambiguous.
 AMBIGUOUS = 0.1
@@ -118,12 +119,26 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Codes:
         return Codes(tuple(languages), code, np.zeros((DIMS + 1, 0)), np.ones(0))
     target = code[y]
     share = 1 / np.bincount(y, minlength=len(languages))[y] / len(languages)
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(float)
     return _descend(languages, code, lambda f, w: f(x1, target, share, w))
 
 
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled fields of the classifiers fitted on all rows (lang, x) of a task, whatever their order."""
+    lang, parts = [], []
+    for b in batches:
+        lang += b.column("lang").to_pylist()
+        parts.append(np.stack([np.frombuffer(v.as_buffer(), dtype=np.float32) for v in b.column("x")]))
+    x = np.concatenate(parts)
+    parts.clear()
+    order = sorted(range(len(lang)), key=lambda i: (lang[i], x[i].tobytes()))
+    languages = sorted(set(lang))
+    model = fit(x[order], np.array([languages.index(lang[i]) for i in order]), languages)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.languages, model.code, model.weights, model.margin))], pa.binary())], names=["model"])
+
+
 def fit_in_spark(found: DataFrame, counts: dict[str, int]) -> Codes:
-    """The same from a saved table of lang and x that the driver needn't hold: a job for each step."""
+    """The same from a saved table of lang and x that one task can't hold: a job for each step."""
     languages = sorted(counts)
     code = codewords(len(languages))
     if len(languages) == 1:
@@ -171,12 +186,11 @@ def train(docs: DataFrame, learn: Column | None = None) -> Codes | None:
     counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     if not counts:
         return None
-    if sum(counts.values()) > DRIVER_ROWS:
+    if sum(counts.values()) > TASK_ROWS:
         return fit_in_spark(sample, counts)
-    found = sorted((r["lang"], bytes(r["x"])) for r in sample.collect())
-    languages = sorted(counts)
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for _, b in found]).astype(float)
-    return fit(x, np.array([languages.index(lang) for lang, _ in found]), languages)
+    # a bounded sample: one task fits it, so that the driver holds the weights only
+    (one,) = sample.coalesce(1).mapInArrow(_fit_rows, "model binary").collect()
+    return Codes(*pickle.loads(bytes(one["model"])))
 
 
 def identify(docs: DataFrame, model: Codes | None) -> DataFrame:

@@ -331,7 +331,7 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "EPOCHS", 3)
     some = table.filter("doc_id < 40")
     here = langid.train(some, F.lit(True))
-    monkeypatch.setattr(langid, "DRIVER_ROWS", 0)
+    monkeypatch.setattr(langid, "TASK_ROWS", 0)
     there = langid.train(some, F.lit(True))
     assert here.languages == there.languages and np.allclose(here.weights, there.weights) and np.allclose(here.margin, there.margin)
 
