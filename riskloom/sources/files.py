@@ -37,13 +37,18 @@ def lockfile_format(path: Column, content: Column) -> Column:
 
 
 def _npm(files: DataFrame) -> DataFrame:
-    """v2 and v3 from the packages map but its root; v1 from dependencies and those below them."""
+    """v2 and v3 from the packages map but its root; v1 from dependencies and those below them, at any depth."""
     j = files.select("path", F.from_json("content", NPM).alias("j"))
     new = j.filter("j.packages is not null").select("path", F.explode("j.packages").alias("key", "p")).filter("key <> ''")
     new = new.select("path", F.regexp_extract("key", r"^(?:.*/)?node_modules/(.+)$", 1).alias("name"), "p.version", F.coalesce("p.dev", F.lit(False)).alias("dev"))
-    old = j.filter("j.packages is null").select("path", F.explode("j.dependencies").alias("name", "d"))
-    below = old.select("path", F.explode("d.dependencies").alias("name", "e")).select("path", "name", "e.version", F.coalesce("e.dev", F.lit(False)).alias("dev"))
-    return new.unionByName(old.select("path", "name", "d.version", F.coalesce("d.dev", F.lit(False)).alias("dev"))).unionByName(below).filter("name <> ''")
+    # each level's dependencies stay JSON text until the level is read; the loop ends below the deepest one
+    whole = files.join(j.filter("j.packages is null").select("path"), "path", "left_semi")
+    level = whole.select("path", F.explode(F.from_json("content", "dependencies map<string,string>")["dependencies"]).alias("name", "text"))
+    while not level.isEmpty():
+        own = level.select("path", "name", F.from_json("text", "version string, dev boolean, dependencies map<string,string>").alias("d"))
+        new = new.unionByName(own.select("path", "name", "d.version", F.coalesce("d.dev", F.lit(False)).alias("dev")))
+        level = own.select("path", F.explode("d.dependencies").alias("name", "text"))
+    return new.filter("name <> ''")
 
 
 def _yarn(files: DataFrame) -> DataFrame:
