@@ -101,14 +101,26 @@ def threat_summary(findings: DataFrame, key: str) -> DataFrame:
     return findings.groupBy(key, "category").agg(F.lit(True).alias("detected"), F.least(F.lit(8), F.count_distinct("title")).cast("int").alias("n_details"))
 
 
-#: Patterns that count towards literal indicators, and towards token hints.
+#: Indicators in string literals: where data goes, control servers, wallets, tokens, staging.
 LITERAL_RULES = {
-    "webhook": r"(?i)discord(?:app)?\.com/api/webhooks|hooks\.slack\.com",
-    "socket": r"/dev/tcp/[0-9.]+/[0-9]+",
-    "pool": r"(?i)stratum\+tcp://",
-    "credential_path": r"(?i)\.aws/credentials|\.npmrc|\.ssh/id_",
-    "token_name": r"\b[A-Z][A-Z0-9]*_TOKEN\b",
-    "pipe_to_shell": r"\|\s*(?:ba|z)?sh\b",
+    "exfil_discord_webhook": r"(?i)discord(?:app)?\.com/api/webhooks/\d+/[A-Za-z0-9_-]+",
+    "exfil_slack_webhook": r"(?i)hooks\.slack\.com/services/T[A-Z0-9]+/B[A-Z0-9]+/[A-Za-z0-9]+",
+    "exfil_telegram_bot": r"(?i)api\.telegram\.org/bot[0-9]+:[A-Za-z0-9_-]+/sendMessage",
+    "exfil_pastebin": r"(?i)(?:pastebin\.com|hastebin\.com|paste\.ee|termbin\.com)/(?:raw/)?[A-Za-z0-9]+",
+    "exfil_requestbin": r"(?i)(?:webhook\.site|requestbin\.com|pipedream\.net|beeceptor\.com)/[a-z0-9-]+",
+    "c2_stratum_mining": r"(?i)stratum\+(?:tcp|ssl|tls)://",
+    "c2_irc_privmsg": r"PRIVMSG\s+#[a-zA-Z0-9_-]+\s+:",
+    "c2_cobalt_strike_beacon": r"(?i)/(?:beacon|implant|stage[12]?|payload)/[a-z0-9]{8,}(?:\.bin|\.exe|\.dll)?",
+    "c2_dns_tunnel": r"[a-zA-Z0-9+/]{20,}\.(?:[a-z]{2,6}\.)+(?:com|net|org|io)\b",
+    "wallet_bitcoin": r"\b(?:1[A-HJ-NP-Za-km-z1-9]{25,34}|3[A-HJ-NP-Za-km-z1-9]{25,34}|bc1[a-z0-9]{39,59})\b",
+    "wallet_ethereum": r"\b0x[a-fA-F0-9]{40}\b",
+    "wallet_monero": r"\b4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}\b",
+    "supply_chain_npmrc": r"(?i)(?:\.npmrc|NPM_TOKEN|registry\.npmjs\.org.*authToken)",
+    "supply_chain_pypi_token": r"(?i)(?:PYPI_TOKEN|pypi\.org.*token|__token__)",
+    "supply_chain_aws_key": r"AKIA[0-9A-Z]{16}",
+    "supply_chain_github_pat": r"gh[ps]_[A-Za-z0-9]{36}",
+    "staging_curl_pipe": r"(?i)curl\s+(?:-s\s+)?https?://[^\s]+\s*\|\s*(?:sh|bash|python|perl)",
+    "staging_raw_github": r"(?i)https?://raw\.githubusercontent\.com/[^/]+/[^/]+/[^/]+/[^\s\"']+\.(?:sh|py|ps1|exe|bin)",
 }
 
 
@@ -119,7 +131,7 @@ def literal_counts(sources: DataFrame, text: str, keys: Sequence[str], rules: di
     for name in rules:
         n = n + (F.col(name) > 0).cast("int")
     out = out.withColumn("n_rules", n)
-    return out.withColumn("confidence", F.when(F.col("n_rules") >= 4, 0.95).when(F.col("n_rules") >= 2, 0.85).when(F.col("n_rules") == 1, 0.65).otherwise(0.0))
+    return out.withColumn("confidence", F.when(F.col("n_rules") >= 4, 0.95).when(F.col("n_rules") >= 2, 0.85).when(F.col("n_rules") == 1, 0.65).otherwise(0.1))
 
 
 #: Names of functions by which code is put into processes, and by which credentials are read.
@@ -131,23 +143,10 @@ BCryptOpenAlgorithmProvider NCryptOpenKey CryptAcquireContext CryptAcquireContex
 
 
 def names_used(sources: DataFrame, text: str, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """The names of a set that occur as whole words of a text, and how many."""
+    """The names of a set that occur as whole words of a text, how many, and the confidence by that number."""
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
     found = F.array_sort(F.array_intersect(words, F.array(*[F.lit(n) for n in names])))
-    return sources.select(*keys, F.array_join(found, ",").alias("names"), F.size(found).alias("n")).filter("n > 0")
-
-
-def in_order(sources: DataFrame, text: str, keys: Sequence[str], sequences: dict[str, Sequence[str]]) -> DataFrame:
-    """Which sequences of words occur in a text in order, with anything between."""
-    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
-    base = sources.select(*keys, words.alias("__w"))
-
-    def done(seq: Sequence[str]) -> Column:
-        slots = F.array(*[F.lit(s) for s in seq])
-        return F.aggregate("__w", F.lit(0), lambda at, w: F.when(F.get(slots, at) == w, at + 1).otherwise(at)) == len(seq)
-
-    found = F.filter(F.array(*[F.when(done(s), F.lit(n)) for n, s in sequences.items()]), lambda x: x.isNotNull())
-    return base.select(*keys, F.explode(found).alias("sequence"))
+    return sources.select(*keys, F.array_join(found, ",").alias("names"), F.size(found).alias("n")).filter("n > 0").withColumn("confidence", F.expr("case when n >= 5 then 0.95d when n >= 3 then 0.85d when n = 2 then 0.75d else 0.55d end"))
 
 
 # --- bytes ---------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .tables import first_by
 
 #: Points of severities, behaviours and script threats.
 SEVERITY_POINTS = {"info": 2, "low": 8, "medium": 18, "high": 30, "critical": 45}
@@ -72,6 +73,28 @@ def vulnerability_adjustment(vulns: DataFrame, key: str, as_of: Column) -> DataF
     )
 
 
+def epss_override(packages: DataFrame, cves: DataFrame, key: str, as_of: Column, deployment: DataFrame | None = None) -> DataFrame:
+    """Package scores raised by the fresh CVE of greatest percentile, its KEV mark and how far its patch is adopted.
+
+    packages: key, risk_score; cves: key, cve_id, epss_percentile, kev, fetched_at (null: fresh); deployment: key, days,
+    adoption.  Adds primary_cve, epss_points, kev_points, boost_reason, finding_severity (null without a boost); of equal
+    percentiles the least cve_id counts.
+    """
+    fresh = cves.filter(F.col("fetched_at").isNull() | S.is_fresh(F.col("fetched_at"), as_of))
+    best = first_by(fresh, [key], F.desc("epss_percentile"), "cve_id", F.desc("kev")).select(key, F.col("cve_id").alias("primary_cve"), F.col("epss_percentile").alias("__p"), F.col("kev").alias("__k"))
+    x = packages.join(best, key, "left")
+    x = x.join(deployment.select(key, "days", "adoption"), key, "left") if deployment is not None else x.withColumns({"days": F.lit(None).cast("int"), "adoption": F.lit(None).cast("double")})
+    epss, kev = S.epss_boost(F.col("__p"), "b"), F.when(F.col("__k"), 20).otherwise(0)
+    x = x.withColumns({"epss_points": epss, "kev_points": kev})
+    boost = F.col("epss_points") + F.col("kev_points")
+    score = S.normalize_risk(F.col("risk_score") + boost + S.deployment_modifier(F.col("days"), F.col("adoption")))
+    label = F.concat(F.lit("EPSS "), S.js_round(F.col("__p") * 100).cast("int").cast("string"), F.lit("th percentile ("), "primary_cve", F.lit(")"))
+    parts = F.array_compact(F.array(F.when(F.col("epss_points") > 0, label), F.when(F.col("kev_points") > 0, "CISA KEV active-exploitation")))
+    reason = F.when(F.size(parts) > 0, F.array_join(parts, " + ")).otherwise(F.concat(label, F.lit(" \u2014 below boost threshold")))
+    out = x.withColumns({"risk_score": score, "boost_reason": reason, "finding_severity": F.when(boost >= 20, "critical").when(boost >= 10, "high").when(boost > 0, "medium")})
+    return out.withColumn("risk_level", S.risk_level(F.col("risk_score"))).drop("__p", "__k", "days", "adoption")
+
+
 def correlation_score(cves: DataFrame, detectors: DataFrame, key: str) -> DataFrame:
     """CVE score with exploit probability, KEV and mean confidence of the detectors that fired."""
     means = detectors.filter("detected").groupBy(key).agg(F.avg("confidence").alias("mean"), F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("analyzers"))

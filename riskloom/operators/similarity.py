@@ -87,3 +87,82 @@ def sbom_documents(packages: DataFrame, findings: DataFrame, key: str) -> DataFr
     x = packages.join(v, key, "left")
     doc = F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.array(F.struct(F.lit("library").alias("type"), "name", F.col("latest_version").alias("version"), F.concat(F.lit("pkg:"), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit("@"), F.col("latest_version")).alias("purl"))).alias("components"), F.coalesce("v", F.array().cast("array<struct<severity:string,title:string>>")).alias("vulnerabilities")))
     return x.select(key, doc.alias("document"))
+
+
+# --- wheels and source archives ---------------------------------------------------
+
+
+def extra_binaries(files: DataFrame, modules: DataFrame, key: str) -> DataFrame:
+    """Native files of wheels (key, path) whose stem no declared module (key, name) has as its name or its last part."""
+    stem = F.get(F.split(F.regexp_extract("path", r"([^/]*)$", 1), r"\."), F.lit(0))
+    last = F.get(F.reverse(F.split("name", r"\.")), F.lit(0))
+    known = modules.select(key, F.col("name").alias("__s")).unionByName(modules.select(key, last.alias("__s"))).distinct()
+    return files.filter(is_native_file(F.col("path"))).withColumn("__s", stem).join(known.hint("merge"), [key, "__s"], "left_anti").drop("__s")
+
+
+def is_native_file(path: Column) -> Column:
+    """Whether a wheel's file ends in, or has before a further dot, one of .so, .pyd and .dylib."""
+    return F.lower(path).rlike(r"\.(?:so|pyd|dylib)(?:\.|$)")
+
+
+def pure_python_claims(wheels: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Wheels (key, filename) with claimed_pure by their tags, the number of native files and whether the claim is false."""
+    pure = F.col("filename").rlike(r"(?i)^.+-(?:py2\.py3|py[23]\d*)-none-any\.whl$")
+    native = files.filter(is_native_file(F.col("path"))).groupBy(key).agg(F.count("*").alias("n_native"))
+    out = wheels.withColumn("claimed_pure", pure).join(native, key, "left").withColumn("n_native", F.coalesce("n_native", F.lit(0).cast("long")))
+    return out.withColumn("suspected", F.col("claimed_pure") & (F.col("n_native") > 0))
+
+
+#: Directories of build artefacts in source archives.
+ARTEFACT_DIRS = "build dist _build _dist .libs .eggs lib libs _vendor vendor prebuilt prebuilt_binaries wheels bin".split()
+
+
+def archive_binaries(files: DataFrame) -> DataFrame:
+    """Native files of source archives: in_artefacts, abi_tagged, and severity medium where only the first holds."""
+    name = F.lower("path")
+    native = files.filter(name.rlike(r"\.(?:so|pyd|dll|dylib)$"))
+    inside = F.arrays_overlap(F.split(name, "/"), F.array(*[F.lit(d) for d in ARTEFACT_DIRS]))
+    tagged = F.col("path").rlike(r"(?i)\.cpython-\d+[^.]*\.so$|\.pypy\d+-[^.]+\.so$") | F.col("path").endswith(".pyd")
+    out = native.withColumn("in_artefacts", inside).withColumn("abi_tagged", tagged)
+    return out.withColumn("severity", F.when(F.col("in_artefacts") & ~F.col("abi_tagged"), "medium"))
+
+
+def repackaging(registry: DataFrame) -> DataFrame:
+    """Per artifact the surest kind of copy in other packages' artifacts of its ecosystem, and its severity.
+
+    exact: the same binary_hash in another package or version; import and syscall: the same signature in another package.
+    An exact copy is critical if it stands with a different import signature, else high; the others are medium.  Groups
+    are only counted, so one that holds any share of the rows costs its rows.
+    """
+    pv = F.struct("package_name", "version")
+    own = registry.withColumn("__pv", F.xxhash64("package_name", "version"))
+
+    def others(value: str, what: Column, name: str) -> DataFrame:
+        return registry.filter(F.col(value).isNotNull()).groupBy("ecosystem", value).agg(F.count_distinct(what).alias(name))
+
+    signed = registry.filter("binary_hash is not null and import_sig is not null").select("ecosystem", "binary_hash", "import_sig", "package_name", "version").distinct()
+    h = ["ecosystem", "binary_hash"]
+    total = signed.groupBy(*h).agg(F.count("*").alias("__t"))
+    alike = signed.groupBy(*h, "import_sig").agg(F.count("*").alias("__s"))
+    mine = signed.groupBy(*h, "package_name", "version").agg(F.count("*").alias("__o"))
+    x = own.join(others("binary_hash", pv, "__e"), h, "left").join(others("import_sig", F.col("package_name"), "__i"), ["ecosystem", "import_sig"], "left")
+    x = x.join(others("syscall_sig", F.col("package_name"), "__y"), ["ecosystem", "syscall_sig"], "left")
+    x = x.join(total, h, "left").join(alike, [*h, "import_sig"], "left").join(mine, [*h, "package_name", "version"], "left")
+    differs = F.coalesce(F.col("__t") - F.col("__s") - F.col("__o") + 1 > 0, F.lit(False))
+    kind = F.when(F.col("__e") > 1, "exact").when(F.col("__i") > 1, "import").when(F.col("__y") > 1, "syscall")
+    severity = F.when(kind.isNull(), None).when(kind != "exact", "medium").when(differs, "critical").otherwise("high")
+    return x.select("artifact_id", kind.alias("kind"), severity.alias("severity")).filter("kind is not null")
+
+
+def correlated(current: Column, published: Column, least: int = 70) -> Column:
+    """struct<similarity, correlated> of two arrays of distinct bigrams; nulls where a side is missing."""
+    common = F.size(F.array_intersect(current, published))
+    union = F.size(current) + F.size(published) - common
+    score = F.when(current.isNull() | published.isNull(), None).when((F.size(current) == 0) | (F.size(published) == 0), F.lit(0)).otherwise(S.js_round(common * 100.0 / union).cast("int"))
+    return F.struct(score.alias("similarity"), (score >= least).alias("correlated"))
+
+
+def wheel_fresh(built: Column, uploaded: Column) -> Column:
+    """False if built over five minutes after, or over thirty days before, the upload; null without either time."""
+    gap = F.unix_timestamp(uploaded) - F.unix_timestamp(built)
+    return (gap >= -300) & (gap <= 30 * 86400)

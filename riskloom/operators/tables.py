@@ -224,3 +224,15 @@ def merge_coordinates(sbom: DataFrame, lockfile: DataFrame) -> DataFrame:
     a = sbom.select("name", "version", F.col("hash").alias("h1"), F.col("url").alias("u1"))
     b = lockfile.select("name", "version", F.col("hash").alias("h2"), F.col("url").alias("u2"))
     return a.join(b, ["name", "version"], "full").select("name", "version", F.coalesce("h1", "h2").alias("hash"), F.coalesce("u2", "u1").alias("url"))
+
+
+def kev_enrichment(advisories: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """CVE advisories that the catalogue (cve_id, date_added, ransomware) names, with its date and maturity.
+
+    updated tells the rows that differed before; ransomware use makes an exploit widespread.
+    """
+    level = F.when(F.col("ransomware") == "Known", "widespread").otherwise("active-exploitation")
+    kev = first_by(catalogue.select(F.upper("cve_id").alias("__id"), F.col("date_added").alias("__d"), level.alias("__m")), ["__id"], F.desc("__d"), F.desc("__m"))
+    hit = advisories.filter("source_id like 'CVE-%'").withColumn("__id", F.upper("source_id")).join(kev, "__id")
+    same = F.col("kev_date").eqNullSafe(F.col("__d")) & F.col("maturity").eqNullSafe(F.col("__m"))
+    return hit.withColumn("updated", ~same).withColumns({"kev_date": F.col("__d"), "maturity": F.col("__m")}).drop("__id", "__d", "__m")

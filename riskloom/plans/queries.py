@@ -671,27 +671,22 @@ def a26_detection_quality(t: Inputs) -> DataFrame:
     return x.groupBy("known_bad").agg(F.count("*").alias("n"), F.round(F.avg("a"), 4).alias("rate"))
 
 
-_COUNTS_SQL = ", ".join(f"len(regexp_extract_all(content, '{p}')) AS {n}" for n, p in rules.LITERAL_RULES.items())
+_COUNTS_SQL = ", ".join("len(regexp_extract_all(content, '{}')) AS {}".format(p.replace("'", "''"), n) for n, p in rules.LITERAL_RULES.items())
 
 
-@query(f"SELECT source_id, {', '.join(rules.LITERAL_RULES)}, n_rules, CASE WHEN n_rules >= 4 THEN 0.95 WHEN n_rules >= 2 THEN 0.85 WHEN n_rules = 1 THEN 0.65 ELSE 0.0 END AS confidence FROM (SELECT *, {' + '.join(f'cast({n} > 0 AS int)' for n in rules.LITERAL_RULES)} AS n_rules FROM (SELECT source_id, {_COUNTS_SQL} FROM script_sources))")
+@query(f"SELECT source_id, {', '.join(rules.LITERAL_RULES)}, n_rules, CASE WHEN n_rules >= 4 THEN 0.95 WHEN n_rules >= 2 THEN 0.85 WHEN n_rules = 1 THEN 0.65 ELSE 0.1 END AS confidence FROM (SELECT *, {' + '.join(f'cast({n} > 0 AS int)' for n in rules.LITERAL_RULES)} AS n_rules FROM (SELECT source_id, {_COUNTS_SQL} FROM binary_strings))")
 def r6_literal_counts(t: Inputs) -> DataFrame:
-    return rules.literal_counts(t["script_sources"], "content", ["source_id"])
+    return rules.literal_counts(t["binary_strings"], "content", ["source_id"])
 
 
 _API = rules.INJECTION_APIS + rules.CREDENTIAL_APIS
 
 
-@query(f"SELECT source_id, array_to_string(f, ',') AS names, len(f) AS n FROM (SELECT source_id, list_sort(list_intersect(list_distinct(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')), [{', '.join(repr(a) for a in _API)}])) AS f FROM script_sources) WHERE len(f) > 0")
+@query(f"SELECT source_id, array_to_string(f, ',') AS names, len(f) AS n, CASE WHEN len(f) >= 5 THEN 0.95 WHEN len(f) >= 3 THEN 0.85 WHEN len(f) = 2 THEN 0.75 ELSE 0.55 END AS confidence FROM (SELECT source_id, list_sort(list_intersect(list_distinct(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')), [{', '.join(repr(a) for a in _API)}])) AS f FROM script_sources) WHERE len(f) > 0")
 def r7_api_names(t: Inputs) -> DataFrame:
     return rules.names_used(t["script_sources"], "content", ["source_id"], _API)
 
 
-@query()
-def r8_r9_sequences(t: Inputs) -> DataFrame:
-    return rules.in_order(t["script_sources"], "content", ["source_id"], {"fetch-eval": ["eval", "await", "fetch"], "decode-exec": ["exec", "b64decode"], "spawn": ["require", "child_process", "execSync"]})
-
-
 @query("""SELECT doc_id, round(avg(e), 4) AS mean_entropy, round(max(e), 4) AS max_entropy, count(*) AS n_blocks FROM (SELECT doc_id, b, sum(-c / cast(n AS double) * log2(c / cast(n AS double))) AS e FROM (
   SELECT doc_id, b, byte, count(*) AS c, sum(count(*)) OVER (PARTITION BY doc_id, b) AS n FROM (SELECT doc_id, (i - 1) // 256 AS b, substr(h, 2 * i - 1, 2) AS byte FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(1, strlen(text) + 1)) AS i FROM documents)) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY doc_id""")
 def f20_block_entropy(t: Inputs) -> DataFrame:
