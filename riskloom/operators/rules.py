@@ -152,18 +152,35 @@ def names_used(sources: DataFrame, text: str, keys: Sequence[str], names: Sequen
 # --- bytes ---------------------------------------------------------------------
 
 
-def block_entropy(sources: DataFrame, data: str, keys: Sequence[str], block: int = 256) -> DataFrame:
-    """Mean and greatest Shannon entropy (bits a byte) of the blocks of a binary column, in Catalyst."""
+def entropies(sources: DataFrame, data: str, keys: Sequence[str], block: int) -> DataFrame:
+    """keys, b and e: the Shannon entropy (bits a byte) of each block of a binary column, in Catalyst."""
     some = sources.select(*keys, F.col(data).alias("__d")).filter(F.length("__d") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((length(__d) - 1) div {block} as int)")), lambda i: F.hex(F.substring("__d", i * block + 1, F.lit(block))))
     blocks = some.select(*keys, F.posexplode(cut).alias("b", "h"))
-    n = (F.length("h") / 2).cast("int")
-    bytes_ = blocks.select(*keys, "b", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("h", i * 2 + 1, F.lit(2)))).alias("byte"))
+    # the digits are cut by one pass of a pattern; substrings would read the block again for each byte
+    bytes_ = blocks.select(*keys, "b", (F.length("h") / 2).cast("int").alias("n"), F.explode(F.regexp_extract_all("h", F.lit(".."), F.lit(0))).alias("byte"))
     counts = bytes_.groupBy(*keys, "b", "n", "byte").agg(F.count("*").alias("c"))
-    each = counts.groupBy(*keys, "b").agg(F.sum(-F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("n"))).alias("e"))
+    return counts.groupBy(*keys, "b").agg(F.sum(-F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("n"))).alias("e"))
+
+
+def block_entropy(sources: DataFrame, data: str, keys: Sequence[str], block: int = 256) -> DataFrame:
+    """Mean and greatest entropy of the blocks of a binary column."""
+    each = entropies(sources, data, keys, block)
     return each.groupBy(*keys).agg(F.round(F.avg("e"), 4).alias("mean_entropy"), F.round(F.max("e"), 4).alias("max_entropy"), F.count("*").alias("n_blocks"))
 
 
+#: Entropy above which a chunk looks packed, share of such chunks that tells, bytes of a chunk.
+PACKED_CHUNK, PACKED_SHARE, CHUNK = 7.2, 0.4, 4096
+
+
+def packed_chunks(sources: DataFrame, data: str, keys: Sequence[str]) -> DataFrame:
+    """n_chunks, n_high and packed of a binary column's whole chunks; one shorter than a chunk is a chunk by itself."""
+    n = F.length(data)
+    whole = F.when(n < CHUNK, F.col(data)).otherwise(F.substring(F.col(data), F.lit(1), (n - n % CHUNK).cast("int")))
+    each = entropies(sources.withColumn("__w", whole), "__w", keys, CHUNK).groupBy(*keys).agg(F.count("*").alias("n_chunks"), F.count_if(F.col("e") > PACKED_CHUNK).alias("n_high"))
+    return each.withColumn("packed", F.col("n_high") / F.col("n_chunks") >= PACKED_SHARE)
+
+
 #: packers' marks as hexadecimal digits.
 PACKERS = {"UPX": "555058", "UPX!": "555058210D0A", "MPRESS": "4D5052455353", "Petite": "50455449544500", "ASPack": "6089E8", "Themida": "5468656D696461", "PECompact": "50454334"}
 

@@ -158,6 +158,12 @@ def _numbered(found: Column, numbers: dict[int, str]) -> Column:
     return F.transform(found, lambda x: F.try_element_at(names, F.regexp_replace(F.lower(x), "^(?:0x)?0*", "")))
 
 
+def _once(df: DataFrame, keys: Sequence[str], **columns: Column) -> DataFrame:
+    """The keys and columns, each worked out once a row: the optimiser doesn't copy expressions through an explode."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keys, F.explode(F.array(row)).alias("__row")).select(*keys, "__row.*")
+
+
 def in_slots(tokens: Column, chain: Sequence[Sequence[str]], within: bool = False) -> Column:
     """Whether tokens fill the slots in order, with anything between; within: a token may merely contain a name."""
     wanted = F.array(*[_strings(s) for s in chain])
@@ -178,9 +184,9 @@ def system_calls(text: Column) -> Column:
 
 def call_sequences(sources: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Texts with an attack sequence (matched), or else with three suspicious calls at least (suspicious); confidence by how many."""
-    base = sources.select(*keys, system_calls(F.col(text)).alias("__c"), F.col(text).rlike(SENSITIVE_PATH).alias("__p"))
+    base = _once(sources, keys, __c=system_calls(F.col(text)), __p=F.col(text).rlike(SENSITIVE_PATH))
     hits = [F.when(in_slots(F.col("__c"), slots(s)) & (F.col("__p") if name in NEEDS_PATH else F.lit(True)), F.lit(name)) for name, s in SEQUENCES.items()]
-    found = base.select(*keys, F.filter(F.array(*hits), lambda x: x.isNotNull()).alias("__m"), F.array_sort(F.array_intersect("__c", _strings(PROCESS_CALLS + MEMORY_CALLS))).alias("__s"))
+    found = _once(base, keys, __m=F.filter(F.array(*hits), lambda x: x.isNotNull()), __s=F.array_sort(F.array_intersect("__c", _strings(PROCESS_CALLS + MEMORY_CALLS))))
     n = F.size("__m")
     some = found.filter((n > 0) | (F.size("__s") >= 3))
     confidence = F.when(n >= 3, 0.95).when(n == 2, 0.88).when(n == 1, 0.80).otherwise(0.55)
@@ -249,16 +255,17 @@ def call_nodes(text: Column) -> Column:
 
     A look-ahead stands at every place, so kinds of calls may overlap and the first that fits a place counts.
     """
-    kinds = [NAMED.replace("[a-z_][a-z0-9_]{1,63}", rf"(?!(?:{'|'.join(NOT_BEGUN)}))(?!(?:{'|'.join(KEYWORDS)})\s*\()[a-z_][a-z0-9_]{{1,63}}"), MNEMONIC, MARKED, COMMENT, NUMBERED]
+    # a name is taken whole, as no shorter one is followed by a bracket
+    kinds = [NAMED.replace("{1,63}", "{1,63}+"), MNEMONIC, MARKED, COMMENT, NUMBERED]
     plain = [re.sub(r"(?<!\\)\((?!\?)", "(?:", k) for k in kinds]
     found = F.regexp_extract_all(text, F.lit(f"(?i)(?=({'|'.join(plain)}))"), F.lit(1))
 
     def name(m: Column) -> Column:
         part = lambda p: F.lower(F.regexp_extract(m, f"(?i)^{p}", 1))
         called = F.regexp_replace(F.regexp_replace(part(MNEMONIC), "@plt$", ""), "<[^>]+>$", "")
-        commented = part(COMMENT)
+        commented, named = part(COMMENT), part(NAMED)
         return (
-            F.when(m.endswith("("), part(NAMED))
+            F.when(m.endswith("("), F.when(~named.isin(KEYWORDS) & ~named.rlike(f"^(?:{'|'.join(NOT_BEGUN)})"), named))
             .when(m.startswith(";"), F.when(commented.isin(COMMENT_CALLS), commented))
             .when(m.rlike(r"(?i)^call[qlw]?\s"), F.when(~called.isin("", *KEYWORDS), called))
             .when(m.rlike(r"(?i)^mov\s"), F.get(_numbered(F.array(F.regexp_extract(m, f"(?i)^{NUMBERED}", 1)), NODE_NUMBERS), F.lit(0)))
@@ -297,7 +304,7 @@ def control_flow(text: Column, window: int = 512) -> Column:
 
 def flow_anomalies(sources: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Texts with an anomaly of control flow."""
-    return sources.select(*keys, control_flow(F.col(text)).alias("f")).select(*keys, "f.*").filter("coalesce(jumps, prologue, epilogue, dispatch) is not null")
+    return _once(sources, keys, f=control_flow(F.col(text))).select(*keys, "f.*").filter("coalesce(jumps, prologue, epilogue, dispatch) is not null")
 
 
 def call_chains(sources: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
@@ -311,9 +318,9 @@ def call_chains(sources: DataFrame, text: str, keys: Sequence[str]) -> DataFrame
     nodes = F.filter(call_nodes(F.col(text)), lambda n: n.rlike("|".join(every)))
     low = F.lower(F.col(text))
     met = {c.id: _any_within(low, c.context) for c in CHAINS}
-    base = sources.select(*keys, nodes.alias("__n"), F.struct(*[m.alias(i) for i, m in met.items()]).alias("__x"), control_flow(F.col(text)).alias("__f"))
+    base = _once(sources, keys, __n=nodes, __x=F.struct(*[m.alias(i) for i, m in met.items()]), __f=control_flow(F.col(text)))
     hit = lambda c: F.when(F.col("__x")[c.id] & in_slots(F.col("__n"), slots(c.slots), within=True), F.struct(F.lit(c.id).alias("id"), F.lit(c.confidence).alias("c")))
-    found = base.select(*keys, F.filter(F.array(*[hit(c) for c in CHAINS]), lambda x: x.isNotNull()).alias("__m"), F.array("__f.jumps", "__f.dispatch").alias("__a"))
+    found = _once(base, keys, __m=F.filter(F.array(*[hit(c) for c in CHAINS]), lambda x: x.isNotNull()), __a=F.array("__f.jumps", "__f.dispatch"))
     high = F.coalesce(F.exists("__a", lambda s: s == "high"), F.lit(False))
     n = F.size("__m")
     sure = F.least(F.lit(0.95), F.array_max("__m.c") + F.least(F.lit(0.1), (n - 1) * 0.03) + F.when(high, 0.05).otherwise(0.0))

@@ -272,3 +272,38 @@ def r3_trusted_demotion(t: Inputs) -> DataFrame:
 def u2_merged_findings(t: Inputs) -> DataFrame:
     hits = _hits(t).select("source_id", "category", "title", "severity")
     return rules.merge_findings(hits.filter("source_id % 2 = 0"), hits.withColumn("severity", F.lit("low")), ["source_id"])
+
+
+_CHUNKS = "SELECT doc_id, b, sum(-c / cast(n AS double) * log2(c / cast(n AS double))) AS e FROM (SELECT doc_id, b, byte, count(*) AS c, sum(count(*)) OVER (PARTITION BY doc_id, b) AS n FROM (SELECT doc_id, (i - 1) // 4096 AS b, substr(h, 2 * i - 1, 2) AS byte FROM (SELECT doc_id, h, unnest(range(1, CASE WHEN k < 4096 THEN k ELSE k - k % 4096 END + 1)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS k FROM documents))) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+
+
+@query(f"SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (e > 7.2) AS n_high, count(*) FILTER (e > 7.2) / count(*) >= 0.4 AS packed FROM ({_CHUNKS}) GROUP BY doc_id")
+def w8_packed_chunks(t: Inputs) -> DataFrame:
+    return rules.packed_chunks(t["documents"].withColumn("data", F.col("text").cast("binary")), "data", ["doc_id"])
+
+
+# --- scalar functions that had no query ------------------------------------------------------
+
+
+_LICENCES = "SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'gpl-3.0' WHEN 1 THEN 'MIT' WHEN 2 THEN ' unlicensed ' WHEN 3 THEN 'Apache-2.0' WHEN 4 THEN '' WHEN 5 THEN 'LGPL-2.1' WHEN 6 THEN NULL WHEN 7 THEN 'See License in LICENSE' ELSE 'ISC' END AS licence FROM orders"
+
+
+@query(f"SELECT o_orderkey, licence IS NULL OR upper(trim(licence)) IN ({', '.join(f'{chr(39)}{v}{chr(39)}' for v in S.BAD_LICENCES)}) AS bad FROM ({_LICENCES})")
+def f17_bad_licences(t: Inputs) -> DataFrame:
+    return t.sql(_LICENCES).select("o_orderkey", S.bad_licence(F.col("licence")).alias("bad"))
+
+
+_NAMES = "SELECT p_partkey AS package_id, CASE p_partkey % 6 WHEN 0 THEN 'sharp' WHEN 1 THEN concat('@esbuild/', p_name) WHEN 2 THEN concat(p_name, '-darwin-arm64') WHEN 3 THEN 'Sharp' ELSE p_name END AS name FROM part"
+
+
+@query(f"SELECT package_id, name, name IN ({', '.join(f'{chr(39)}{v}{chr(39)}' for v in S.NATIVE_NAMES)}) OR {' OR '.join(f'starts_with(name, {chr(39)}{v}{chr(39)})' for v in S.NATIVE_PREFIXES)} OR {' OR '.join(f'ends_with(name, {chr(39)}{v}{chr(39)})' for v in S.NATIVE_SUFFIXES)} AS native FROM ({_NAMES})")
+def f11_native_names(t: Inputs) -> DataFrame:
+    return t.sql(_NAMES).select("package_id", "name", S.is_native_name(F.col("name")).alias("native"))
+
+
+_VECTORS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('CVSS:3.1/AV:', CASE l_orderkey % 4 WHEN 0 THEN 'N' WHEN 1 THEN 'A' WHEN 2 THEN 'L' ELSE 'P' END, '/AC:', CASE WHEN l_suppkey % 2 = 0 THEN 'L' ELSE 'H' END, '/C:', CASE WHEN l_partkey % 3 = 0 THEN 'H' ELSE 'N' END, '/I:', CASE WHEN l_partkey % 5 = 0 THEN 'H' ELSE 'L' END) END AS vector FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN vector IS NULL THEN NULL WHEN vector LIKE '%/AV:N/AC:L%' AND (vector LIKE '%/C:H%' OR vector LIKE '%/I:H%') THEN 'CRITICAL' WHEN vector LIKE '%/AV:N%' THEN 'HIGH' WHEN vector LIKE '%/AV:A%' OR vector LIKE '%/AV:L%' THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM ({_VECTORS})")
+def f8_vector_severity(t: Inputs) -> DataFrame:
+    return t.sql(_VECTORS).select("l_orderkey", "l_linenumber", S.vector_severity(F.col("vector")).alias("severity"))
