@@ -144,6 +144,11 @@ CALL_MARKS = (
 CALL_NUMBER = r"\bmov\s+(?:eax|rax)\s*,\s*(0x[0-9a-fA-F]+|\d+)"
 
 
+def _ascii(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII letters and others, whatever the Java version takes for a word."""
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def slots(sequence: str) -> list[list[str]]:
     return [s.split() for s in sequence.split(" > ")]
 
@@ -176,9 +181,9 @@ def system_calls(text: Column) -> Column:
     known = _strings(MEMORY_CALLS + PROCESS_CALLS + FILE_CALLS + NETWORK_CALLS + SANDBOX_CALLS)
     parts = []
     for pattern, must in CALL_MARKS:
-        names = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)
+        names = F.transform(F.regexp_extract_all(text, F.lit(_ascii(pattern)), F.lit(1)), F.lower)
         parts.append(F.filter(names, lambda n: F.array_contains(known, n)) if must else names)
-    numbered = _numbered(F.regexp_extract_all(text, F.lit(CALL_NUMBER), F.lit(1)), CALL_NUMBERS)
+    numbered = _numbered(F.regexp_extract_all(text, F.lit(_ascii(CALL_NUMBER)), F.lit(1)), CALL_NUMBERS)
     return F.concat(*parts, F.filter(numbered, lambda n: n.isNotNull()))
 
 
@@ -258,7 +263,7 @@ def call_nodes(text: Column) -> Column:
     # a name is taken whole, as no shorter one is followed by a bracket
     kinds = [NAMED.replace("{1,63}", "{1,63}+"), MNEMONIC, MARKED, COMMENT, NUMBERED]
     plain = [re.sub(r"(?<!\\)\((?!\?)", "(?:", k) for k in kinds]
-    found = F.regexp_extract_all(text, F.lit(f"(?i)(?=({'|'.join(plain)}))"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(_ascii(f"(?i)(?=({'|'.join(plain)}))")), F.lit(1))
 
     def name(m: Column) -> Column:
         part = lambda p: F.lower(F.regexp_extract(m, f"(?i)^{p}", 1))
@@ -288,7 +293,7 @@ def control_flow(text: Column, window: int = 512) -> Column:
 
     Jumps are counted in whole windows of code points from the start; a shorter text is one window.
     """
-    count = lambda t, p: F.regexp_count(t, F.lit(p))
+    count = lambda t, p: F.regexp_count(t, F.lit(_ascii(p)))
     whole = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{{window}}}"), F.lit(0)), lambda w: count(w, JUMPS)))
     jumps = F.when(F.length(text) < window, count(text, JUMPS)).otherwise(whole)
     busy, dispatch = count(text, INSTRUCTIONS) > 20, count(text, INDIRECT)
