@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, decontaminate, embeddings, html, langid, minhash, packing, pii, sharding
+from . import chat, chunking, decontaminate, divergence, embeddings, html, langid, minhash, packing, parsing, pii, resample, sharding
 from .common import table
 
 
@@ -65,7 +65,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_main_text, op3_decontaminate, op4_best_fit, op5_pii, op6_near_vectors, op7_substring_dedup, op8_role_repair, op9_near_duplicates, op10_language)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_main_text, op3_decontaminate, op4_best_fit, op5_pii, op6_near_vectors, op7_substring_dedup, op8_role_repair, op9_near_duplicates, op10_language, op11_source_divergence, op12_repeated_bytes, op13_target_resampling)}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS3 = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -93,4 +105,27 @@ ORACLES: dict[str, str] = {
   links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), {_REACH.format('doc_id', 'd')},
   c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
   SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_source_divergence": f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+  k AS (SELECT lang, term, cast(sum(n) AS hugeint) AS n FROM c GROUP BY 1, 2 HAVING sum(docs) >= 10),
+  l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+  s AS (SELECT lang, source, cast(sum(c.n) AS hugeint) AS total FROM c JOIN k USING (lang, term) GROUP BY 1, 2),
+  p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * l.v) AS p, 1 + (1000000000::hugeint * (k.n + 2)) // (l.total + 2 * l.v) AS q
+    FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+  pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(f.value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+  every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 10""",
+    "op13_target_resampling": f"""WITH byte AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+  d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS3} AS w FROM documents), b AS (SELECT {_WORDS3} AS w FROM benchmark),
+  word AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM d UNION ALL SELECT unnest(w) FROM b)),
+  bucket AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), i -> ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)), (c, x) -> xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS b FROM word, byte),
+  dw AS (SELECT r, b FROM (SELECT r, unnest(w) AS word FROM d) JOIN bucket USING (word)), s AS (SELECT b, count(*) AS s FROM dw GROUP BY 1),
+  t AS (SELECT b, count(*) AS t FROM (SELECT unnest(w) AS word FROM b) JOIN bucket USING (word) GROUP BY 1),
+  gain AS (SELECT s.b, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((SELECT sum(s) FROM s) + 10000)::double / ((s + 1)::double * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::double))) AS bigint) AS g FROM s LEFT JOIN t ON s.b = t.b),
+  weight AS (SELECT r, cast(floor(sum(g) / count(*)) AS bigint) AS weight FROM dw JOIN gain USING (b) GROUP BY 1),
+  scored AS (SELECT d.r, doc_id, cast(len(w) AS bigint) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(cast(doc_id AS varchar), '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))) AS bigint) AS score FROM d LEFT JOIN weight ON weight.r = d.r),
+  drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+  SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn ON drawn.r = scored.r""",
 }
