@@ -1,31 +1,55 @@
 """Dependency graphs as edge tables (graph_id, src, dst): reachability, cycles, orphans, components, patchability.
 
-Loops run on the driver and join on the executors; each round is checkpointed to the shared folder, so lineage stays
-short and a lost executor costs one round.
+Loops run on the driver and join on the executors; each round writes a table in the shared folder, so lineage stays
+short and a lost executor costs one round.  Tables of rounds that nothing reads any more are deleted.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.texts import audit_summary
+
+
+def shared_dir(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where all is one process."""
+    sc = df.sparkSession.sparkContext
+    path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(path)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; in a folder of our own only where that is unset."""
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    """Cuts lineage with a Parquet table in the shared folder; released() deletes it."""
+    path = f"{shared_dir(df)}/riskloom-graph-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of checkpointed() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def reachable(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """All (graph_id, src, dst) with a way of one edge or more; from the given (graph_id, node) only, if any.
 
-    Only ways found in the last round are prolonged, by one edge, so each way is joined once.
+    Its rows are pairs, so it is for a few roots, or for results that are pairs.  Only ways found in the last round are
+    prolonged, by one edge, so each way is joined once; a round writes what it has found only.
     """
     e = checkpointed(edges.select("graph_id", "src", "dst").distinct())
     start = e if roots is None else roots.select("graph_id", F.col("node").alias("src")).join(e, ["graph_id", "src"]).distinct()
@@ -33,7 +57,7 @@ def reachable(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     while not front.isEmpty():
         step = front.join(e.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("next")), ["graph_id", "dst"]).select("graph_id", "src", F.col("next").alias("dst")).distinct()
         front = checkpointed(step.join(found, ["graph_id", "src", "dst"], "left_anti"))
-        found = checkpointed(found.unionByName(front))
+        found = found.unionByName(front)
     return found
 
 
@@ -41,9 +65,105 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.col("src").alias("node")).unionByName(edges.select("graph_id", F.col("dst").alias("node"))).distinct()
 
 
-def cyclic_nodes(closure: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure.filter("src = dst").select("graph_id", F.col("src").alias("node"))
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The nodes (graph_id, node) that can be reached from any of the starts, these included: one row a node."""
+    e = edges.select("graph_id", F.col("src").alias("node"), "dst")
+    found = front = checkpointed(starts.select("graph_id", "node").distinct())
+    while not front.isEmpty():
+        step = front.join(e, ["graph_id", "node"]).select("graph_id", F.col("dst").alias("node")).distinct()
+        front = checkpointed(step.join(found, ["graph_id", "node"], "left_anti"))
+        found = found.unionByName(front)
+    return found
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (saved) that are left when nodes without edges to or from them go, again and again."""
+    n, e = edges.count(), edges
+    while n:
+        cut = e
+        for _ in range(3):
+            cut = cut.join(cut.select("graph_id", F.col("dst").alias("src")).distinct(), ["graph_id", "src"], "left_semi")
+            cut = cut.join(cut.select("graph_id", F.col("src").alias("dst")).distinct(), ["graph_id", "dst"], "left_semi")
+        cut = checkpointed(cut.select("graph_id", "src", "dst"))
+        left = cut.count()
+        released(e)
+        e = cut
+        if left == n:
+            break
+        n = left
+    return e
+
+
+def _greatest_before(edges: DataFrame) -> DataFrame:
+    """node and label, the greatest node that reaches it or itself, of every node of the edges.
+
+    A node takes the greatest label of the nodes before it, and that of its own label, which reaches it too: so a label
+    goes twice as far each round.
+    """
+    e = edges.select("graph_id", "src", F.col("dst").alias("node"))
+    label = checkpointed(nodes(edges).withColumn("label", F.col("node")))
+    while True:
+        before = e.join(label.select("graph_id", F.col("node").alias("src"), "label"), ["graph_id", "src"]).groupBy("graph_id", "node").agg(F.max("label").alias("m"))
+        near = label.join(before, ["graph_id", "node"], "left").select("graph_id", "node", F.col("label").alias("old"), F.greatest("label", F.coalesce("m", "label")).alias("label"))
+        far = near.select("graph_id", F.col("node").alias("label"), F.col("label").alias("far"))
+        new = checkpointed(near.join(far, ["graph_id", "label"]).select("graph_id", "node", F.greatest("label", "far").alias("label"), (F.greatest("label", "far") != F.col("old")).alias("moved")))
+        released(label)
+        if new.filter("moved").isEmpty():
+            return new.drop("moved")
+        label = new
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """graph_id, node and component (the greatest node of it) of every node on a cycle: strong components by colours.
+
+    Nodes that can't lie on a cycle are trimmed first.  Then every node takes the greatest node that reaches it as its
+    colour, and within a colour the greatest that it reaches: where both are one, that node's component is found.  The
+    rest goes round again within its colours.  All tables have a row for each edge or node, never for pairs of nodes.
+    """
+    e = _trimmed(checkpointed(edges.filter("src <> dst").select("graph_id", "src", "dst").distinct()))
+    found = edges.filter("src = dst").select("graph_id", F.col("src").alias("node"), F.lit(None).cast(edges.schema["src"].dataType).alias("component")).distinct()
+    while not e.isEmpty():
+        colour = _greatest_before(e)
+        ends = [colour.select("graph_id", F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in ("src", "dst")]
+        inner = checkpointed(e.join(ends[0], ["graph_id", "src"]).join(ends[1], ["graph_id", "dst"]).filter("of_src = of_dst").select("graph_id", "src", "dst"))
+        released(e)
+        back = _greatest_before(inner.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        member = checkpointed(colour.join(back.withColumnRenamed("label", "reaches"), ["graph_id", "node"]).filter("label = reaches").select("graph_id", "node", F.col("label").alias("component")))
+        several = member.groupBy("graph_id", "component").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        found = found.unionByName(member.join(several, ["graph_id", "component"], "left_semi").select("graph_id", "node", "component"))
+        gone = member.select("graph_id", "node")
+        rest = inner.join(gone.withColumnRenamed("node", "src"), ["graph_id", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["graph_id", "dst"], "left_anti")
+        e = _trimmed(checkpointed(rest.select("graph_id", "src", "dst")))
+        released(inner)
+    # a node that refers to itself may lie in a larger component too
+    return found.groupBy("graph_id", "node").agg(F.coalesce(F.max("component"), F.first("node")).alias("component"))
+
+
+def cycle_chains(edges: DataFrame, components: DataFrame, most: int = 50) -> DataFrame:
+    """graph_id, chain and length: shortest cycles through the `most` least nodes on cycles of each graph.
+
+    Of the shortest cycles through a node that of the least nodes counts; cycles of equal node sets are one.  Ways keep
+    to the node's component, and at most `most` nodes of a graph are searched from, so rows grow with the nodes.
+    """
+    by_id = Window.partitionBy("graph_id").orderBy("node")
+    starts = components.withColumn("i", F.row_number().over(by_id)).filter(F.col("i") <= most).select("graph_id", F.col("node").alias("start"))
+    inside = [components.select("graph_id", F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("src", "dst")]
+    e = edges.select("graph_id", "src", "dst").distinct().join(inside[0], ["graph_id", "src"]).join(inside[1], ["graph_id", "dst"])
+    e = checkpointed(e.filter("of_src = of_dst").select("graph_id", "src", "dst"))
+    front = checkpointed(starts.select("graph_id", "start", F.col("start").alias("src"), F.array("start").alias("path")))
+    seen, closed = front.select("graph_id", "start", F.col("src").alias("dst")), None
+    while not front.isEmpty():
+        step = checkpointed(front.join(e, ["graph_id", "src"]).groupBy("graph_id", "start", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
+        ends = step.filter("dst = start").select("graph_id", "start", "path")
+        closed = ends if closed is None else closed.unionByName(ends)
+        done = closed.select("graph_id", "start")
+        front = checkpointed(step.join(seen, ["graph_id", "start", "dst"], "left_anti").join(done, ["graph_id", "start"], "left_anti").select("graph_id", "start", F.col("dst").alias("src"), "path"))
+        seen = seen.unionByName(front.select("graph_id", "start", F.col("src").alias("dst")))
+    if closed is None:
+        closed = front.select("graph_id", "start", "path")
+    key = F.array_sort(F.slice("path", 2, F.size("path")))
+    one = closed.groupBy("graph_id", key.alias("members")).agg(F.min_by("path", "start").alias("path"))
+    return one.select("graph_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("chain"), (F.size("path") - 1).alias("length"))
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:
@@ -63,9 +183,21 @@ def reverse_dependents(edges: DataFrame) -> DataFrame:
     return nodes(edges).join(n, ["graph_id", "node"], "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
 
 
-def orphans(edges: DataFrame, direct: DataFrame) -> DataFrame:
-    """Nodes that nothing refers to and that aren't direct dependencies (graph_id, node)."""
-    return nodes(edges).join(edges.select("graph_id", F.col("dst").alias("node")), ["graph_id", "node"], "left_anti").join(direct, ["graph_id", "node"], "left_anti")
+def orphans(packages: DataFrame, edges: DataFrame, direct: DataFrame) -> DataFrame:
+    """The packages (graph_id, node) that nothing refers to and that aren't direct dependencies."""
+    return packages.join(edges.select("graph_id", F.col("dst").alias("node")), ["graph_id", "node"], "left_anti").join(direct, ["graph_id", "node"], "left_anti")
+
+
+def transitive_vulnerabilities(edges: DataFrame, roots: DataFrame, vulns: DataFrame) -> DataFrame:
+    """graph_id, root and cve: each root's own vulnerabilities (graph_id, node, cve) and those of all that it reaches.
+
+    Ways are followed backwards from vulnerable nodes only, so rows are what is exposed, and no closure of all nodes.
+    """
+    at = vulns.select("graph_id", "node").distinct()
+    back = edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = reachable(back, at).select("graph_id", F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(at.withColumn("root", F.col("node")))
+    exposed = ways.join(roots.select("graph_id", F.col("node").alias("root")), ["graph_id", "root"], "left_semi").distinct()
+    return exposed.join(vulns, ["graph_id", "node"]).select("graph_id", "root", "cve").distinct()
 
 
 def upstream_blockers(edges: DataFrame, vulnerable: DataFrame) -> DataFrame:
@@ -74,10 +206,9 @@ def upstream_blockers(edges: DataFrame, vulnerable: DataFrame) -> DataFrame:
     return reachable(back, vulnerable).filter("src <> dst").select("graph_id", F.col("src").alias("vulnerable"), F.col("dst").alias("blocker"))
 
 
-def cycle_impact(edges: DataFrame, closure: DataFrame) -> DataFrame:
+def cycle_impact(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Share of a graph's nodes that lie on a cycle or can be reached from one."""
-    on = cyclic_nodes(closure)
-    hit = on.unionByName(closure.join(on.withColumnRenamed("node", "src"), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("node"))).distinct()
+    hit = reached(edges, components)
     total = nodes(edges).groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
     out = total.join(hit.groupBy("graph_id").agg(F.count("*").alias("n_hit")), "graph_id", "left")
     return out.select("graph_id", "n_nodes", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.round(F.coalesce("n_hit", F.lit(0)) / F.col("n_nodes"), 4).alias("impact"))
@@ -95,16 +226,17 @@ def clusters(pairs: DataFrame, a: str, b: str) -> DataFrame:
         jump = checkpointed(jump)
         if jump.exceptAll(label).isEmpty():
             return label
+        released(label)
         label = jump
 
 
-def graph_audit(edges: DataFrame, risks: DataFrame, closure: DataFrame, direct: DataFrame) -> DataFrame:
-    """Per graph: nodes, greatest risk, nodes on cycles, orphans and a summary."""
-    n = nodes(edges).join(risks, ["graph_id", "node"], "left").groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.coalesce(F.max("risk_score"), F.lit(0)).alias("max_risk"))
-    c = cyclic_nodes(closure).groupBy("graph_id").agg(F.count("*").alias("n_cyclic"))
-    o = orphans(edges, direct).groupBy("graph_id").agg(F.count("*").alias("n_orphans"))
+def graph_audit(packages: DataFrame, edges: DataFrame, components: DataFrame, direct: DataFrame) -> DataFrame:
+    """Per graph of packages (graph_id, node, risk_score): nodes, greatest risk, cyclic components, orphans, level and summary."""
+    n = packages.groupBy("graph_id").agg(F.count_distinct("node").alias("n_nodes"), F.coalesce(F.max("risk_score"), F.lit(0)).alias("max_risk"))
+    c = components.groupBy("graph_id").agg(F.count_distinct("component").alias("n_cyclic"))
+    o = orphans(packages.select("graph_id", "node").distinct(), edges, direct).groupBy("graph_id").agg(F.count("*").alias("n_orphans"))
     out = n.join(c, "graph_id", "left").join(o, "graph_id", "left").na.fill(0, ["n_cyclic", "n_orphans"])
-    return out.withColumn("level", S.health_level(F.col("max_risk")))
+    return out.withColumn("level", S.health_level(F.col("max_risk"))).withColumn("summary", audit_summary(F.col("n_nodes"), F.col("max_risk"), F.col("n_cyclic"), F.col("n_orphans")))
 
 
 def patchability(vulns: DataFrame, blockers: DataFrame, ranges: DataFrame, published: DataFrame, cyclic: DataFrame) -> DataFrame:
@@ -130,7 +262,7 @@ def patchability(vulns: DataFrame, blockers: DataFrame, ranges: DataFrame, publi
 def patch_recommendations(scored: DataFrame, keys: tuple[str, ...] = ("graph_id", "node", "fix_version")) -> DataFrame:
     """Vulnerabilities remedied by each fix, with the running mean of their scores in order of cve."""
     rows = F.array_sort(F.collect_list(F.struct("cve", "score")))
-    # a fix remedies the vulnerabilities of one package of one lockfile: a small group
+    # the known vulnerabilities of one package in one lockfile: a small group
     out = scored.filter("fix_version is not null").groupBy(*keys).agg(rows.alias("r"), F.bool_or(F.col("n_blockers") > 0).alias("has_blockers"))
     first = F.get(F.col("r"), F.lit(0))["score"].cast("long")
     mean = F.aggregate(F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))), first, lambda a, x: S.js_round((a + x["score"]) / 2))

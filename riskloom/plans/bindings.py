@@ -13,6 +13,8 @@ AS_OF_EVENTS, AS_OF_ORDERS = "2024-01-31 00:00:00", "2001-09-01 00:00:00"
 
 _ROW = "concat_ws('-', cast(l_orderkey AS string), cast(l_partkey AS string), cast(l_suppkey AS string), cast(l_linenumber AS string), cast(cast(floor(l_extendedprice * 100) AS bigint) AS string))"
 
+_LINES = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
 #: SQL of strings that are put into texts so that every signature has something to find.
 SNIPPETS = [
     "'stratum+ssl://pool.example.test xmrig --donate-level monero hashrate '", "'mining-pool ethash nicehash.com'", "'/bin/busybox MIRAI scanner_init'", "'qwertyuiopas.tk/ 185.10.20.30/abcd'",
@@ -72,10 +74,13 @@ FROM events""",
     "notification_channels": """SELECT c_custkey AS org_id, CASE c_nationkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'slack' ELSE 'webhook' END AS channel,
   c_name AS destination, (c_acctbal >= 0) AS enabled,
   CASE c_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS min_risk_level FROM customer""",
-    "dep_edges": """SELECT DISTINCT graph_id, src, dst FROM (
-  SELECT cast(floor(l_orderkey / 1000) AS bigint) AS graph_id, l_partkey % 60 AS src,
-         lead(l_partkey % 60) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
-  FROM lineitem) t WHERE dst IS NOT NULL AND dst <> src""",
+    "dep_nodes": "SELECT DISTINCT cast(floor(l_orderkey / 300) AS bigint) AS graph_id, l_partkey AS node, concat(cast(1 + l_partkey % 3 AS string), '.', cast(l_partkey % 4 AS string), '.0') AS version, cast(l_partkey * 7 % 101 AS int) AS risk_score FROM lineitem",
+    "dep_edges": f"""SELECT DISTINCT graph_id, src, dst FROM (
+  SELECT cast(floor(l_orderkey / 300) AS bigint) AS graph_id, l_partkey AS src, l_linenumber AS n, lead(l_partkey) OVER (PARTITION BY l_orderkey {_LINES}) AS dst FROM lineitem) t WHERE dst IS NOT NULL AND dst <> src AND n % 4 <> 0""",
+    "dep_roots": f"SELECT DISTINCT graph_id, node FROM (SELECT cast(floor(l_orderkey / 300) AS bigint) AS graph_id, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey {_LINES}) AS i FROM lineitem) t WHERE i = 1",
+    "critical_cves": """SELECT l_partkey AS node, concat('CVE-2020-', cast(l_orderkey % 3000 AS string)) AS cve, max(CASE WHEN l_linenumber = 7 THEN NULL ELSE l_shipdate END) AS fetched_at
+  FROM lineitem WHERE (l_orderkey * 7919 + l_partkey) % 1000 >= 980 GROUP BY l_partkey, concat('CVE-2020-', cast(l_orderkey % 3000 AS string))""",
+    "published_versions": "SELECT DISTINCT l_partkey AS node, concat(cast(l_linenumber AS string), '.', cast(l_orderkey % 9 AS string), '.', cast(l_suppkey % 3 AS string)) AS version FROM lineitem",
     "releases": f"SELECT l_partkey AS package_id, {_ROW} AS release_id, l_shipdate AS published_at FROM lineitem",
     "contributor_activity": "SELECT regexp_extract(props, '([0-9]+)', 1) AS repo, user_id AS login, (ts >= timestamp '2024-01-16 00:00:00') AS is_current FROM events",
     "script_sources": """SELECT doc_id AS source_id, doc_id % 51 AS package_id, concat(text, chr(10), CASE doc_id % 20

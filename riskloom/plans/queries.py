@@ -701,35 +701,46 @@ def k4_sarif(t: Inputs) -> DataFrame:
 # --- graphs -------------------------------------------------------------------------------
 
 
-@query("SELECT graph_id, node, count(DISTINCT src) AS dependents FROM (SELECT graph_id, src AS node FROM dep_edges UNION SELECT graph_id, dst FROM dep_edges) n LEFT JOIN (SELECT graph_id AS g, src, dst FROM dep_edges) e ON e.g = n.graph_id AND e.dst = n.node GROUP BY 1, 2")
+_NODES = "(SELECT graph_id, src AS node FROM dep_edges UNION SELECT graph_id, dst FROM dep_edges)"
+_CLOSURE = """WITH RECURSIVE c(graph_id, src, dst) AS (SELECT graph_id, src, dst FROM dep_edges UNION SELECT c.graph_id, c.src, e.dst FROM c JOIN dep_edges e ON e.graph_id = c.graph_id AND e.src = c.dst)"""
+_VULNERABLE = "SELECT DISTINCT n.graph_id, n.node FROM dep_nodes n JOIN critical_cves v ON v.node = n.node"
+_BACK = "c(graph_id, v, node) AS (SELECT graph_id, node, node FROM ({0}) UNION SELECT c.graph_id, c.v, e.src FROM c JOIN dep_edges e ON e.graph_id = c.graph_id AND e.dst = c.node)"
+#: Days within which a vulnerability's record counts.
+FRESH_DAYS = 2000
+
+
+@query(f"SELECT graph_id, node, count(DISTINCT src) AS dependents FROM {_NODES} n LEFT JOIN (SELECT graph_id AS g, src, dst FROM dep_edges) e ON e.g = n.graph_id AND e.dst = n.node GROUP BY 1, 2")
 def a31_reverse_dependents(t: Inputs) -> DataFrame:
     return graph.reverse_dependents(t["dep_edges"])
 
 
-@query("SELECT graph_id, node FROM (SELECT graph_id, src AS node FROM dep_edges UNION SELECT graph_id, dst FROM dep_edges) n WHERE NOT EXISTS (SELECT 1 FROM dep_edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node) AND node % 4 <> 0")
+_ORPHANS = "SELECT graph_id, node FROM dep_nodes n WHERE NOT EXISTS (SELECT 1 FROM dep_edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node) AND NOT EXISTS (SELECT 1 FROM dep_roots r WHERE r.graph_id = n.graph_id AND r.node = n.node)"
+
+
+@query(_ORPHANS)
 def g3_orphans(t: Inputs) -> DataFrame:
-    return graph.orphans(t["dep_edges"], graph.nodes(t["dep_edges"]).filter("node % 4 = 0"))
+    return graph.orphans(t["dep_nodes"].select("graph_id", "node"), t["dep_edges"], t["dep_roots"])
+
 
+_FRESH = f"SELECT node, cve FROM critical_cves WHERE timestamp '{AS_OF_ORDERS}' - fetched_at <= INTERVAL {FRESH_DAYS} DAY"
 
-@query("""WITH RECURSIVE c(graph_id, node) AS (SELECT DISTINCT graph_id, dst FROM dep_edges WHERE src = 7 UNION SELECT c.graph_id, e.dst FROM c JOIN dep_edges e ON e.graph_id = c.graph_id AND e.src = c.node)
-  SELECT graph_id, count(DISTINCT node) AS n_vulnerable FROM c WHERE node % 5 = 0 GROUP BY graph_id""")
+
+@query(f"""WITH RECURSIVE {_BACK.format(f"SELECT DISTINCT n.graph_id, n.node FROM dep_nodes n JOIN ({_FRESH}) v ON v.node = n.node")}
+  SELECT DISTINCT c.graph_id, c.node AS root, v.cve FROM c JOIN dep_roots r ON r.graph_id = c.graph_id AND r.node = c.node JOIN ({_FRESH}) v ON v.node = c.v""")
 def g1_transitive_vulnerabilities(t: Inputs) -> DataFrame:
-    e = t["dep_edges"]
-    roots = graph.nodes(e).filter("node = 7")
-    return graph.reachable(e, roots).filter("dst % 5 = 0").groupBy("graph_id").agg(F.count_distinct("dst").alias("n_vulnerable"))
+    fresh = t["critical_cves"].filter(S.is_fresh(F.col("fetched_at"), F.lit(AS_OF_ORDERS).cast("timestamp"), FRESH_DAYS))
+    vulns = t["dep_nodes"].select("graph_id", "node").join(fresh.select("node", "cve"), "node")
+    return graph.transitive_vulnerabilities(t["dep_edges"], t["dep_roots"], vulns)
 
 
-@query("""WITH RECURSIVE c(graph_id, v, node) AS (SELECT graph_id, dst, src FROM dep_edges WHERE dst IN (3, 11) UNION SELECT c.graph_id, c.v, e.src FROM c JOIN dep_edges e ON e.graph_id = c.graph_id AND e.dst = c.node)
-  SELECT graph_id, v AS vulnerable, count(*) AS n_blockers FROM c WHERE v <> node GROUP BY 1, 2""")
+@query(f"WITH RECURSIVE {_BACK.format(_VULNERABLE)} SELECT graph_id, v AS vulnerable, node AS blocker FROM c WHERE v <> node")
 def g4_upstream_blockers(t: Inputs) -> DataFrame:
-    e = t["dep_edges"]
-    return graph.upstream_blockers(e, graph.nodes(e).filter("node in (3, 11)")).groupBy("graph_id", "vulnerable").agg(F.count("*").alias("n_blockers"))
+    return graph.upstream_blockers(t["dep_edges"], t.sql(_VULNERABLE))
 
 
-@query("""WITH RECURSIVE c(graph_id, src, dst) AS (SELECT graph_id, src, dst FROM dep_edges UNION SELECT c.graph_id, c.src, e.dst FROM c JOIN dep_edges e ON e.graph_id = c.graph_id AND e.src = c.dst)
-  SELECT graph_id, count(*) AS n_cyclic FROM c WHERE src = dst GROUP BY graph_id""")
+@query(f"{_CLOSURE} SELECT graph_id, src AS node, max(other) AS component FROM (SELECT a.graph_id, a.src, a.dst AS other FROM c a JOIN c b ON b.graph_id = a.graph_id AND b.src = a.dst AND b.dst = a.src) GROUP BY 1, 2")
 def g2_cyclic_nodes(t: Inputs) -> DataFrame:
-    return graph.cyclic_nodes(graph.reachable(t["dep_edges"])).groupBy("graph_id").agg(F.count("*").alias("n_cyclic"))
+    return graph.cyclic_components(t["dep_edges"])
 
 
 @query("""SELECT a.graph_id, concat_ws('>', a.src, a.dst) AS chain, 2 AS length FROM dep_edges a JOIN dep_edges b ON b.graph_id = a.graph_id AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
@@ -738,12 +749,18 @@ def g2_short_cycles(t: Inputs) -> DataFrame:
     return graph.short_cycles(t["dep_edges"])
 
 
-@query("""WITH RECURSIVE c(graph_id, src, dst) AS (SELECT graph_id, src, dst FROM dep_edges UNION SELECT c.graph_id, c.src, e.dst FROM c JOIN dep_edges e ON e.graph_id = c.graph_id AND e.src = c.dst)
-  SELECT n.graph_id, n_nodes, coalesce(n_hit, 0) AS n_hit, round(coalesce(n_hit, 0) / cast(n_nodes AS double), 4) AS impact FROM (SELECT graph_id, count(*) AS n_nodes FROM (SELECT graph_id, src FROM dep_edges UNION SELECT graph_id, dst FROM dep_edges) GROUP BY 1) n
+@query()
+def g2_cycle_chains(t: Inputs) -> DataFrame:
+    e = t["dep_edges"]
+    return graph.cycle_chains(e, graph.cyclic_components(e))
+
+
+@query(f"""{_CLOSURE}
+  SELECT n.graph_id, n_nodes, coalesce(n_hit, 0) AS n_hit, round(coalesce(n_hit, 0) / cast(n_nodes AS double), 4) AS impact FROM (SELECT graph_id, count(*) AS n_nodes FROM {_NODES} GROUP BY 1) n
   LEFT JOIN (SELECT graph_id AS g, count(*) AS n_hit FROM (SELECT graph_id, src FROM c WHERE src = dst UNION SELECT c.graph_id, c.dst FROM c JOIN (SELECT graph_id, src FROM c WHERE src = dst) k ON k.graph_id = c.graph_id AND k.src = c.src) GROUP BY 1) h ON h.g = n.graph_id""")
 def g5_cycle_impact(t: Inputs) -> DataFrame:
     e = t["dep_edges"]
-    return graph.cycle_impact(e, graph.reachable(e))
+    return graph.cycle_impact(e, graph.cyclic_components(e))
 
 
 @query()
@@ -752,30 +769,45 @@ def g6_clusters(t: Inputs) -> DataFrame:
     return graph.clusters(pairs, "a", "b").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{_CLOSURE} SELECT graph_id, n_nodes, max_risk, n_cyclic, n_orphans, {health_sql('max_risk')} AS level, concat(n_nodes, ' package', CASE WHEN n_nodes <> 1 THEN 's' ELSE '' END, ' in graph; ',
+  CASE WHEN max_risk = 0 THEN 'no risk scores recorded' ELSE concat(CASE WHEN max_risk >= 75 THEN 'CRITICAL' WHEN max_risk >= 50 THEN 'HIGH' WHEN max_risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END, ' max-transitive risk score ', max_risk, '/100') END, '; ',
+  CASE WHEN n_cyclic > 0 THEN concat(n_cyclic, ' circular dep', CASE WHEN n_cyclic <> 1 THEN 's' ELSE '' END, ' detected') ELSE 'no circular deps' END, '; ',
+  CASE WHEN n_orphans > 0 THEN concat(n_orphans, ' orphaned dep', CASE WHEN n_orphans <> 1 THEN 's' ELSE '' END) ELSE 'no orphaned deps' END, '.') AS summary FROM (
+  SELECT n.graph_id, n_nodes, max_risk, coalesce(n_cyclic, 0) AS n_cyclic, coalesce(n_orphans, 0) AS n_orphans FROM (SELECT graph_id, count(*) AS n_nodes, max(risk_score) AS max_risk FROM dep_nodes GROUP BY 1) n
+  LEFT JOIN (SELECT graph_id AS g, count(DISTINCT component) AS n_cyclic FROM (SELECT a.graph_id, a.src, max(a.dst) AS component FROM c a JOIN c b ON b.graph_id = a.graph_id AND b.src = a.dst AND b.dst = a.src GROUP BY 1, 2) GROUP BY 1) k ON k.g = n.graph_id
+  LEFT JOIN (SELECT graph_id AS g, count(*) AS n_orphans FROM ({_ORPHANS}) GROUP BY 1) o ON o.g = n.graph_id)""")
 def g7_graph_audit(t: Inputs) -> DataFrame:
     e = t["dep_edges"]
-    risks = graph.nodes(e).withColumn("risk_score", (F.col("node") * 7 % 101).cast("int"))
-    return graph.graph_audit(e, risks, graph.reachable(e), graph.nodes(e).filter("node % 4 = 0"))
+    return graph.graph_audit(t["dep_nodes"], e, graph.cyclic_components(e), t["dep_roots"])
+
+
+_VULNS = "SELECT n.graph_id, v.cve, n.node, n.version FROM dep_nodes n JOIN critical_cves v ON v.node = n.node"
+_RANGES = "SELECT graph_id, src AS blocker, dst AS node, concat('^', cast(src % 4 AS string), '.0.0') AS range FROM dep_edges"
+_RANK = "CASE WHEN fix_version IS NULL OR circular THEN 0 WHEN n_blockers > 3 THEN 15 WHEN n_blockers >= 2 THEN 30 WHEN n_blockers = 1 THEN 50 WHEN f[1] <> w[1] THEN 65 WHEN f[2] <> w[2] THEN 85 ELSE 100 END"
+_PATCHES = f"""{_CLOSURE}, u AS ({_VULNS}),
+  fix AS (SELECT u.graph_id, u.cve, u.node, arg_min(p.version, {parts_sql('p.version')}) AS fix_version FROM u JOIN published_versions p ON p.node = u.node AND {parts_sql('p.version')} > {parts_sql('u.version')} GROUP BY 1, 2, 3),
+  rejects AS (SELECT fix.graph_id, fix.cve, fix.node, count(DISTINCT r.blocker) AS n FROM fix JOIN ({_RANGES}) r ON r.graph_id = fix.graph_id AND r.node = fix.node
+    WHERE NOT (cast(substr(r.range, 2, 1) AS bigint) = ({parts_sql('fix.fix_version')})[1] AND (cast(substr(r.range, 2, 1) AS bigint) > 0 OR ({parts_sql('fix.fix_version')})[2] = 0)) GROUP BY 1, 2, 3),
+  base AS (SELECT u.*, fix_version, coalesce(rejects.n, 0) AS n_blockers, {parts_sql('fix_version')} AS f, {parts_sql('u.version')} AS w, coalesce(rejects.n, 0) > 0 AND EXISTS (SELECT 1 FROM c WHERE c.graph_id = u.graph_id AND c.src = u.node AND c.dst = u.node) AS circular
+    FROM u LEFT JOIN fix ON fix.graph_id = u.graph_id AND fix.cve = u.cve AND fix.node = u.node LEFT JOIN rejects ON rejects.graph_id = u.graph_id AND rejects.cve = u.cve AND rejects.node = u.node)
+  SELECT graph_id, cve, node, version, fix_version, n_blockers, circular, {_RANK} AS score FROM base"""
 
 
 def _patchable(t: Inputs) -> DataFrame:
-    e = t["dep_edges"]
-    vulns = graph.nodes(e).filter("node in (3, 11)").select("graph_id", F.concat(F.lit("CVE-"), (F.col("graph_id") * 60 + F.col("node")).cast("string")).alias("cve"), "node", F.concat((F.col("graph_id") % 3).cast("string"), F.lit(".1.0")).alias("version"))
-    ranges = e.select("graph_id", F.col("src").alias("blocker"), F.col("dst").alias("node"), F.concat(F.lit("^"), (F.col("src") % 4).cast("string"), F.lit(".0.0")).alias("range"))
-    published = t.spark.range(1).select(F.explode(F.array(F.lit(3).cast("long"), F.lit(11).cast("long"))).alias("node")).select("node", F.explode(F.array(F.lit("1.1.4"), F.lit("2.0.0"), F.lit("0.2.0"))).alias("version"))
-    blockers = graph.upstream_blockers(e, vulns.select("graph_id", "node"))
-    return graph.patchability(vulns, blockers, ranges, published, graph.cyclic_nodes(graph.reachable(e)))
+    e, vulns = t["dep_edges"], t.sql(_VULNS)
+    blockers = graph.upstream_blockers(e, vulns.select("graph_id", "node").distinct())
+    return graph.patchability(vulns, blockers, t.sql(_RANGES), t["published_versions"], graph.cyclic_components(e).select("graph_id", "node"))
 
 
-@query()
+@query(_PATCHES)
 def g8_patchability(t: Inputs) -> DataFrame:
     return _patchable(t)
 
 
-@query()
+@query(f"""SELECT graph_id, node, fix_version, cast(len(r) AS int) AS n_cves, array_to_string(list_transform(r, lambda x: x.cve), ',') AS cves, cast(list_reduce(list_transform(r, lambda x: cast(x.score AS bigint)), lambda a, x: cast(floor((a + x) / 2.0 + 0.5) AS bigint)) AS bigint) AS score, has_blockers
+  FROM (SELECT graph_id, node, fix_version, list({{'cve': cve, 'score': score}} ORDER BY cve) AS r, bool_or(n_blockers > 0) AS has_blockers FROM ({_PATCHES}) WHERE fix_version IS NOT NULL GROUP BY 1, 2, 3)""")
 def a23_patch_recommendations(t: Inputs) -> DataFrame:
-    return graph.patch_recommendations(_patchable(t), ("node", "fix_version"))
+    return graph.patch_recommendations(_patchable(t))
 
 
 # --- artifacts ------------------------------------------------------------------------------

@@ -102,12 +102,66 @@ def test_scores(spark):
     assert [tuple(r) for r in got] == [(0, "none"), (89, "critical")]
 
 
+def brute_components(edges):
+    """node -> greatest node that it reaches and that reaches it, for nodes on cycles."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    to = {a: reach(a) for a in {x for e in edges for x in e}}
+    return {a: max(b for b in s if a in to[b]) for a, s in to.items() if a in s}
+
+
+def brute_chains(edges, parts, most):
+    """The least shortest cycle through each of the `most` least nodes on cycles, one for each set of nodes."""
+    out = {}
+    for start in sorted(parts)[:most]:
+        seen, front, found = {start}, {start: (start,)}, None
+        while front and not found:
+            step = {}
+            for a, way in front.items():
+                for x, b in edges:
+                    if x == a and parts.get(b) == parts[start]:
+                        step[b] = min(step.get(b, (*way, b)), (*way, b))
+            found = step.get(start)
+            front = {b: w for b, w in step.items() if b not in seen}
+            seen |= set(front)
+        out.setdefault(tuple(sorted(found[1:])), (">".join(map(str, found)), len(found) - 1))
+    return set(out.values())
+
+
+def test_components_and_chains_against_all_ways(spark):
+    r, rows, want, chains = random.Random(6), [], set(), set()
+    for g in range(6):
+        edges = {(r.randrange(40), r.randrange(40)) for _ in range([30, 45, 60, 80, 200, 5][g])} | ({(3, 3), (50, 50)} if g == 1 else set())
+        rows += [(g, a, b) for a, b in edges]
+        parts = brute_components(edges)
+        want |= {(g, a, c) for a, c in parts.items()}
+        chains |= {(g, *c) for c in brute_chains(edges, parts, 7)}
+    e = spark.createDataFrame(rows, "graph_id int, src int, dst int").repartition(3)
+    got = graph.cyclic_components(e)
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want) > 60
+    assert {tuple(x) for x in graph.cycle_chains(e, got, 7).collect()} == chains
+    none = e.filter("graph_id > 9")
+    assert graph.cyclic_components(none).count() == graph.cycle_chains(none, graph.cyclic_components(none)).count() == 0
+
+
 def test_graphs(spark):
     e = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "c", "d"), (2, "a", "b")], "graph_id int, src string, dst string")
-    closure = graph.reachable(e)
-    assert {r.node for r in graph.cyclic_nodes(closure).collect()} == {"a", "b", "c"}
+    parts = graph.cyclic_components(e)
+    assert {tuple(r) for r in parts.collect()} == {(1, "a", "c"), (1, "b", "c"), (1, "c", "c")}
     assert [r.chain for r in graph.short_cycles(e).collect()] == ["a>b>c"]
-    assert {(r.graph_id, r.impact) for r in graph.cycle_impact(e, closure).collect()} == {(1, 1.0), (2, 0.0)}
+    assert [tuple(r) for r in graph.cycle_chains(e, parts).collect()] == [(1, "a>b>c>a", 3)]
+    assert {(r.graph_id, r.impact) for r in graph.cycle_impact(e, parts).collect()} == {(1, 1.0), (2, 0.0)}
     assert {tuple(r) for r in graph.reachable(e, spark.createDataFrame([(2, "a")], "graph_id int, node string")).collect()} == {(2, "a", "b")}
     tree = [(1, f"n{i // 2}", f"n{i}") for i in range(1, 500) if i // 2]
     t = spark.createDataFrame(tree, "graph_id int, src string, dst string")
