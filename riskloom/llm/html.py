@@ -2,17 +2,20 @@
 
 A page becomes the sequence of its leaf blocks (text between block-level tags), each with features of its ancestor
 tags, their class and id words, and its text.  The field is trained on generated labelled pages of many layouts
-(TRAIN_PAGES of them) and decoded by Viterbi; the blocks labelled as article are joined by one space.
+(TRAIN_PAGES with marked articles, BARE_PAGES without any mark) and decoded by Viterbi; the blocks labelled as article
+are joined by one space.
 
 Defined results: a null or empty page, or one without article blocks, gives the empty text; a page that is plain text
 without tags is one block; unclosed and stray tags are tolerated: a head ends at the first element or text that cannot
 stand in it, an svg, select, object or the like that is never closed ends at the next block element, and an unclosed
-comment, script or style runs to the end; character references decode as in HTML5; nothing is cut by length; repeated rows each get their row; an empty
+comment, script or style runs to the end, and a quote that isn't closed or doesn't begin a value is a letter; a tag that
+never ends is text; time grows with the page's length, not with its depth; character references decode as in HTML5; nothing is cut by length; repeated rows each get their row; an empty
 table gives no rows; other columns are carried along.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import random
@@ -35,15 +38,19 @@ ALONE = frozenset("p li dt dd option tr td th".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 FOREIGN, HOLDS_HTML = frozenset(("svg", "math")), frozenset(("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"))
-EMBEDDED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noscript|template)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)(object|svg|math|select|canvas|audio|video)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*')*+>", re.DOTALL | re.IGNORECASE)
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: Elements that tell what a part isn't.
+ASIDE = frozenset("<nav <header <footer <aside <form <button <menu".split())
+#: What stands between a tag's name and its end: a quote counts only where it begins a value and is closed.
+WITHIN = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
+EMBEDDED = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noscript|template)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)(object|svg|math|select|canvas|audio|video)(?=[\s/>]){WITHIN}(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+#: The last alternative is a tag that never ends: the rest of the page is text.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({WITHIN})>|[^<]++|<(?!/?[a-zA-Z])|<.*", re.DOTALL)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/>])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|=\s*(?:\"[^\"]*\"|'[^']*')", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 SENTENCE = re.compile(r"[.!?…。]")
 
-LABELS, TRAIN_PAGES, EPOCHS, SEED = 2, 300, 15, 17
+LABELS, TRAIN_PAGES, BARE_PAGES, EPOCHS, SEED = 2, 300, 300, 15, 17
 
 
 def unclosed(page: str) -> set[int]:
@@ -60,11 +67,59 @@ def unclosed(page: str) -> set[int]:
     return {x for places in opened.values() for x in places}
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, features of the ancestors, characters inside links) of the shown leaf blocks."""
+class Stack:
+    """Open elements (name, marks, hidden), with what blocks() asks of them kept up to date by pushes and pops.
+
+    marks: how many open elements have each; where: places of the open elements of each name; blocks: places of those that
+    aren't inline.  Every question takes a time that doesn't grow with the depth, except for pops, which pushes pay for.
+    """
+
+    def __init__(self, known: dict[str, int] | None) -> None:
+        self.known, self.entries, self.marks, self.where, self.blocks = known, [], {}, {}, []
+
+    def push(self, name: str, marks: list[str], hidden: bool) -> None:
+        kept = tuple(m for m in marks if self.known is None or m in self.known)
+        for m in kept:
+            self.marks[m] = self.marks.get(m, 0) + 1
+        self.where.setdefault(name, []).append(len(self.entries))
+        if name not in INLINE:
+            self.blocks.append(len(self.entries))
+        self.entries.append((name, kept, hidden))
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from a place on."""
+        while len(self.entries) > depth:
+            name, kept, _ = self.entries.pop()
+            self.where[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            for m in kept:
+                self.marks[m] -= 1
+                if not self.marks[m]:
+                    del self.marks[m]
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of that name, or -1."""
+        places = self.where.get(name)
+        return places[-1] if places else -1
+
+    def top(self) -> str | None:
+        return self.entries[-1][0] if self.entries else None
+
+    def hidden(self) -> bool:
+        return bool(self.entries) and self.entries[-1][2]
+
+    def foreign(self) -> int | None:
+        """Place of the outermost foreign element that has no part within it that holds HTML."""
+        holder = max(map(self.last, HOLDS_HTML))
+        found = [p[bisect.bisect_right(p, holder)] for n in FOREIGN if (p := self.where.get(n)) and p[-1] > holder]
+        return min(found, default=None)
+
+
+def blocks(page: str | None, known: dict[str, int] | None = None) -> list[tuple[str, tuple[str, ...], int]]:
+    """(text, features of the ancestors, characters inside links) of the shown leaf blocks; features that are known only, if given."""
     out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
-    text: list[str] = []
+    stack, text = Stack(known), []
     linked, in_link, end = 0, 0, 0
     page = page or ""
     never_closed, loose = unclosed(page), []
@@ -73,8 +128,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         joined = SPACES.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            marks = [m for _, ms, _ in stack for m in ms]
-            out.append((joined, tuple(dict.fromkeys(marks)), linked))
+            out.append((joined, tuple(stack.marks), linked))
         text.clear()
         linked = 0
 
@@ -84,10 +138,10 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         name = m[2]
         if name is None:
             piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                while stack and stack[-1][0] == "head" and not piece.isspace():
-                    stack.pop()
-                if not any(h for _, _, h in stack[-1:]):
+            if piece[0] != "<" or piece == "<" or piece[1].isalpha() or piece[1] == "/":
+                while stack.top() == "head" and not piece.isspace():
+                    stack.cut(len(stack.entries) - 1)
+                if not stack.hidden():
                     text.append(piece)
                     if in_link:
                         linked += len(piece)
@@ -98,36 +152,35 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if name not in INLINE:
             flush()
         if name not in IN_HEAD and (not m[1] or name in ("body", "html", "br")):
-            while stack and stack[-1][0] == "head":
-                stack.pop()
+            while stack.top() == "head":
+                stack.cut(len(stack.entries) - 1)
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in INLINE and any(n not in INLINE for n, _, _ in stack[i + 1 :]):
-                        break
-                    del stack[i:]
-                    break
+            i = stack.last(name)
+            if i >= 0 and not (name in INLINE and stack.blocks and stack.blocks[-1] > i):
+                stack.cut(i)
             if name == "a" and in_link:
                 in_link -= 1
             continue
-        if name in BLOCKS and stack and stack[-1][2]:
-            for i, (n, _, _) in enumerate(stack):
-                if (i, n) in loose or (n in FOREIGN and not any(x in HOLDS_HTML for x, _, _ in stack[i + 1 :])):
-                    del stack[i:]
-                    break
+        while loose and (loose[-1][0] >= len(stack.entries) or stack.entries[loose[-1][0]][0] != loose[-1][1]):
+            loose.pop()
+        if name in BLOCKS and stack.hidden():
+            ends = [x for x in (stack.foreign(), loose[0][0] if loose else None) if x is not None]
+            if ends:
+                stack.cut(min(ends))
+                loose = [x for x in loose if x[0] < len(stack.entries)]
         if name in VOID or m[3].endswith("/"):
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, m.end())
             end = close.end() if close else len(page)
             continue
-        if name in ALONE and stack and name == next((n for n, _, _ in reversed(stack) if n not in INLINE), None):
-            while stack and stack[-1][0] != name:
-                stack.pop()
-            stack.pop()
-        marks, hidden = [f"<{name}"], name in HIDDEN or bool(stack and stack[-1][2])
+        if name in ALONE and stack.blocks and stack.entries[stack.blocks[-1]][0] == name:
+            stack.cut(stack.blocks[-1])
+        marks, hidden = [f"<{name}"], name in HIDDEN or stack.hidden()
         if m[3] and name not in INLINE:
             for a in ATTRIBUTE.finditer(m[3]):
+                if not a[1]:
+                    continue
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if key in ("class", "id", "role"):
                     marks += [f"@{w}" for w in WORD.findall(value)]
@@ -135,10 +188,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                     hidden = True
         if name == "a":
             in_link += 1
-        loose = [x for x in loose if x[0] < len(stack)]
         if m.start() in never_closed:
-            loose.append((len(stack), name))
-        stack.append((name, tuple(marks), hidden))
+            loose.append((len(stack.entries), name))
+        stack.push(name, marks, hidden)
     flush()
     return out
 
@@ -148,7 +200,8 @@ def features(block: tuple[str, tuple[str, ...], int]) -> list[str]:
     text, marks, linked = block
     n = len(text)
     density = min(4, 5 * linked // max(1, n))
-    return [*marks, f"n{min(8, n.bit_length())}", f"link{density}", f"end{int(bool(SENTENCE.search(text[-2:])))}", f"sentences{min(3, len(SENTENCE.findall(text)))}", f"copy{int(text[0] in '©')}", "bias"]
+    told = any(m[0] == "@" or m in ASIDE for m in marks)
+    return [*marks, f"told{int(told)}", f"n{min(8, n.bit_length())}", f"link{density}", f"end{int(bool(SENTENCE.search(text[-2:])))}", f"sentences{min(3, len(SENTENCE.findall(text)))}", f"copy{int(text[0] in '©')}", "bias"]
 
 
 class Field:
@@ -229,6 +282,7 @@ def fit(pages: list[tuple[list, list[int]]]) -> Field:
 MARK = "\ue000"
 #: Words of class and id attributes in generated pages: of article containers, and of each other part.
 ARTICLE_MARKS = ("content", "article", "post", "entry", "main", "body", "story", "text", "page")
+NEUTRAL_MARKS = ("wrapper", "container", "row", "col", "inner", "outer", "site", "box", "layout")
 OTHER_MARKS = {
     "nav": ("nav", "menu", "navigation", "breadcrumb", "navbar", "links"),
     "header": ("header", "masthead", "topbar", "banner", "branding", "logo"),
@@ -242,8 +296,8 @@ OTHER_MARKS = {
 }
 
 
-def labelled_page(r: random.Random) -> str:
-    """A page whose article text is marked: each of its blocks begins with MARK."""
+def labelled_page(r: random.Random, bare: bool = False) -> str:
+    """A page whose article text is marked: each of its blocks begins with MARK.  bare: no element or attribute tells the article."""
     letters = r.choice(["abcdefghilmnoprstuvw", "aeiourstlnmdéè", "abeginrstuäöüß", "абвгдежзиклмнопрст"])
     word = lambda: "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
     phrase = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
@@ -298,6 +352,35 @@ def labelled_page(r: random.Random) -> str:
         tag = r.choice(("article", "article", "article", "main", "div", "section"))
         return f"<{tag}{attrs(ARTICLE_MARKS, 1.0 if tag in ('div', 'section') else 0.4)}>{''.join(parts)}</{tag}>"
 
+    def unmarked() -> str:
+        """An article that no element or attribute marks, in many forms."""
+        prose = lambda: f"{mark}{sentences(1, 6)}"
+        form = r.choice(("p", "p", "p", "div", "div", "div", "div", "table", "pre", "bare", "br", "span"))
+        if form == "p":
+            body = (f"<h1>{mark}{phrase(2, 10)}</h1>" if r.random() < 0.5 else "") + "".join(f"<p>{prose()}</p>" for _ in range(r.randint(1, 4)))
+        elif form == "div":
+            body = (f"<h{r.randint(1, 2)}>{mark}{phrase(2, 8)}</h1>" if r.random() < 0.4 else "") + "".join(f"<div>{prose()}</div>" for _ in range(r.randint(1, 3)))
+        elif form == "table":
+            body = "<table>" + "".join(f"<tr><td>{prose()}</td></tr>" for _ in range(r.randint(1, 3))) + "</table>"
+        elif form == "pre":
+            body = f"<pre>{prose()}</pre>"
+        elif form == "br":
+            body = f"{prose()}<br>{sentences(1, 3)}"
+        elif form == "span":
+            body = f"<span>{prose()}</span>"
+        else:
+            body = prose()
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            tag = r.choice(("div", "div", "section", "center", "td"))
+            body = f"<{tag}{attrs(NEUTRAL_MARKS, 0.6)}>{body}</{tag}>" if tag != "td" else f"<table><tr><td>{body}</td></tr></table>"
+        return body
+
+    if bare:
+        few = lambda kinds: "".join(other(k) for k in kinds if r.random() < 0.5)
+        inner = few(("header", "nav", "notice", "ad", "form")) + unmarked() + few(("comments", "share", "aside", "ad", "footer"))
+        if r.random() < 0.15:
+            return f"{mark}{sentences(1, 5)}"
+        return inner if r.random() < 0.2 else f"<html><head><title>{phrase(2, 6)}</title></head><body>{inner}</body></html>"
     top = [other(k) for k in ("header", "nav", "notice", "ad", "form", "aside") if r.random() < 0.5]
     low = [other(k) for k in ("comments", "aside", "ad", "share", "form", "footer", "notice") if r.random() < 0.45]
     middle = article()
@@ -310,14 +393,14 @@ def labelled_page(r: random.Random) -> str:
 def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Field:
     """The field fitted on generated pages."""
     r, out = random.Random(seed), []
-    for _ in range(pages):
-        found = blocks(labelled_page(r))
+    for i in range(pages + BARE_PAGES):
+        found = blocks(labelled_page(r, i >= pages))
         out.append(([(t.replace(MARK, ""), m, n) for t, m, n in found], [int(MARK in t) for t, _, _ in found]))
     return fit([(p, y) for p, y in out if p])
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.index)
     return " ".join(b[0] for b, y in zip(found, field.viterbi(found), strict=True) if y)
 
 

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with every odd case, and on the smallest test tables."""
 
 import random
+import time
 from collections import Counter
 
 import brute
@@ -389,6 +390,30 @@ def test_main_text_of_held_out_pages():
     assert right >= 0.98 * n
 
 
+def test_main_text_without_marks():
+    """Shapes that the generator of training pages doesn't make word for word."""
+    a, b = "The harvest was late that year. Nobody in the valley had seen such rain.", "By winter the roads were closed, and the mill stood still."
+    text, both = html.main_text, f"{a} {b}"
+    field = html.train()
+    for page in (f"<body><p>{a}</p></body>", a, f"<table><tr><td>{a}</td></tr></table>", f"<body><pre>{a}</pre></body>", f"<div><div>{a}</div></div>"):
+        assert text(page, field) == a
+    assert text(f'<body><div class="wrapper"><h1>The harvest</h1><p>{a}</p><p>{b}</p></div></body>', field) == f"The harvest {both}"
+    assert text(f"<body><p>{a}</p><p>{b}</p></body>", field) == both
+    assert text(f"<p data-x=it's>{a}</p><p>{b}</p><p>{a}</p><p>{b}</p>", field) == f"{both} {both}"
+    assert text(f"<p title='x>{a}</p><p>{b}</p>", field) == both
+    assert text("<nav><a href=/>Home</a></nav><footer>&copy; us. All rights reserved.</footer>", field) == ""
+    assert [t for t, _, _ in html.blocks("<p a=\"x>y\" class='b'>c <d <p>e")] == ["c", "e"]
+    assert [t for t, _, _ in html.blocks("a<p b")] == ["a<p b"]
+
+
+def test_deep_pages_take_linear_time():
+    field = html.train()
+    for page in ("<div class=a>" * 100_000 + "x", "</p>" * 100_000, "<b>" * 50_000 + "<div></b>" * 50_000, "<i>" * 50_000 + "<li>x" * 50_000, "<svg>" + "<foreignObject>" * 30_000 + "<p>x" * 30_000, '<a b=">" ' * 50_000):
+        began = time.process_time()
+        html.main_text(page, field)
+        assert time.process_time() - began < 8
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(0)
     field = html.Field({"bias": 0}, r.standard_normal((1, 2)), r.standard_normal((2, 2)), r.standard_normal(2))
