@@ -106,6 +106,13 @@ FROM events""",
   FROM (SELECT p_partkey AS package_id, replace(p_name, ' ', '_') AS base_name FROM part) p""",
     "binary_registry": """SELECT doc_id AS artifact_id, CASE WHEN doc_id % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, concat('pkg-', cast(doc_id % 37 AS string)) AS package_name, cast(doc_id % 4 AS string) AS version,
   md5(text) AS binary_hash, CASE WHEN doc_id % 5 > 0 THEN concat('i', cast(length(text) AS string), cast(doc_id % 3 AS string)) END AS import_sig, CASE WHEN doc_id % 7 > 0 THEN concat('s', cast(length(text) % 100 AS string)) END AS syscall_sig FROM documents""",
+    "package_files": """SELECT package_id, path, concat(text, chr(10), 'const a = require("', up, CASE t1 % 4 WHEN 0 THEN concat('src/f', cast(t1 - base AS string)) WHEN 1 THEN concat('lib/../lib/f', cast(t1 - base AS string), '.ts') WHEN 2 THEN concat('f', cast(t1 - base AS string)) ELSE concat('f', cast(t1 - base AS string), '.mjs') END,
+    '"); import b from "', up, CASE t2 % 4 WHEN 0 THEN concat('src/f', cast(t2 - base AS string), '.js') WHEN 1 THEN concat('./lib/f', cast(t2 - base AS string)) WHEN 2 THEN concat('f', cast(t2 - base AS string), '/') ELSE concat('f', cast(t2 - base AS string)) END, '"; export * from "../../out";') AS content, size FROM (
+  SELECT *, base + (n * 7 + 3) % 97 AS t1, base + (n * 11 + 5) % 97 AS t2 FROM (SELECT cast(floor(doc_id / 97) AS bigint) AS package_id, doc_id - doc_id % 97 AS base, doc_id % 97 AS n, text, cast(n_chars * (1 + 40 * (doc_id % 2)) AS bigint) AS size, CASE WHEN doc_id % 4 = 3 THEN './' ELSE '../' END AS up,
+    CASE doc_id % 4 WHEN 0 THEN concat('src/f', cast(doc_id % 97 AS string), '.js') WHEN 1 THEN concat('lib/f', cast(doc_id % 97 AS string), '.ts') WHEN 2 THEN concat('f', cast(doc_id % 97 AS string), '/index.js') ELSE concat(CASE WHEN doc_id % 29 = 3 THEN 'postinstall' ELSE 'f' END, cast(doc_id % 97 AS string), '.mjs') END AS path FROM documents) d) x""",
+    "lifecycle_scripts": """SELECT DISTINCT package_id, hook, body FROM (SELECT cast(floor(doc_id / 97) AS bigint) AS package_id, CASE doc_id % 3 WHEN 0 THEN 'postinstall' WHEN 1 THEN 'prepare' ELSE 'test' END AS hook,
+  CASE doc_id % 3 WHEN 0 THEN 'node ./src/f8.js && python lib/x.py' WHEN 1 THEN concat('node lib', chr(92), 'f5.ts; node gone.js') ELSE 'node src/f4.js' END AS body FROM documents WHERE doc_id % 97 < 5) s""",
+    "entry_points": "SELECT DISTINCT cast(floor(doc_id / 97) AS bigint) AS package_id, 'main' AS field, 0 AS pos, concat('f', cast(2 + doc_id % 2 AS string)) AS value FROM documents WHERE doc_id % 97 = 1",
     "model_log": "SELECT role AS model, conv_id, turn, cast(length(text) AS bigint) AS latency_ms, (turn % 5 <> 0) AS success FROM conversations",
 }
 

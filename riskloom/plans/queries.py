@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detectors, graph, kpi, names, rules, scoring, similarity, tables
+from ..operators import detectors, graph, kpi, names, reach, rules, scoring, similarity, tables
 from .bindings import AS_OF_EVENTS, AS_OF_ORDERS, Inputs, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -810,6 +810,37 @@ def a23_patch_recommendations(t: Inputs) -> DataFrame:
     return graph.patch_recommendations(_patchable(t))
 
 
+_EXT = "['.js', '.cjs', '.mjs', '.ts', '.jsx', '.tsx']"
+
+
+def _resolve_sql(table: str, keys: str) -> str:
+    """References of a table resolved to the first candidate that is a file, in the order of the candidates."""
+    clean = "trim(regexp_replace(reference, '^[''\"]|[''\"]$', '', 'g'))"
+    tried = f"CASE WHEN regexp_matches(regexp_extract({clean}, '([^/]*)/*$', 1), '^.+\\.[^.]*$') AND regexp_extract({clean}, '([^/]*)/*$', 1) <> '..' THEN [{clean}] ELSE flatten(list_transform({_EXT}, lambda e: [concat({clean}, e), concat({clean}, '/index', e)])) END"
+    norm = "array_to_string(list_reduce(list_transform(string_split(c, '/'), lambda p: [p]), lambda a, p: CASE WHEN p[1] IN ('', '.') THEN a WHEN p[1] = '..' THEN CASE WHEN len(a) > 0 AND a[len(a)] <> '..' THEN a[1:len(a) - 1] ELSE list_concat(a, p) END ELSE list_concat(a, p) END, []::varchar[]), '/')"
+    each = f"SELECT {keys}, package_id, unnest({tried}) AS c, generate_subscripts({tried}, 1) AS i FROM {table}"
+    return f"SELECT {keys}, r.package_id, arg_min(path, i) AS path FROM (SELECT {keys}, package_id, i, {norm} AS path FROM ({each})) r JOIN package_files f USING (package_id, path) WHERE regexp_matches(path, '(?i)(^|/)[^/]+\\.(js|cjs|mjs|ts|jsx|tsx)$') GROUP BY {keys}, r.package_id"
+
+
+_IMPORTS_SQL = "list_concat(" + ", ".join("regexp_extract_all(content, '" + p.replace("'", "''") + "', 1)" for p in reach.IMPORTS) + ")"
+_ORDER_SQL = f"list_position([{', '.join(f"'{h}'" for h in reach.HOOKS)}], hook)"
+
+
+@query(f"""WITH RECURSIVE hook AS (SELECT *, {_ORDER_SQL} AS h FROM lifecycle_scripts WHERE {_ORDER_SQL} IS NOT NULL), taken AS (SELECT package_id, count(*) AS taken FROM hook GROUP BY 1),
+  ref AS (SELECT package_id, path AS file, generate_subscripts(u, 1) AS pos, concat(regexp_replace(path, '[^/]*$', ''), unnest(u)) AS reference FROM (SELECT package_id, path, list_filter({_IMPORTS_SQL}, lambda x, i: list_position({_IMPORTS_SQL}, x) = i) AS u FROM package_files WHERE size <= 524288)),
+  readable AS (SELECT package_id, path FROM package_files WHERE size <= 524288),
+  edge AS (SELECT e.* FROM ({_resolve_sql("ref", "file, pos")}) e JOIN readable USING (package_id, path)),
+  told AS (SELECT package_id, h, generate_subscripts(u, 1) AS i, unnest(u) AS reference FROM (SELECT package_id, h, list_transform(regexp_extract_all(body, '{reach.FILE_REFERENCE}'), lambda r: replace(r, chr(92), '/')) AS u FROM hook)),
+  walked AS (SELECT package_id, path, row_number() OVER (PARTITION BY package_id ORDER BY path) AS i FROM package_files WHERE regexp_matches(path, '(?i)(^|/)[^/]+\.(js|cjs|mjs|ts|jsx|tsx)$')),
+  seed AS (SELECT package_id, h AS a, i AS b, reference FROM told UNION ALL SELECT package_id, 100, pos, value FROM entry_points UNION ALL SELECT package_id, 200, i, path FROM walked WHERE i <= 64 AND regexp_matches(path, '{reach.INSTALL_NAME['npm']}')),
+  start AS (SELECT s.package_id, path, min([a, b]) AS o FROM ({_resolve_sql("seed", "a, b")}) s JOIN readable USING (package_id, path) GROUP BY 1, 2),
+  t(package_id, path, level, k) USING KEY (package_id, path) AS (SELECT package_id, path, 0, [row_number() OVER (PARTITION BY package_id ORDER BY o)] FROM start
+    UNION SELECT e.package_id, e.path, any_value(t.level) + 1, min(list_append(t.k, e.pos)) FROM t JOIN edge e ON e.package_id = t.package_id AND e.file = t.path WHERE NOT EXISTS (SELECT 1 FROM recurring.t r WHERE r.package_id = e.package_id AND r.path = e.path) GROUP BY 1, 2)
+  SELECT package_id, path, cast(level AS int) AS level, place FROM (SELECT t.package_id, path, level, row_number() OVER (PARTITION BY t.package_id ORDER BY level, k) - 1 + coalesce(taken, 0) AS place FROM t LEFT JOIN taken ON taken.package_id = t.package_id) WHERE place < 64""")
+def g9_reached_files(t: Inputs) -> DataFrame:
+    return reach.reached_files(t["package_files"], t["lifecycle_scripts"], t["entry_points"])
+
+
 # --- artifacts ------------------------------------------------------------------------------
 
 
