@@ -15,33 +15,6 @@ def with_bigrams(df: DataFrame, data: str, name: str = "grams") -> DataFrame:
     return df.withColumn(name, F.when(n >= 2, F.array_sort(F.array_distinct(pairs))).otherwise(F.array().cast("array<string>")))
 
 
-def similar_bytes(artifacts: DataFrame, least: int = 85) -> DataFrame:
-    """Pairs of artifacts of different packages whose byte bigrams' Jaccard is at least `least` per cent.
-
-    Prefix filter: with bigrams ordered by how rare they are, two sets that similar share one of the first
-    n - ceil(n * least / 100) + 1, so candidates come from an equi-join on those; exact copies are joined by digest and
-    left out of it.
-    """
-    base = with_bigrams(artifacts.withColumn("digest", F.sha2("data", 256)), "data").select("artifact_id", "package", "digest", "grams")
-    copies = base.select(F.col("artifact_id").alias("a"), F.col("package").alias("pa"), "digest").join(base.select(F.col("artifact_id").alias("b"), F.col("package").alias("pb"), "digest"), "digest").filter("a < b and pa <> pb")
-    exact = copies.select("a", "b", F.lit(100).alias("similarity"), F.lit("exact").alias("kind"))
-    one = base.filter(F.size("grams") > 0).groupBy("digest").agg(F.min("artifact_id").alias("artifact_id"), F.first("grams").alias("grams"))
-    each = one.select("digest", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    rare = each.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = each.join(F.broadcast(rare), "g").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))  # at most 65,536 bigrams
-    keep = F.col("n") - F.ceil(F.col("n") * least / 100) + 1
-    prefix = ordered.select("digest", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("p")).select("digest", "n", "p.g")
-    l_, r_ = prefix.select(F.col("digest").alias("da"), F.col("n").alias("na"), "g"), prefix.select(F.col("digest").alias("db"), F.col("n").alias("nb"), "g")
-    met = l_.join(r_, "g").filter((F.col("da") < F.col("db")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * least)).select("da", "db").distinct()
-    sets = one.select("digest", "grams")
-    both = met.join(sets.withColumnsRenamed({"digest": "da", "grams": "ga"}), "da").join(sets.withColumnsRenamed({"digest": "db", "grams": "gb"}), "db")
-    common = F.size(F.array_intersect("ga", "gb"))
-    scored = both.withColumn("similarity", S.js_round(common * 100.0 / (F.size("ga") + F.size("gb") - common)).cast("int")).filter(F.col("similarity") >= least).select("da", "db", "similarity")
-    ids = base.select("artifact_id", "package", "digest")
-    near = scored.join(ids.select(F.col("artifact_id").alias("x"), F.col("package").alias("px"), F.col("digest").alias("da")), "da").join(ids.select(F.col("artifact_id").alias("y"), F.col("package").alias("py"), F.col("digest").alias("db")), "db").filter("px <> py")
-    return exact.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity", F.lit("near").alias("kind")))
-
-
 def version_diff(rows: DataFrame, before: int, after: int) -> DataFrame:
     """Risk delta and number of behaviours added between two versions of a package (package_id, v, behaviour, risk_score)."""
     at = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c)))

@@ -208,17 +208,6 @@ def scan_queue(candidates: DataFrame, done: DataFrame, limit: int) -> DataFrame:
     return candidates.join(done.select("package_id").distinct(), "package_id", "left_anti").orderBy(F.desc("priority"), "package_id").limit(limit)
 
 
-def similar_by_any(left: DataFrame, signals: Sequence[str], key: str) -> DataFrame:
-    """Pairs of keys that share a non-empty signal, with the number of shared ones; one equi-join for each signal."""
-    out = None
-    for s in signals:
-        some = left.filter(F.col(s).isNotNull() & (F.col(s) != ""))
-        a, b = some.select(F.col(key).alias("a"), F.col(s).alias("v"), F.col("ecosystem").alias("e")), some.select(F.col(key).alias("b"), F.col(s).alias("v"), F.col("ecosystem").alias("e"))
-        hit = a.join(b, ["v", "e"]).filter("a < b").select("a", "b", F.lit(s).alias("signal"))
-        out = hit if out is None else out.unionByName(hit)
-    return out.groupBy("a", "b").agg(F.count_distinct("signal").alias("score"))
-
-
 def merge_coordinates(sbom: DataFrame, lockfile: DataFrame) -> DataFrame:
     """Full outer merge by name and version: the SBOM's hash first, the lockfile's address first."""
     a = sbom.select("name", "version", F.col("hash").alias("h1"), F.col("url").alias("u1"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import texts
-from ..operators import rules, scoring, similarity, tables
+from ..operators import rules, scoring, setjoin, similarity, tables
 from ..operators import signatures as G
 from .bindings import Inputs
 from .queries import _RULES_SQL, _hits, epss_sql, level_sql, query
@@ -229,11 +229,17 @@ def r16_archive_binaries(t: Inputs) -> DataFrame:
 _OTHER = "FROM binary_registry b WHERE b.ecosystem = a.ecosystem AND"
 
 
+_PAIRS = "list_distinct(list_transform(range(0, len({0}.fuzzy_hash) // 2), lambda i: substr({0}.fuzzy_hash, 2 * i + 1, 2)))"
+_BOTH = f"len(list_intersect({_PAIRS.format('a')}, {_PAIRS.format('b')}))"
+_FUZZY = f"b.package_name <> a.package_name AND substr(b.fuzzy_hash, 1, 8) = substr(a.fuzzy_hash, 1, 8) AND floor({_BOTH} * 100.0 / (len({_PAIRS.format('a')}) + len({_PAIRS.format('b')}) - {_BOTH}) + 0.5) >= 85"
+
+
 @query(f"""SELECT artifact_id, kind, CASE WHEN kind <> 'exact' THEN 'medium' WHEN differs THEN 'critical' ELSE 'high' END AS severity FROM (SELECT artifact_id, CASE WHEN EXISTS (SELECT 1 {_OTHER} b.binary_hash = a.binary_hash AND (b.package_name <> a.package_name OR b.version <> a.version)) THEN 'exact'
-  WHEN EXISTS (SELECT 1 {_OTHER} b.import_sig = a.import_sig AND b.package_name <> a.package_name) THEN 'import' WHEN EXISTS (SELECT 1 {_OTHER} b.syscall_sig = a.syscall_sig AND b.package_name <> a.package_name) THEN 'syscall' END AS kind,
+  WHEN EXISTS (SELECT 1 {_OTHER} b.import_sig = a.import_sig AND b.package_name <> a.package_name) THEN 'import' WHEN EXISTS (SELECT 1 {_OTHER} b.syscall_sig = a.syscall_sig AND b.package_name <> a.package_name) THEN 'syscall'
+  WHEN artifact_id IN (SELECT a.artifact_id FROM binary_registry a JOIN binary_registry b ON b.ecosystem = a.ecosystem AND {_FUZZY}) THEN 'fuzzy' END AS kind,
   EXISTS (SELECT 1 {_OTHER} b.binary_hash = a.binary_hash AND (b.package_name <> a.package_name OR b.version <> a.version) AND b.import_sig <> a.import_sig) AS differs FROM binary_registry a) WHERE kind IS NOT NULL""")
 def j15_repackaging(t: Inputs) -> DataFrame:
-    return similarity.repackaging(t["binary_registry"])
+    return setjoin.repackaging(t["binary_registry"])
 
 
 _GRAMS = "SELECT doc_id, list_distinct(list_transform(range(0, greatest(length(h) // 2 - 1, 0)), lambda i: substr(h, 2 * i + 1, 4))) AS g FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents)"

@@ -105,7 +105,8 @@ FROM events""",
     "wheels": """SELECT package_id, concat(base_name, '-1.0-', CASE package_id % 5 WHEN 0 THEN 'py3-none-any' WHEN 1 THEN 'py2.py3-none-any' WHEN 2 THEN 'cp311-cp311-manylinux_2_17_x86_64' WHEN 3 THEN 'PY27-none-any' ELSE 'py3-none-win32' END, '.whl') AS filename
   FROM (SELECT p_partkey AS package_id, replace(p_name, ' ', '_') AS base_name FROM part) p""",
     "binary_registry": """SELECT doc_id AS artifact_id, CASE WHEN doc_id % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, concat('pkg-', cast(doc_id % 37 AS string)) AS package_name, cast(doc_id % 4 AS string) AS version,
-  md5(text) AS binary_hash, CASE WHEN doc_id % 5 > 0 THEN concat('i', cast(length(text) AS string), cast(doc_id % 3 AS string)) END AS import_sig, CASE WHEN doc_id % 7 > 0 THEN concat('s', cast(length(text) % 100 AS string)) END AS syscall_sig FROM documents""",
+  md5(text) AS binary_hash, CASE WHEN doc_id % 5 > 0 THEN concat('i', cast(length(text) AS string), cast(doc_id % 3 AS string)) END AS import_sig, CASE WHEN doc_id % 7 > 0 THEN concat('s', cast(length(text) % 100 AS string)) END AS syscall_sig,
+  concat(md5(cast(doc_id % 11 AS string)), md5(cast(doc_id % 90 AS string)), substr(md5(cast(doc_id AS string)), 1, cast(doc_id % 5 * 2 AS int))) AS fuzzy_hash FROM documents""",
     "package_files": """SELECT package_id, path, concat(text, chr(10), 'const a = require("', up, CASE t1 % 4 WHEN 0 THEN concat('src/f', cast(t1 - base AS string)) WHEN 1 THEN concat('lib/../lib/f', cast(t1 - base AS string), '.ts') WHEN 2 THEN concat('f', cast(t1 - base AS string)) ELSE concat('f', cast(t1 - base AS string), '.mjs') END,
     '"); import b from "', up, CASE t2 % 4 WHEN 0 THEN concat('src/f', cast(t2 - base AS string), '.js') WHEN 1 THEN concat('./lib/f', cast(t2 - base AS string)) WHEN 2 THEN concat('f', cast(t2 - base AS string), '/') ELSE concat('f', cast(t2 - base AS string)) END, '"; export * from "../../out";') AS content, size FROM (
   SELECT *, base + (n * 7 + 3) % 97 AS t1, base + (n * 11 + 5) % 97 AS t2 FROM (SELECT cast(floor(doc_id / 97) AS bigint) AS package_id, doc_id - doc_id % 97 AS base, doc_id % 97 AS n, text, cast(n_chars * (1 + 40 * (doc_id % 2)) AS bigint) AS size, CASE WHEN doc_id % 4 = 3 THEN './' ELSE '../' END AS up,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detectors, graph, kpi, names, reach, rules, scoring, similarity, tables
+from ..operators import detectors, graph, kpi, names, reach, rules, scoring, setjoin, similarity, tables
 from .bindings import AS_OF_EVENTS, AS_OF_ORDERS, Inputs, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -844,13 +844,15 @@ def g9_reached_files(t: Inputs) -> DataFrame:
 # --- artifacts ------------------------------------------------------------------------------
 
 
-_SIGS = "SELECT doc_id AS artifact_id, 'npm' AS ecosystem, md5(text) AS import_sig, CASE WHEN n_chars > 4000 THEN md5(substring(text, 1, 200)) END AS syscall_sig FROM documents"
+_SIGNALS = ("import_sig", "syscall_sig", "fuzzy_hash")
+_SHARED = " + ".join(f"CASE WHEN a.{s} = b.{s} AND a.{s} <> '' THEN 1 ELSE 0 END" for s in _SIGNALS)
 
 
-@query(f"""SELECT a, b, count(*) AS score FROM (SELECT x.artifact_id AS a, y.artifact_id AS b, 'i' AS s FROM ({_SIGS}) x JOIN ({_SIGS}) y ON x.import_sig = y.import_sig AND x.artifact_id < y.artifact_id
-  UNION ALL SELECT x.artifact_id, y.artifact_id, 's' FROM ({_SIGS}) x JOIN ({_SIGS}) y ON x.syscall_sig = y.syscall_sig AND x.artifact_id < y.artifact_id) GROUP BY a, b""")
+@query(f"""SELECT r.artifact_id, cast(coalesce(n, 0) AS int) AS n, coalesce(matches, '') AS matches FROM binary_registry r LEFT JOIN (SELECT artifact_id, count(*) AS n, string_agg(concat(score, ':', other), ',' ORDER BY i) AS matches FROM (
+  SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY score DESC, other) AS i FROM (SELECT a.artifact_id, b.artifact_id AS other, {_SHARED} AS score FROM binary_registry a JOIN binary_registry b ON a.ecosystem = b.ecosystem AND a.artifact_id <> b.artifact_id) WHERE score > 0) WHERE i <= 50 GROUP BY 1) m ON m.artifact_id = r.artifact_id""")
 def j14_similar_artifacts(t: Inputs) -> DataFrame:
-    return tables.similar_by_any(t.sql(_SIGS), ["import_sig", "syscall_sig"], "artifact_id")
+    x = setjoin.most_alike(t["binary_registry"], _SIGNALS)
+    return x.select("artifact_id", F.size("matches").alias("n"), F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["score"].cast("string"), m["artifact_id"].cast("string"))), ",").alias("matches"))
 
 
 @query("""SELECT coalesce(s.name, l.name) AS name, coalesce(s.version, l.version) AS version, coalesce(s.h, l.h) AS hash, coalesce(l.u, s.u) AS url FROM
@@ -902,9 +904,15 @@ def t6_worst_finding(t: Inputs) -> DataFrame:
     return tables.first_by(t["findings"], ["analysis_id"], F.desc(S.rank_of(F.col("severity"), S.SEVERITIES)), "title").filter(F.col("severity").isin("high", "critical"))
 
 
-@query()
+_BIGRAMS = "SELECT doc_id, doc_id % 2 AS e, source, md5(text) AS h, list_distinct(list_transform(range(0, greatest(length(x) // 2 - 1, 0)), lambda i: substr(x, 2 * i + 1, 4))) AS g FROM (SELECT doc_id, source, text, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH d AS ({_BIGRAMS}), p AS (SELECT a.doc_id, count(*) FILTER (a.h = b.h) AS n_exact, count(*) FILTER (a.h <> b.h AND len(a.g) > 0 AND len(b.g) > 0 AND floor(len(list_intersect(a.g, b.g)) * 100.0 / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) + 0.5) >= 85) AS n_near
+    FROM d a JOIN d b ON a.e = b.e AND a.source <> b.source GROUP BY 1)
+  SELECT d.doc_id AS artifact_id, class_id, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, CASE WHEN n_exact > 0 THEN 'exact' WHEN n_near > 0 THEN 'near' END AS kind
+  FROM d LEFT JOIN p ON p.doc_id = d.doc_id JOIN (SELECT e, h, min(doc_id) AS class_id FROM d GROUP BY 1, 2) c ON c.e = d.e AND c.h = d.h""")
 def j16_similar_bytes(t: Inputs) -> DataFrame:
-    return similarity.similar_bytes(t["documents"].select(F.col("doc_id").alias("artifact_id"), F.col("source").alias("package"), F.col("text").cast("binary").alias("data")))
+    return setjoin.similar_bytes(t["documents"].select(F.col("doc_id").alias("artifact_id"), (F.col("doc_id") % 2).alias("ecosystem"), F.col("source").alias("package"), F.col("text").cast("binary").alias("data")))
 
 
 # --- detectors --------------------------------------------------------------------------------

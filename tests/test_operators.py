@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
-from riskloom.operators import graph, names, rules, scoring, similarity, tables
+from riskloom.operators import graph, names, rules, scoring, setjoin, similarity, tables
 
 
 def values(spark, rows, schema, *columns):
@@ -202,18 +202,56 @@ def test_cross_ecosystem_pairs_equal_all_pairs(spark):
     assert got == {(x.a, x.b): x.s for x in want} and len(want) > 30
 
 
+def jaccard(a, b):
+    return int(len(a & b) * 100 / len(a | b) + 0.5) if a and b else 0
+
+
 def test_similar_bytes_equal_all_pairs(spark):
+    r = random.Random(9)
     base = "the quick brown fox jumps over the lazy dog and runs away from here"
-    texts = [(1, "p", base), (2, "q", base), (3, "r", base + "!"), (4, "q", "nothing alike 0123456789"), (5, "p", base[:-2])]
-    df = spark.createDataFrame([(i, p, t.encode()) for i, p, t in texts], "artifact_id int, package string, data binary")
-    grams = {i: {t[k : k + 2] for k in range(len(t) - 1)} for i, _, t in texts}
+    texts = [base, base, base + "!", "nothing alike 0123456789", base[:-2], "", "", "a", None]
+    for _ in range(60):
+        t = list(r.choice([base, base[::-1], "".join(r.choice("abcdef ") for _ in range(80))]))
+        for _ in range(r.randint(0, 5)):
+            t[r.randrange(len(t))] = r.choice("xyz#")
+        texts.append("".join(t))
+    rows = [(i, i % 2, r.choice("pqr"), None if t is None else t.encode()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "artifact_id int, ecosystem int, package string, data binary").repartition(3)
+    grams = [{t[k : k + 2] for k in range(len(t or "") - 1)} for t in texts]
     want = set()
-    for i, p, _ in texts:
-        for j, q, _ in texts:
-            s = int(len(grams[i] & grams[j]) * 100 / len(grams[i] | grams[j]) + 0.5)
-            if i < j and p != q and s >= 85:
-                want.add((i, j, s))
-    assert {(r.a, r.b, r.similarity) for r in similarity.similar_bytes(df).collect()} == want
+    for i, e, p, d in rows:
+        others = [(x[3] == d, jaccard(grams[i], grams[x[0]])) for x in rows if x[1] == e and x[2] != p and x[3] is not None]
+        exact, near = sum(x for x, _ in others), sum(not x and s >= 85 for x, s in others)
+        if d is not None:
+            want.add((i, min(x[0] for x in rows if x[1] == e and x[3] == d), exact, near, "exact" if exact else "near" if near else None))
+    assert {tuple(x) for x in setjoin.similar_bytes(df).collect()} == want and sum(x[3] > 0 for x in want) > 20
+    assert setjoin.similar_bytes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("least", [60, 85, 100])
+def test_similar_sets_equal_all_pairs(spark, least):
+    r, rows = random.Random(least), []
+    for i in range(80):
+        items = set(r.sample(range(12), r.randint(0, 8))) | ({100 + i} if i % 3 else set())
+        rows.append((f"b{i % 2}", i, sorted(items), len(items)))
+    rows += [(b, 200 + i, x, n) for b, i, x, n in rows[:20]]
+    df = spark.createDataFrame(rows, "block string, key int, items array<int>, n int").repartition(3)
+    want = {(x[1], y[1], s) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and (s := jaccard(set(x[2]), set(y[2]))) >= least}
+    assert {tuple(x) for x in setjoin.similar_sets(df, least).collect()} == want and want
+
+
+@pytest.mark.parametrize("top", [3, 50])
+def test_most_alike_equal_all_pairs(spark, top):
+    r = random.Random(top)
+    rows = [(i, f"e{i % 2}", *[r.choice(["", None, *range(n)]) for n in (2, 5, 9)]) for i in range(70)]
+    rows = [(i, e, *[None if x is None else str(x) for x in s]) for i, e, *s in rows]
+    df = spark.createDataFrame(rows, "artifact_id int, ecosystem string, a string, b string, c string").repartition(3)
+    want = {}
+    for i, e, *s in rows:
+        found = [(sum(bool(x) and x == y for x, y in zip(s, o[2:], strict=True)), o[0]) for o in rows if o[0] != i and o[1] == e]
+        want[i] = sorted((x for x in found if x[0]), key=lambda x: (-x[0], x[1]))[:top]
+    got = {x.artifact_id: [(m.score, m.artifact_id) for m in x.matches] for x in setjoin.most_alike(df, ("a", "b", "c"), top).collect()}
+    assert got == want
 
 
 def test_detectors(spark):
