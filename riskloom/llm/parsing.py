@@ -15,7 +15,8 @@ others meet in buckets by that name:
 * else equal contexts are one entry, and a bucket's entries are ordered: the suffix array of its dictionary (the phrases
   before the triggers, read backwards) groups the entries that a place's suffix has in common, the suffix array of its
   parse (the bytes after the name) orders each group, and the least common prefix of neighbours says which places match;
-* a bucket of more than LIMIT entries isn't brought together: its strings of SPAN bytes are counted by two digests.
+* a bucket of more than LIMIT entries isn't brought together: it is split by the distance before the trigger and what
+  strings there must have in common, down to single strings if need be, which are counted by two digests.
 
 Places without a trigger in their first BEFORE bytes are rare but in periodic or very uniform text.  They are compared
 by the digests of the whole string; within a document each distinct one is sent once.
@@ -43,8 +44,8 @@ from .tokens import BYTE, STEP, mix, powers
 
 #: Bytes of a repeated string and of a trigger, mean distance of triggers, bytes before a trigger, entries of a bucket.
 SPAN, TRIGGER, MEAN, BEFORE, LIMIT = 400, 8, 48, 256, 256
-#: Bytes after a trigger that name it.
-NAME = SPAN - BEFORE
+#: Bytes after a trigger that name it, and distances before a trigger in the parts of large buckets.
+NAME, WIDTHS = SPAN - BEFORE, (512, 32, 4, 1)
 _HASH = np.random.default_rng(12).integers(0, 2**32, 256, dtype=np.uint32)
 _STEPS = [np.uint32(0x9E3779B1), np.uint32(0x9E3779B1**2 % 2**32), np.uint32(0x9E3779B1**4 % 2**32)]
 #: Two families of digests: a value per byte, powers of an odd number and of its inverse.
@@ -248,17 +249,61 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def _window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both digests of every string of SPAN bytes around an entry, by its bucket's name and the bytes about that."""
-    for batch in batches:
-        for name, row, place, times, left, right in zip(*[batch.column(c).to_pylist() for c in ("name", "row", "place", "times", "left", "right")], strict=True):
-            x = np.arange(max(0, SPAN - NAME - len(right)), len(left) + 1)
-            around = np.frombuffer(left[::-1] + right, dtype=np.uint8)
-            d = Digests(around)
-            key = np.uint64(name % 2**64)
-            one, two = (mix(d.of(f, len(left) - x, len(left) - x + SPAN - NAME) ^ mix(np.full(len(x), key, dtype=np.uint64) + x.astype(np.uint64))).view(np.int64) for f in (0, 1))
-            n = len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(n, row)), pa.array(packed((place >> 32) - x, 0, SPAN)), pa.array(np.full(n, times))], names=["one", "two", "row", "place", "times"])
+def _bands(wide: int, width: int):
+    """Of every entry's bands of `wide` distances before its trigger, the parts of `width` distances.
+
+    one: a digest of what two entries have in common wherever strings at these distances are equal; whole: of all that
+    these strings cover; span: that as a packed place.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, row, place, times, left, right, bands in zip(*[batch.column(c).to_pylist() for c in ("name", "row", "place", "times", "left", "right", "bands")], strict=True):
+                n, least = len(left), max(0, SPAN - NAME - len(right))
+                near = np.array([x for b in bands for x in range(b, b + wide, width) if x <= n and x + width > least], dtype=np.int64)
+                far = np.minimum(near + width - 1, BEFORE)
+                d, key = Digests(np.frombuffer(left[::-1] + right, dtype=np.uint8)), np.uint64(name % 2**64)
+                one = mix(d.of(0, n - near, n + SPAN - NAME - far) ^ mix(key + near.astype(np.uint64)))
+                first, last = np.minimum(far, n), np.maximum(near, least)
+                whole = mix(d.of(1, n - first, n + SPAN - NAME - last) ^ mix(key + first.astype(np.uint64) * np.uint64(1 << 10) + last.astype(np.uint64)))
+                span = packed((place >> 32) - first, 0, SPAN + first - last)
+                out.append((one, whole, np.full(len(near), row), np.full(len(near), place), np.full(len(near), times), near, span))
+            columns = [np.concatenate([o[i] for o in out]).view(np.int64) for i in range(7)] if out else [np.empty(0, dtype=np.int64)] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "whole", "row", "place", "times", "band", "span"])
+
+    return cut
+
+
+def _by_bands(entries: DataFrame) -> DataFrame:
+    """row and place of what is repeated among the entries of large buckets, which are split again and again.
+
+    A bucket is split by the distance before the trigger, and by what all strings at such distances cover.  Where all
+    entries of a part agree in all that its strings cover, these are repeated; small parts are put in order; the rest
+    is split finer, and at one distance a part is one string.  Parts are groups of counts, never brought together.
+    """
+    hot = saved(entries.withColumn("bands", F.array(F.lit(0).cast("long"))))
+    results, wide = hot.filter(F.lit(False)).select("row", "place"), WIDTHS[0]
+    for width in WIDTHS[1:]:
+        if hot.isEmpty():
+            break
+        parts = saved(hot.mapInArrow(_bands(wide, width), "one long, whole long, row long, place long, times long, band long, span long"))
+        keys = ["one", "whole"] if width == 1 else ["one"]
+        counts = parts.groupBy(*keys).agg(F.sum("times").alias("n"), F.count("*").alias("size"), (F.min("whole") == F.max("whole")).alias("same"))
+        met = saved(parts.drop("times").join(saved(counts.filter("n > 1").drop("n")).hint("merge"), keys))
+        results = results.unionByName(met.filter("same").select("row", F.col("span").alias("place")))
+        left = met.filter("not same").select("one", "row", "place", "band", "size")
+        few = left.filter(F.col("size") <= LIMIT).join(hot.select("row", "place", "left", "right").hint("merge"), ["row", "place"])
+        results = results.unionByName(_in_order(few.withColumnRenamed("one", "name")))
+        more = left.filter(F.col("size") > LIMIT).groupBy("row", "place").agg(F.collect_list("band").alias("bands"))
+        hot, wide = saved(hot.drop("bands").join(saved(more).hint("merge"), ["row", "place"])), width
+    return results
+
+
+def _in_order(entries: DataFrame) -> DataFrame:
+    """row and place of what is repeated among the entries (name, row, place, left, right) of small buckets."""
+    buckets = entries.groupBy("name").agg(F.collect_list(F.struct("row", "place", "left", "right")).alias("entries"))
+    return buckets.select("entries").mapInArrow(_match, "row long, place long")
 
 
 def repeated_places(texts: DataFrame) -> DataFrame:
@@ -277,12 +322,9 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     around = texts.select("row", "bytes").join(small_side(per_row), "row").mapInArrow(_bytes_around, "name long, row long, place long, times long, left binary, right binary")
     sizes = saved(entries.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1"))
     around = saved(around.join(small_side(sizes), "name"))
-    buckets = around.filter(F.col("size") <= LIMIT).groupBy("name").agg(F.collect_list(F.struct("row", "place", "left", "right")).alias("entries"))
-    ordered = buckets.select("entries").mapInArrow(_match, "row long, place long")
-    counted = saved(around.filter(F.col("size") > LIMIT).select("name", "row", "place", "times", "left", "right").mapInArrow(_window_names, "one long, two long, row long, place long, times long"))
-    twice = counted.groupBy("one", "two").agg(F.sum("times").alias("times")).filter("times > 1").select("one", "two")
-    named = counted.join(twice.hint("merge"), ["one", "two"], "left_semi").select("row", "place")
-    return met.filter("name is null").select("row", "place").unionByName(equal).unionByName(ordered).unionByName(named)
+    ordered = _in_order(around.filter(F.col("size") <= LIMIT))
+    split = _by_bands(around.filter(F.col("size") > LIMIT).drop("size"))
+    return met.filter("name is null").select("row", "place").unionByName(equal).unionByName(ordered).unionByName(split)
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
