@@ -100,30 +100,6 @@ def lockfile_exposure(flagged: DataFrame, dependencies: DataFrame) -> DataFrame:
     return dependencies.join(flagged.select("package_id").distinct(), "package_id", "left_semi").groupBy("org_id", "package_id").agg(F.min("lockfile_scan_id").alias("lockfile_scan_id"))
 
 
-def confusion_hits(packages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Packages whose name matches an organisation's pattern for its own names.
-
-    There are a few patterns; rows whose pattern isn't a valid expression must be dropped before.
-    """
-    distinct = patterns.filter("internal_package_pattern is not null").select("internal_package_pattern").distinct()
-    hits = packages.select("package_id", "name").join(F.broadcast(distinct), F.expr("name rlike internal_package_pattern"))
-    return hits.join(patterns, "internal_package_pattern").select("org_id", "watchlist_id", "package_id", "name")
-
-
-def valid_patterns(patterns: list[str]) -> list[str]:
-    """The patterns that compile; the table of patterns is small and lives on the driver."""
-    import re
-
-    def good(p: str) -> bool:
-        try:
-            re.compile(p)
-        except re.error:
-            return False
-        return True
-
-    return [p for p in patterns if good(p)]
-
-
 def dependency_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Vulnerabilities of each pinned dependency: those of its package whose range contains the version.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.signatures import CHAINS, slots
 
 #: Point in time of each family of inputs; no operator reads the clock.
-AS_OF_EVENTS, AS_OF_ORDERS = "2024-01-31 00:00:00", "2001-09-01 00:00:00"
+AS_OF_EVENTS, AS_OF_ORDERS, AS_OF_FEED = "2024-01-31 00:00:00", "2001-09-01 00:00:00", "2001-08-01 00:00:00"
 
 _ROW = "concat_ws('-', cast(l_orderkey AS string), cast(l_partkey AS string), cast(l_suppkey AS string), cast(l_linenumber AS string), cast(cast(floor(l_extendedprice * 100) AS bigint) AS string))"
 
@@ -68,7 +68,17 @@ FROM events""",
   (l_partkey % 3 = 0) AS is_native FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "watchlists": """SELECT s_suppkey AS watchlist_id, s_suppkey % 150 AS org_id,
   CASE s_nationkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'slack' ELSE 'webhook' END AS channel, s_name AS destination,
-  CASE WHEN s_suppkey % 5 = 0 THEN '^(red|blue)-.*' WHEN s_suppkey % 5 = 1 THEN '^hot-' END AS internal_package_pattern FROM supplier""",
+  CASE WHEN s_suppkey % 5 = 0 THEN '^(red|blue)-.*' WHEN s_suppkey % 5 = 1 THEN '^hot-' WHEN s_suppkey % 35 = 2 THEN '(green|rose).*[05]$' END AS internal_package_pattern,
+  CASE s_suppkey % 3 WHEN 0 THEN split('@acme,acme.test', ',') WHEN 1 THEN split('NPMJS.org', ',') END AS trusted_domains FROM supplier""",
+    "resolved_packages": """SELECT p_partkey AS package_id, concat(replace(p_name, ' ', '-'), '-', cast(p_partkey AS string)) AS name,
+  CASE p_partkey % 5 WHEN 1 THEN 'https://registry.npmjs.org/@acme/x.tgz' WHEN 2 THEN 'https://npm.acme.test/y' WHEN 3 THEN '@Acme/y' WHEN 4 THEN 'npmjs.org/z' END AS resolved_from FROM part""",
+    "vuln_feed": "SELECT o_orderkey AS advisory_id, cast((o_orderkey * 7919) % 1000 AS double) / 1000 AS epss_percentile, (o_orderkey % 11 = 0) AS kev, o_orderdate AS ingested_at FROM orders",
+    "advisory_products": "SELECT DISTINCT l_orderkey AS advisory_id, concat('cpe:2.3:a:Vendor', cast(l_suppkey % 7 AS string), ':', replace(p_name, ' ', '-'), CASE WHEN l_linenumber = 1 THEN '-core' ELSE '' END, ':*') AS cpe FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 <> 0",
+    "advisory_ranges": """SELECT DISTINCT l_orderkey AS advisory_id, CASE WHEN l_linenumber % 4 > 0 THEN concat(cast(l_linenumber % 3 AS string), '.0.0') END AS min_version,
+  CASE WHEN l_suppkey % 6 > 0 THEN concat(cast(l_linenumber % 3 + l_suppkey % 3 AS string), '.', cast(l_orderkey % 9 AS string), '.0') END AS max_version FROM lineitem WHERE l_orderkey % 7 <> 0""",
+    "named_dependencies": """SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN upper(substr(p_name, 1, 4)) WHEN l_linenumber % 3 = 1 THEN concat(replace(p_name, ' ', '-'), '-core') ELSE replace(p_name, ' ', '-') END AS name,
+  concat(cast(l_linenumber % 4 AS string), '.', cast(l_suppkey % 3 AS string), '.0') AS version FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "wheel_times": "SELECT l_partkey AS package_id, l_suppkey % 3 AS version, CASE WHEN l_linenumber % 4 > 0 THEN timestamp '1995-01-01 00:00:00' + (l_shipdate - timestamp '1995-01-01 00:00:00') / 30 END AS modified FROM lineitem",
     "watchlist_packages": """SELECT DISTINCT l_suppkey AS watchlist_id, l_partkey AS package_id,
   CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE concat(cast(l_linenumber AS string), '.0.0') END AS version FROM lineitem""",
     "notification_channels": """SELECT c_custkey AS org_id, CASE c_nationkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'slack' ELSE 'webhook' END AS channel,

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detectors, graph, kpi, names, reach, rules, scoring, setjoin, similarity, tables
-from .bindings import AS_OF_EVENTS, AS_OF_ORDERS, Inputs, oracle
+from ..operators import detectors, graph, kpi, names, products, reach, rules, scoring, setjoin, similarity, tables
+from .bindings import AS_OF_EVENTS, AS_OF_FEED, AS_OF_ORDERS, Inputs, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -334,6 +334,16 @@ def j8_dependency_advisories(t: Inputs) -> DataFrame:
     return tables.dependency_advisories(t["lockfile_dependencies"].select("package_id", "version").distinct(), adv)
 
 
+@query(f"""WITH f AS (SELECT * FROM vuln_feed WHERE timestamp '{AS_OF_FEED}' - ingested_at <= INTERVAL 30 DAY),
+  m AS (SELECT d.name, d.version, f.advisory_id, f.epss_percentile, f.kev FROM named_dependencies d, f
+    WHERE (f.advisory_id NOT IN (SELECT advisory_id FROM advisory_products) OR EXISTS (SELECT 1 FROM advisory_products p WHERE p.advisory_id = f.advisory_id AND contains(lower(p.cpe), lower(d.name))))
+    AND (f.advisory_id NOT IN (SELECT advisory_id FROM advisory_ranges) OR EXISTS (SELECT 1 FROM advisory_ranges r WHERE r.advisory_id = f.advisory_id
+      AND (r.min_version IS NULL OR {parts_sql('d.version')} >= {parts_sql('r.min_version')}) AND (r.max_version IS NULL OR {parts_sql('d.version')} <= {parts_sql('r.max_version')}))))
+  SELECT d.name, d.version, count(m.advisory_id) AS n_vulns, coalesce(max(m.epss_percentile), 0) AS highest_percentile, coalesce(bool_or(m.kev), false) AS has_kev FROM named_dependencies d LEFT JOIN m ON m.name = d.name AND m.version = d.version GROUP BY 1, 2""")
+def j8_product_advisories(t: Inputs) -> DataFrame:
+    return products.product_advisories(t["named_dependencies"], t["vuln_feed"], t["advisory_products"], t["advisory_ranges"], F.lit(AS_OF_FEED).cast("timestamp"), 30)
+
+
 @query(f"""SELECT package_id, arg_max(advisory_id, epss_percentile * 1000000000 - advisory_id) AS top_advisory, max(epss_percentile) AS top_percentile, {epss_sql('max(epss_percentile)', 'd')} AS boost
   FROM (SELECT DISTINCT l.package_id, l.advisory_id, e.epss_percentile FROM package_advisories l JOIN epss_scores e ON e.advisory_id = l.advisory_id) GROUP BY package_id""")
 def j26_top_vulnerability(t: Inputs) -> DataFrame:
@@ -466,9 +476,13 @@ def j2_lockfile_exposure(t: Inputs) -> DataFrame:
     return tables.lockfile_exposure(t.sql(_FLAGGED), t["lockfile_dependencies"])
 
 
-@query("SELECT w.org_id, w.watchlist_id, count(*) AS n FROM packages p JOIN watchlists w ON regexp_matches(p.name, w.internal_package_pattern) GROUP BY 1, 2")
+_TRUSTED = """len(list_filter(coalesce(w.trusted_domains, []), lambda d: CASE WHEN lower(d) LIKE '@%' THEN src = lower(d) OR starts_with(src, concat(lower(d), '/'))
+  WHEN host <> '' THEN host = lower(d) OR ends_with(host, concat('.', lower(d))) ELSE src = lower(d) OR starts_with(src, concat(lower(d), '/')) OR ends_with(src, concat('.', lower(d))) END)) > 0"""
+
+
+@query(f"SELECT w.org_id, w.watchlist_id, p.package_id, p.name FROM (SELECT *, lower(resolved_from) AS src, lower(regexp_extract(resolved_from, '^[a-z]+://([^/:]+)', 1)) AS host FROM resolved_packages) p JOIN watchlists w ON regexp_matches(p.name, w.internal_package_pattern) WHERE src IS NULL OR NOT {_TRUSTED}")
 def j3_confusion_hits(t: Inputs) -> DataFrame:
-    return tables.confusion_hits(t["packages"], t["watchlists"]).groupBy("org_id", "watchlist_id").agg(F.count("*").alias("n"))
+    return products.confusion_hits(t["resolved_packages"], t["watchlists"])
 
 
 @query(f"""SELECT org_id, channel, count(*) AS n FROM (SELECT DISTINCT org_id, package_id, channel, destination FROM (
@@ -551,9 +565,11 @@ def a20_maintenance(t: Inputs) -> DataFrame:
     return t["releases"].groupBy("package_id").agg((F.count_if(F.col("published_at") >= F.lit("2001-06-03 00:00:00").cast("timestamp")) * 3).alias("velocity"), F.greatest(F.lit(0.0), 1 - F.least(n / 5.0, F.lit(1.0))).alias("bus_risk"))
 
 
-@query("SELECT package_id, count(*) AS releases, date_diff('hour', min(published_at), max(published_at)) > 48 AS inconsistent FROM releases GROUP BY package_id")
+@query("""SELECT n.package_id, n.version, n_files, CASE WHEN timed > 1 THEN skew END AS max_skew, CASE WHEN timed > 1 THEN coalesce(pairs, 0) END AS n_inconsistent, CASE WHEN timed > 1 THEN coalesce(pairs, 0) = 0 END AS consistent
+  FROM (SELECT package_id, version, count(*) AS n_files, count(modified) AS timed, cast(floor(epoch(max(modified))) - floor(epoch(min(modified))) AS bigint) AS skew FROM wheel_times GROUP BY 1, 2) n LEFT JOIN (SELECT a.package_id, a.version, count(*) AS pairs
+    FROM wheel_times a JOIN wheel_times b ON a.package_id = b.package_id AND a.version = b.version AND floor(epoch(b.modified)) - floor(epoch(a.modified)) > 172800 GROUP BY 1, 2) p ON p.package_id = n.package_id AND p.version = n.version""")
 def j21_timestamp_skew(t: Inputs) -> DataFrame:
-    return t["releases"].groupBy("package_id").agg(F.count("*").alias("releases"), ((F.unix_timestamp(F.max("published_at")) - F.unix_timestamp(F.min("published_at"))) / 3600 > 48).alias("inconsistent"))
+    return products.timestamp_skew(t["wheel_times"], ["package_id", "version"], "modified")
 
 
 @query("SELECT repo, count(*) AS departed FROM (SELECT DISTINCT repo, login FROM contributor_activity WHERE NOT is_current EXCEPT SELECT DISTINCT repo, login FROM contributor_activity WHERE is_current) GROUP BY repo")

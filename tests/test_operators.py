@@ -89,9 +89,6 @@ def test_tables(spark):
     new = spark.createDataFrame([(2, "b"), (3, None)], "k int, v string")
     assert {tuple(r) for r in tables.upsert_if_changed(base, new, ["k"], ["v"]).collect()} == {(1, "a", "kept"), (2, "b", "kept"), (3, None, "inserted")}
     assert {tuple(r) for r in tables.replace_children(base, spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string"), "k").collect()} == {(1, "x"), (1, "y"), (2, "b")}
-    hits = tables.confusion_hits(spark.createDataFrame([(1, "hot-x"), (2, "cold")], "package_id int, name string"), spark.createDataFrame([(5, 7, "^hot-"), (6, 8, None)], "org_id int, watchlist_id int, internal_package_pattern string"))
-    assert [r.org_id for r in hits.collect()] == [5]
-    assert tables.valid_patterns(["^a", "(", "["]) == ["^a"]
 
 
 def test_scores(spark):
