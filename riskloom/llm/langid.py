@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +28,14 @@ from pyspark.sql import types as T
 from .common import saved, small_side
 from .tokens import LOWER
 
-#: Documents of each language that classifiers are fitted on, on average, and rows of 16 KB that one task may hold.
-PER_LANGUAGE, TASK_ROWS = 500, 8000
+#: Documents of each language that classifiers are fitted on, on average, rows of 16 KB that one task may hold, and rows that are widened at once.
+PER_LANGUAGE, TASK_ROWS, BLOCK = 500, 8000, 256
 DIMS, EPOCHS, RATE, DECAY = 4096, 300, 0.5, 1e-4
 #: A runner-up whose loss is within this share of the best one's distance is ambiguous.
 AMBIGUOUS = 0.1
 UND = "und"
+#: Classes up to which the best of many random codes is taken.
+TRIED = 100
 
 
 def has_letter(text: str) -> bool:
@@ -63,10 +66,11 @@ def codewords(n: int, seed: int = 3) -> np.ndarray:
         columns = [(1, *rest) for rest in itertools.product((-1, 1), repeat=n - 1) if -1 in rest]
         return np.array(columns, dtype=float).T.reshape(n, -1)
     r, bits, best = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None
-    for _ in range(200):
+    # random words of this length are far apart as they are; few classes can be told apart by trying, many needn't
+    for _ in range(200 if n <= TRIED else 1):
         code = r.choice((-1.0, 1.0), (n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        near = (code @ code.T - 2 * code.shape[1] * np.eye(n)).max()
+        near = (code @ code.T - 2 * code.shape[1] * np.eye(n)).max() if n <= TRIED else 0
         if best is None or near / code.shape[1] < best[0]:
             best = (near / code.shape[1], code)
     return best[1]
@@ -113,27 +117,41 @@ def _descend(languages: list[str], code: np.ndarray, total: Callable[[Callable,
 
 
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Codes:
-    """The classifiers from class-balanced rows."""
+    """The classifiers from class-balanced rows, which are widened BLOCK at a time, so that memory is that of x and a block."""
     code = codewords(len(languages))
     if len(languages) == 1:
         return Codes(tuple(languages), code, np.zeros((DIMS + 1, 0)), np.ones(0))
-    target = code[y]
     share = 1 / np.bincount(y, minlength=len(languages))[y] / len(languages)
-    x1 = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(float)
-    return _descend(languages, code, lambda f, w: f(x1, target, share, w))
+
+    def total(f: Callable, w: np.ndarray) -> np.ndarray:
+        wide, out = np.ones((BLOCK, DIMS + 1)), 0.0
+        for at in range(0, len(x), BLOCK):
+            n = min(BLOCK, len(x) - at)
+            wide[:n, :DIMS] = x[at : at + n]
+            out = out + f(wide[:n], code[y[at : at + n]], share[at : at + n], w)
+        return out
+
+    return _descend(languages, code, total)
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pickled fields of the classifiers fitted on all rows (lang, x) of a task, whatever their order."""
-    lang, parts = [], []
+    lang, keys, parts = [], [], []
     for b in batches:
         lang += b.column("lang").to_pylist()
         parts.append(np.stack([np.frombuffer(v.as_buffer(), dtype=np.float32) for v in b.column("x")]))
-    x = np.concatenate(parts)
-    parts.clear()
-    order = sorted(range(len(lang)), key=lambda i: (lang[i], x[i].tobytes()))
+        keys += [xxhash.xxh3_128_digest(row) for row in parts[-1]]
+        del b
+    order = np.array(sorted(range(len(lang)), key=lambda i: (lang[i], keys[i])))
+    # each part's rows go to their places, and then the part goes
+    place, x, at = np.argsort(order), np.empty((len(lang), DIMS), dtype=np.float32), 0
+    while parts:
+        part = parts.pop(0)
+        x[place[at : at + len(part)]] = part
+        at += len(part)
+        del part
     languages = sorted(set(lang))
-    model = fit(x[order], np.array([languages.index(lang[i]) for i in order]), languages)
+    model = fit(x, np.array([languages.index(lang[i]) for i in order]), languages)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.languages, model.code, model.weights, model.margin))], pa.binary())], names=["model"])
 
 
