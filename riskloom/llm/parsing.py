@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_side
+from .common import saved
 from .tokens import BYTE, STEP, mix, powers
 
 #: Bytes of a repeated string and of a trigger, mean distance of triggers, bytes before a trigger, entries of a bucket.
@@ -311,7 +311,7 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     parsed = texts.filter(F.length("bytes") >= SPAN).select("row", "bytes").mapInArrow(_parse, "name long, whole long, row long, place long")
     again = parsed.groupBy("name").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
     again = saved(again.filter("n > 1").select("name", (F.col("lo") != F.col("hi")).alias("mixed")))
-    met = parsed.join(small_side(again), "name")
+    met = parsed.join(again.hint("merge"), "name")
     met = saved(met.select(F.when(F.col("mixed"), F.col("name")).alias("name"), F.when(F.col("mixed"), F.col("whole")).alias("whole"), "row", "place"))
     mixed = met.filter("name is not null")
     first = F.min(F.struct("row", "place")).alias("first")
@@ -319,9 +319,9 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     often = entries.filter("times > 1").select("name", "whole")
     equal = mixed.join(often.hint("merge"), ["name", "whole"], "left_semi").select("row", "place")
     per_row = saved(entries.groupBy("row").agg(F.collect_list(F.struct("name", "place", "times")).alias("entries")))
-    around = texts.select("row", "bytes").join(small_side(per_row), "row").mapInArrow(_bytes_around, "name long, row long, place long, times long, left binary, right binary")
+    around = texts.select("row", "bytes").join(per_row.hint("merge"), "row").mapInArrow(_bytes_around, "name long, row long, place long, times long, left binary, right binary")
     sizes = saved(entries.groupBy("name").agg(F.count("*").alias("size")).filter("size > 1"))
-    around = saved(around.join(small_side(sizes), "name"))
+    around = saved(around.join(sizes.hint("merge"), "name"))
     ordered = _in_order(around.filter(F.col("size") <= LIMIT))
     split = _by_bands(around.filter(F.col("size") > LIMIT).drop("size"))
     return met.filter("name is null").select("row", "place").unionByName(equal).unionByName(ordered).unionByName(split)
@@ -345,7 +345,7 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     per_row = repeated_places(texts).groupBy("row").agg(F.collect_set("place").alias("places"))
     found = saved(per_row.mapInArrow(joined, "row long, removed array<struct<start:long,end:long>>"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return texts.join(small_side(found), "row", "left").withColumn("removed", F.coalesce("removed", none))
+    return texts.join(found.hint("merge"), "row", "left").withColumn("removed", F.coalesce("removed", none))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
