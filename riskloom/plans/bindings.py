@@ -124,6 +124,12 @@ FROM events""",
     "lifecycle_scripts": """SELECT DISTINCT package_id, hook, body FROM (SELECT cast(floor(doc_id / 97) AS bigint) AS package_id, CASE doc_id % 3 WHEN 0 THEN 'postinstall' WHEN 1 THEN 'prepare' ELSE 'test' END AS hook,
   CASE doc_id % 3 WHEN 0 THEN 'node ./src/f8.js && python lib/x.py' WHEN 1 THEN concat('node lib', chr(92), 'f5.ts; node gone.js') ELSE 'node src/f4.js' END AS body FROM documents WHERE doc_id % 97 < 5) s""",
     "entry_points": "SELECT DISTINCT cast(floor(doc_id / 97) AS bigint) AS package_id, 'main' AS field, 0 AS pos, concat('f', cast(2 + doc_id % 2 AS string)) AS value FROM documents WHERE doc_id % 97 = 1",
+    "registry_changes": """SELECT seq, CASE seq % 7 WHEN 0 THEN base WHEN 1 THEN concat(base, 'x') WHEN 2 THEN substring(base, 2) WHEN 3 THEN replace(base, 'o', '0') WHEN 4 THEN concat(substring(base, 1, 3), 'q', substring(base, 4), 'q') WHEN 5 THEN concat(base, '-core') ELSE 'sharp' END AS name,
+  CASE WHEN n % 13 > 0 THEN concat(cast(n % 4 AS string), '.0.0') END AS version, (n % 10 = 0) AS deleted, n * 20 AS downloads, CASE n % 3 WHEN 0 THEN 'postinstall' WHEN 1 THEN 'install' ELSE 'test' END AS hook, CASE WHEN n % 8 = 1 THEN ' ' ELSE 'node x.js' END AS body
+  FROM (SELECT p_partkey AS seq, p_size AS n, replace(p_name, ' ', '-') AS base FROM part) p""",
+    "popular_names": "SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part WHERE p_partkey % 2 = 0",
+    "known_imitations": "SELECT DISTINCT concat(upper(substring(p_name, 1, 1)), replace(substring(p_name, 2), ' ', '-'), 'X') AS name FROM part WHERE p_partkey % 3 = 0",
+    "pypi_names": "SELECT DISTINCT replace(substring(p_name, 2), ' ', '_') AS name FROM part WHERE p_partkey % 2 = 1",
     "model_log": "SELECT role AS model, conv_id, turn, cast(length(text) AS bigint) AS latency_ms, (turn % 5 <> 0) AS success FROM conversations",
 }
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import detectors, graph, kpi, names, products, reach, rules, scoring, setjoin, similarity, tables
+from ..streaming import jobs
 from .bindings import AS_OF_EVENTS, AS_OF_FEED, AS_OF_ORDERS, Inputs, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -633,6 +634,23 @@ def j5_a32_name_intelligence(t: Inputs) -> DataFrame:
     return names.name_audit(names.name_intelligence(pk, popular, known), pk)
 
 
+_GLYPH = f"translate(lower({{0}}), '{''.join(S.LOOKALIKES)}\u00ad', '{''.join(S.LOOKALIKES.values())}')"
+_CROSS = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '^@[^/]+/', ''), '[-_.]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_EXTENDS = "starts_with({0}, concat({1}, '-')) OR starts_with({0}, concat({1}, '/'))"
+_SEEN = "SELECT DISTINCT name, version FROM registry_changes WHERE seq % 9 = 0"
+
+
+@query(f"""WITH live AS (SELECT name, version, min(seq) AS seq FROM registry_changes c WHERE NOT deleted AND version IS NOT NULL AND downloads >= 100 AND (name = 'sharp' OR (hook IN ('preinstall', 'install', 'postinstall', 'prepare') AND trim(body) <> '')) AND NOT EXISTS (SELECT 1 FROM ({_SEEN}) a WHERE a.name = c.name AND a.version = c.version) GROUP BY 1, 2),
+  risk AS (SELECT name, max(r) AS r FROM (SELECT l.name, 4 AS r FROM live l JOIN known_imitations k ON lower(k.name) = lower(l.name) UNION ALL SELECT l.name, 4 FROM live l JOIN popular_names p ON {_GLYPH.format('p.name')} = {_GLYPH.format('l.name')} AND lower(p.name) <> lower(l.name)
+    UNION ALL SELECT l.name, 4 - levenshtein(lower(l.name), lower(p.name)) FROM live l, popular_names p WHERE levenshtein(lower(l.name), lower(p.name)) BETWEEN 1 AND 2 AND NOT ({_EXTENDS.format('lower(l.name)', 'lower(p.name)')} OR {_EXTENDS.format('lower(p.name)', 'lower(l.name)')})
+    UNION ALL SELECT l.name, 3 FROM live l JOIN pypi_names p ON {_CROSS.format('p.name')} = {_CROSS.format('l.name')} WHERE lower(l.name) NOT IN ({', '.join(f"'{n}'" for n in S.CROSS_LISTED)}) AND (length(l.name) <= 6 OR regexp_matches(lower(l.name), '{'|'.join(S.RISKY_PARTS)}'))) GROUP BY 1)
+  SELECT seq, name, version, 'new_version' AS event, NULL AS risk_level, NULL AS risk_score FROM live UNION ALL
+  SELECT seq, live.name, version, 'typosquat_risk', CASE r WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END, CASE r WHEN 4 THEN 100 WHEN 3 THEN 80 WHEN 2 THEN 50 ELSE 25 END FROM live JOIN risk ON risk.name = live.name""")
+def x1_change_events(t: Inputs) -> DataFrame:
+    index = graph.checkpointed(jobs.name_index(t["popular_names"], t["known_imitations"], t["pypi_names"]))
+    return jobs.change_events(t["registry_changes"].withColumn("scripts", F.create_map("hook", "body")), t.sql(_SEEN), index, 100)
+
+
 # --- rules ------------------------------------------------------------------------------
 
 

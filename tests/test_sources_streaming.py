@@ -117,34 +117,66 @@ def test_event_sink(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
 
 
-def test_change_feed(spark, tmp_path):
-    rows = [(1, "sharp", "1.0", False, 10, None), (2, "gone", None, True, 10, None), (3, "lo-dash", "1.0", None, 10, {"install": "x"}), (4, "plain", "1.0", None, 10, {}), (5, "sharp", "0.9", None, 10, None)]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_change_feed(spark, tmp_path, rocks):
+    run_ = {"install": "x"}
+    rows = [(1, "sharp", "1.0", False, 10, None), (2, "gone", None, True, 10, None), (3, "node_gyp", "1.0", None, 10, run_), (4, "plain", "1.0", None, 10, {}), (5, "sharp", "0.9", None, 10, None), (6, "n0de-gyp", "1.0", None, 10, run_), (7, "ndgyp", "1.0", None, 10, run_)]
+    rows += [(8, "Evil", "1.0", None, 10, run_), (9, "tools", "1.0", None, 10, run_), (10, "node-gyp-x", "1.0", None, 10, run_), (11, "node-gyp", "1.0", None, 10, run_), (12, "rare", "1.0", None, 1, run_), (3, "node_gyp", "1.0", None, 10, run_), (13, "node_gyp", "2.0", None, 10, run_)]
     schema = "seq int, name string, version string, deleted boolean, downloads int, scripts map<string,string>"
-    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "c"))
-    analysed, popular = spark.createDataFrame([("sharp", "0.9")], "name string, version string"), spark.createDataFrame([("lodash",)], "name string")
-    got = run(jobs.change_feed(spark.readStream.schema(schema).json(str(tmp_path / "c")), analysed, popular), "feed")
-    assert {(r.name, r.version, r.event, r.priority) for r in got} == {("sharp", "1.0", "new_version", 25), ("lo-dash", "1.0", "typosquat_risk", 80)}
+    df = spark.createDataFrame(rows, schema)
+    analysed = spark.createDataFrame([("sharp", "0.9")], "name string, version string")
+    one = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    index = jobs.name_index(one("node-gyp", "nodegyp", "sharp"), one("evil"), one("TOOLS"))
+    want = {(1, "sharp", "1.0", "new_version", None, None), (9, "tools", "1.0", "typosquat_risk", "high", 80), (8, "Evil", "1.0", "typosquat_risk", "critical", 100), (7, "ndgyp", "1.0", "typosquat_risk", "medium", 50), (6, "n0de-gyp", "1.0", "typosquat_risk", "critical", 100)}
+    want |= {(s, "node_gyp", v, "typosquat_risk", "high", 80) for s, v in ((3, "1.0"), (13, "2.0"))} | {(11, "node-gyp", "1.0", "typosquat_risk", "high", 80)}
+    want |= {(s, n, v, "new_version", None, None) for s, n, v in ((3, "node_gyp", "1.0"), (6, "n0de-gyp", "1.0"), (7, "ndgyp", "1.0"), (8, "Evil", "1.0"), (9, "tools", "1.0"), (10, "node-gyp-x", "1.0"), (11, "node-gyp", "1.0"), (13, "node_gyp", "2.0"))}
+    batch = jobs.change_events(df, analysed, index, 5).collect()
+    assert len(batch) == len(want) and {tuple(r) for r in batch} == want
+    # the same packages again, in a second batch of the stream
+    for i, part in enumerate((df, df.filter("seq < 7"))):
+        part.coalesce(1).write.json(str(tmp_path / "c" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "c" / "*"))
+    got = run(jobs.change_feed(stream, analysed, index, 5), "feed")
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def at(minute, second=0):
     return datetime.datetime(2024, 1, 1, 0, minute, second)
 
 
-def test_retry_state_stream_equals_batch(spark, tmp_path):
+def test_retry_state_stream_equals_batch(spark, tmp_path, rocks):
     rows = [(1, at(0), False), (1, at(1), False), (1, at(2), True), (2, at(0), False)] + [(3, at(i), False) for i in range(5)]
     df = spark.createDataFrame(rows, "scan_id long, at timestamp, ok boolean")
     batch = {r.scan_id: (r.failures, r.state, r.next_retry) for r in jobs.retry_state(df).collect()}
     assert batch == {1: (2, "resolved", None), 2: (1, "retrying", at(0, 1)), 3: (5, "abandoned", at(4) + datetime.timedelta(days=30))}
     df.coalesce(1).write.parquet(str(tmp_path / "r"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        got = run(jobs.retry_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r"))), "retry")
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = run(jobs.retry_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r"))), "retry")
     last = {}
     for r in sorted(got, key=lambda r: (r["at"], r.failures)):
         last[r.scan_id] = (r.failures, r.state, r.next_retry)
     assert last == batch and len(got) == len(rows)
+    assert {r.audit for r in got} == {"retry_scheduled", "retry_succeeded", "retry_abandoned"}
+
+
+def test_retry_state_expires(spark, tmp_path, rocks):
+    """The clock is moved on by events of other scans."""
+    day = datetime.timedelta(days=1)
+    steps = [[(3, at(i), False) for i in range(5)], [(9, at(0) + 20 * day, True)], [(9, at(0) + 31 * day, True)], [(9, at(0) + 32 * day, True)], [(3, at(0) + 33 * day, False)]]
+    schema = "scan_id long, at timestamp, ok boolean"
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "r" / f"s{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r" / "*"))
+    got = [(r.state, r.failures) for r in sorted(run(jobs.retry_stream(stream), "expiry"), key=lambda r: r["at"]) if r.scan_id == 3]
+    assert got == [("retrying", i) for i in (1, 2, 3, 4)] + [("abandoned", 5), ("expired", 5), ("retrying", 1)]
 
 
 def test_alert_batches_send_once(spark, tmp_path):
@@ -161,10 +193,22 @@ def test_alert_batches_send_once(spark, tmp_path):
 
 
 def test_snapshot_batches(spark, tmp_path):
-    step = jobs.snapshot_batches(str(tmp_path / "t"), ["k"])
-    step(spark.createDataFrame([(1, "a")], "k int, v string"), 0)
-    step(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), 1)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v=1")).collect()} == {(1, "b", "updated"), (2, "c", "inserted")}
+    path, schema = str(tmp_path / "t"), "k int, v string, w int"
+    step = jobs.snapshot_batches(path, ["k"], compact_every=3)
+    assert jobs.snapshot(spark, path, ["k"]) is None
+    state, batches = {}, [[(k, "a", 0) for k in range(50)], [(1, "b", 1), (99, "c", None)], [(1, "b", 1), (2, None, 2)], [(3, "d", 1)], [(3, "e", 2), (3, "e", 1)]]
+    for n, rows in enumerate(batches):
+        for _ in range(2):  # each batch is run twice, as after a crash
+            step(spark.createDataFrame(rows, schema), n)
+        for k, v, w in rows:
+            state[k] = (v, w) if n < 4 else ("e", 2)
+        assert {r.k: (r.v, r.w) for r in jobs.snapshot(spark, path, ["k"]).collect()} == state
+    log = lambda n: {tuple(r) for r in spark.read.parquet(f"{path}/log/{n}").collect()}
+    assert log(1) == {(1, "b", 1, "updated"), (99, "c", None, "inserted")} and log(2) == {(2, None, 2, "updated")}
+    # a batch without its marker isn't read
+    spark.createDataFrame([(7, "x", 1, "updated")], schema + ", change string").write.parquet(f"{path}/log/5")
+    assert {r.k: (r.v, r.w) for r in jobs.snapshot(spark, path, ["k"]).collect()} == state
+    assert {r.k: r.v for r in jobs.snapshot(spark, path, ["k"], 0).collect()} == dict.fromkeys(range(50), "a")
 
 
 def test_stuck_jobs(spark, tmp_path):
