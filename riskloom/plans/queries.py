@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import detectors, graph, kpi, names, products, reach, rules, scoring, setjoin, similarity, tables
+from ..sources import lockfiles
 from ..streaming import jobs
 from .bindings import AS_OF_EVENTS, AS_OF_FEED, AS_OF_ORDERS, Inputs, oracle
 
@@ -651,6 +652,18 @@ def x1_change_events(t: Inputs) -> DataFrame:
     return jobs.change_events(t["registry_changes"].withColumn("scripts", F.create_map("hook", "body")), t.sql(_SEEN), index, 100)
 
 
+@query("""SELECT path, 'requirements' AS format, name, version, false AS dev FROM (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM (
+  SELECT concat(l_orderkey, '/requirements.txt') AS path, replace(p_name, ' ', '-') AS name, concat(l_linenumber, '.', l_suppkey) AS version, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey)) WHERE i = 1""")
+def e4_parse_lockfile(t: Inputs) -> DataFrame:
+    lockfiles.register(t.spark)
+    x = t["lineitem"].join(t["part"], F.col("p_partkey") == F.col("l_partkey"))
+    line = F.concat(F.initcap(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit(" == "), F.col("l_linenumber").cast("string"), F.lit("."), F.col("l_suppkey").cast("string"))
+    # the lines of one order
+    texts = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("r"))
+    texts = texts.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("/requirements.txt")).alias("path"), F.array_join(F.col("r.line"), "\n").alias("content"))
+    return t.spark.sql("SELECT f.path, p.* FROM {files} f, LATERAL parse_lockfile(f.path, f.content) p", files=texts)
+
+
 # --- rules ------------------------------------------------------------------------------
 
 

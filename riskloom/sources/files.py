@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.graph import checkpointed
 
 NPM = "packages map<string, struct<version: string, dev: boolean, hasInstallScript: boolean>>, dependencies map<string, struct<version: string, dev: boolean, dependencies: map<string, struct<version: string, dev: boolean>>>>"
 
@@ -39,15 +40,17 @@ def lockfile_format(path: Column, content: Column) -> Column:
 def _npm(files: DataFrame) -> DataFrame:
     """v2 and v3 from the packages map but its root; v1 from dependencies and those below them, at any depth."""
     j = files.select("path", F.from_json("content", NPM).alias("j"))
-    new = j.filter("j.packages is not null").select("path", F.explode("j.packages").alias("key", "p")).filter("key <> ''")
-    new = new.select("path", F.regexp_extract("key", r"^(?:.*/)?node_modules/(.+)$", 1).alias("name"), "p.version", F.coalesce("p.dev", F.lit(False)).alias("dev"))
+    new = j.filter("j.packages is not null").select("path", F.posexplode("j.packages").alias("i", "key", "p")).filter("key <> ''")
+    none = F.lit("0.0.0")
+    new = new.select("path", F.array("i").alias("at"), F.regexp_extract("key", r"^(?:.*/)?node_modules/(.+)$", 1).alias("name"), F.coalesce("p.version", none).alias("version"), F.coalesce("p.dev", F.lit(False)).alias("dev"))
     # each level's dependencies stay JSON text until the level is read; the loop ends below the deepest one
     whole = files.join(j.filter("j.packages is null").select("path"), "path", "left_semi")
-    level = whole.select("path", F.explode(F.from_json("content", "dependencies map<string,string>")["dependencies"]).alias("name", "text"))
+    # and is written, so no file is read twice
+    level = checkpointed(whole.select("path", F.posexplode(F.from_json("content", "dependencies map<string,string>")["dependencies"]).alias("i", "name", "text")).withColumn("at", F.array("i")))
     while not level.isEmpty():
-        own = level.select("path", "name", F.from_json("text", "version string, dev boolean, dependencies map<string,string>").alias("d"))
-        new = new.unionByName(own.select("path", "name", "d.version", F.coalesce("d.dev", F.lit(False)).alias("dev")))
-        level = own.select("path", F.explode("d.dependencies").alias("name", "text"))
+        own = level.select("path", "at", "name", F.from_json("text", "version string, dev boolean, dependencies map<string,string>").alias("d"))
+        new = new.unionByName(own.select("path", "at", "name", F.coalesce("d.version", none).alias("version"), F.coalesce("d.dev", F.lit(False)).alias("dev")))
+        level = checkpointed(own.select("path", "at", F.posexplode("d.dependencies").alias("i", "name", "text")).withColumn("at", F.concat("at", F.array("i"))))
     return new.filter("name <> ''")
 
 
@@ -57,29 +60,29 @@ def _yarn(files: DataFrame) -> DataFrame:
     header = F.when(F.col("line").rlike(r'^"?@?[^\s#"][^"]*@.*:\s*$'), F.regexp_extract("line", r'^"?(@?[^@"]+)@', 1))
     version = F.regexp_extract("line", r'^\s+version:?\s+"?([^"\s]+)"?', 1)
     w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("name", F.last(header, ignorenulls=True).over(w)).withColumn("version", version).filter("version <> '' and name is not null").select("path", "name", "version", F.lit(False).alias("dev"))
+    return lines.withColumn("name", F.last(header, ignorenulls=True).over(w)).withColumn("version", version).filter("version <> '' and name is not null").select("path", F.array("at").alias("at"), "name", "version", F.lit(False).alias("dev"))
 
 
 def _pnpm(files: DataFrame) -> DataFrame:
     pattern = F.lit(r"(?m)^\s+'?/?((?:@[^/\s'@]+/)?[^@\s'(/]+)@([^:\s'(]+)[^\n]*:")
     found = F.arrays_zip(F.regexp_extract_all("content", pattern, F.lit(1)).alias("name"), F.regexp_extract_all("content", pattern, F.lit(2)).alias("version"))
-    return files.select("path", F.explode(found).alias("x")).select("path", "x.name", "x.version", F.lit(False).alias("dev"))
+    return files.select("path", F.posexplode(found).alias("i", "x")).select("path", F.array("i").alias("at"), "x.name", "x.version", F.lit(False).alias("dev"))
 
 
 def _requirements(files: DataFrame) -> DataFrame:
-    lines = files.select("path", F.explode(F.split("content", r"\r?\n")).alias("line")).withColumn("line", F.trim("line")).filter("line <> ''").filter(~F.col("line").rlike("^[#-]"))
+    lines = files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")).withColumn("line", F.trim("line")).filter("line <> ''").filter(~F.col("line").rlike("^[#-]"))
     version = F.regexp_extract("line", r"^[A-Za-z0-9._\[\],-]+\s*(?:===|==|>=|<=|~=|!=|>|<)\s*([^\s,;#]+)", 1)
-    return lines.select("path", S.pypi_name(F.regexp_extract("line", r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)).alias("name"), F.coalesce(F.nullif(version, F.lit("")), F.lit("unknown")).alias("version"), F.lit(False).alias("dev")).filter("name <> ''")
+    return lines.select("path", F.array("i").alias("at"), S.pypi_name(F.regexp_extract("line", r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)).alias("name"), F.coalesce(F.nullif(version, F.lit("")), F.lit("unknown")).alias("version"), F.lit(False).alias("dev")).filter("name <> ''")
 
 
 def lockfile_deps(files: DataFrame) -> DataFrame:
-    """path, format, name, version, dev and is_native of every dependency, one row per name and file (the least version)."""
+    """path, format, name, version, dev and is_native of every dependency, one row per name and file: the first in it."""
     known = files.withColumn("format", lockfile_format(F.col("path"), F.col("content")))
     out = None
     for name, parse in (("npm", _npm), ("yarn", _yarn), ("yarn-berry", _yarn), ("pnpm", _pnpm), ("requirements", _requirements)):
         part = parse(known.filter(F.col("format") == name)).withColumn("format", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    one = out.groupBy("path", "format", "name").agg(F.min("version").alias("version"), F.bool_and("dev").alias("dev"))
+    one = out.groupBy("path", "format", "name").agg(F.min_by(F.struct("version", "dev"), "at").alias("x")).select("path", "format", "name", "x.*")
     return one.withColumn("is_native", S.is_native_name(F.col("name")))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import similarity
-from riskloom.sources import feeds, files
+from riskloom.sources import feeds, files, lockfiles
 from riskloom.streaming import jobs
 
 
@@ -117,6 +117,24 @@ def test_event_sink(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
 
 
+def test_table_function_equals_the_reader(spark, write):
+    write("a/package-lock.json", {"lockfileVersion": 3, "packages": {"": {}, "node_modules/a": {"version": "10.0.0"}, "x/node_modules/a": {"version": "9.0.0"}, "node_modules/a/node_modules/@s/b": {"version": "2.0.0", "dev": True}, "node_modules/n": {}}})
+    write("b/package-lock.json", {"lockfileVersion": 1, "dependencies": {"c": {"version": "3.0.0", "dependencies": {"d": {"version": "4.0.0", "dependencies": {"c": {"version": "1.0.0"}}}}}, "d": {"version": "5.0.0", "dev": True}}})
+    write("c/yarn.lock", '# yarn lockfile v1\n\n"@t/e@^1.0":\n  version "10.2.3"\n\n"@t/e@^0.9":\n  version "9.2.3"\n\nsharp@^2:\n  version "2.1.0"\n')
+    write("c/b/yarn.lock", '__metadata:\n  version: 6\n\n"x@npm:^1, x@npm:^2":\n  version: 1.5.0\n')
+    write("d/pnpm-lock.yaml", "lockfileVersion: '6.0'\npackages:\n\n  /f@1.1.1:\n    resolution: {}\n  /@u/g@2.2.2:\n    dev: true\n  '@u/g@1.0.0(z@1)':\n    dev: true\n")
+    write("e/requirements-dev.txt", "Flask_X==1.0 # why\n# no\n-r other.txt\nplain\nflask.x>=2\nreq[extra]~=3.1 ; python_version > '3'\n")
+    write("f/unknown.json", '{"lockfileVersion": 2, "packages": {"node_modules/q": {"version": "1.0.0"}}}')
+    write("g/other.txt", "nothing")
+    write("h/package-lock.json", "{broken")
+    texts = files.read_texts(spark, str(write.root))
+    lockfiles.register(spark)
+    want = {tuple(r) for r in files.lockfile_deps(texts).drop("is_native").select("path", "format", "name", "version", "dev").collect()}
+    got = spark.sql("SELECT f.path, p.* FROM {files} f, LATERAL parse_lockfile(f.path, f.content) p", files=texts)
+    assert {tuple(r) for r in got.collect()} == want and {r[1] for r in want} == {"npm", "yarn", "yarn-berry", "pnpm", "requirements"}
+    assert {r[2:4] for r in want} >= {("a", "10.0.0"), ("d", "4.0.0"), ("@t/e", "10.2.3"), ("n", "0.0.0")} and len(want) == len({r[:3] for r in want})
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
