@@ -106,6 +106,10 @@ FROM events""",
   ELSE '' END) AS content FROM documents""",
     "binary_strings": "SELECT doc_id AS source_id, concat(text, chr(10), CASE doc_id %% %d %s ELSE '' END) AS content, cast((doc_id * 7919) %% 1000 AS double) / 1000 AS epss_percentile, cast(doc_id %% 80 AS double) / 10 AS entropy FROM documents" % (len(SNIPPETS) + 5, " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SNIPPETS))),
     "binaries": "SELECT doc_id AS artifact_id, CASE WHEN doc_id % 9 = 0 THEN unhex(concat(%s)) WHEN doc_id % 9 = 1 THEN unhex('4D5A555058210D0A00') WHEN doc_id % 9 = 2 THEN unhex('006089E800') WHEN doc_id % 9 = 3 THEN unhex('06089E80') END AS data FROM documents".replace("%s", ", ".join(f"md5(concat(cast(doc_id AS string), '-{i}'))" for i in range(120))),
+    "binary_files": """SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'lib/linux-x64/m' WHEN 1 THEN 'build/a' WHEN 2 THEN 'prebuilds/darwin-arm64/' ELSE 'x/' END, cast(doc_id AS string), CASE doc_id % 5 WHEN 0 THEN '.node' WHEN 1 THEN '.dll' WHEN 2 THEN '.dylib' ELSE '' END) AS path,
+  unhex(concat(CASE doc_id % 8 WHEN 0 THEN concat('7F454C46020101', repeat('00', 9), '0300', CASE doc_id % 3 WHEN 0 THEN '3E00' WHEN 1 THEN 'B700' ELSE 'FF7F' END) WHEN 1 THEN concat('7F454C46010201', repeat('00', 9), '0002', '0014')
+    WHEN 2 THEN concat('4D5A', repeat('00', 58), '48000000', repeat('00', 8), '50450000', CASE doc_id % 3 WHEN 0 THEN '6486' ELSE '4C01' END, repeat('00', 16), CASE WHEN doc_id % 2 = 0 THEN '0220' ELSE '0200' END) WHEN 3 THEN concat('4D5A', repeat('00', 20))
+    WHEN 4 THEN concat('CFFAEDFE', '0C000001', '00000000', '06000000') WHEN 5 THEN concat('FEEDFACE', '00000012', '00000000', '00000002') WHEN 6 THEN '0061736D01000000' ELSE '' END, repeat('00', 4), CASE WHEN doc_id % 3 = 1 THEN '6E6170695F6D6F64756C65' ELSE '' END, md5(cast(doc_id AS string)))) AS content FROM documents""",
     "kev_catalogue": """SELECT cve_id, cast(max(added) AS date) AS date_added, CASE WHEN max(even) = 1 THEN 'Known' ELSE 'Unknown' END AS ransomware FROM (
   SELECT concat('cve-', cast(year(o_orderdate) AS string), '-', cast(o_orderkey % 3000 AS string)) AS cve_id, o_orderdate AS added, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS even FROM orders WHERE o_orderkey % 7 < 2) k GROUP BY cve_id""",
     "known_cves": """SELECT l_partkey AS package_id, concat('CVE-2020-', cast(l_orderkey % 3000 AS string)) AS cve_id, cast((l_orderkey * 7919 + l_partkey) % 1000 AS double) / 1000 AS epss_percentile,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import detectors, graph, kpi, names, products, reach, rules, scoring, setjoin, similarity, tables
-from ..sources import lockfiles
+from ..sources import files, lockfiles
 from ..streaming import jobs
 from .bindings import AS_OF_EVENTS, AS_OF_FEED, AS_OF_ORDERS, Inputs, oracle
 
@@ -664,6 +664,38 @@ def e4_parse_lockfile(t: Inputs) -> DataFrame:
     return t.spark.sql("SELECT f.path, p.* FROM {files} f, LATERAL parse_lockfile(f.path, f.content) p", files=texts)
 
 
+def _byte(at: str) -> str:
+    return f"cast(concat('0x', substr(x, 2 * ({at}) + 1, 2)) AS bigint)"
+
+
+def _number(at: str, size: int, little: str) -> str:
+    small = " + ".join(f"{_byte(f'({at}) + {i}')} * {256**i}" for i in range(size))
+    big = " + ".join(f"{_byte(f'({at}) + {i}')} * {256 ** (size - 1 - i)}" for i in range(size))
+    return f"CASE WHEN length(x) >= 2 * (({at}) + {size}) THEN CASE WHEN {little} THEN {small} ELSE {big} END END"
+
+
+def _names_sql(number: str, found: dict[int, str]) -> str:
+    return f"CASE {number} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in found.items()) + " END"
+
+
+_HEAD, _MAC = "substr(x, 1, 8)", "substr(x, 1, 8) IN ('CEFAEDFE', 'CFFAEDFE')"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches({_HEAD}, '^{m}') THEN '{n}'" for n, m in files.MAGIC.items()) + " " + " ".join(f"WHEN regexp_matches(lower(path), '{e}') THEN '{n}'" for n, e in files.EXTENSIONS.items()) + " ELSE 'unknown' END"
+_TOLD = "(regexp_matches(lower(path), '{0}') OR len(list_filter(s, lambda y: regexp_matches(lower(y), '{0}'))) > 0)"
+
+
+@query(f"""WITH a AS (SELECT path, hex(content) AS x, list_distinct(regexp_extract_all(array_to_string(list_transform(range(0, octet_length(content)), lambda i: CASE WHEN cast(concat('0x', substr(hex(content), 2 * i + 1, 2)) AS int) BETWEEN 32 AND 126 THEN chr(cast(concat('0x', substr(hex(content), 2 * i + 1, 2)) AS int)) ELSE chr(10) END), ''), '[\\x20-\\x7E]{{4,}}')) AS s FROM binary_files),
+  b AS (SELECT *, {_KIND} AS format, {_number('5', 1, 'true')} = 1 AS le, CASE WHEN length(x) >= 128 THEN {_number('60', 4, 'true')} END AS pe FROM a),
+  c AS (SELECT *, substr(x, 2 * pe + 1, 8) = '50450000' AS signed, format = 'macho' AND {_HEAD} <> 'CAFEBABE' AS thin FROM b)
+  SELECT path, cast(length(x) // 2 AS bigint) AS size, format, cast(len(s) AS int) AS n_strings, CASE WHEN format = 'wasm' THEN 'wasm32' WHEN {_TOLD.format('arm64|aarch64')} THEN 'arm64' WHEN {_TOLD.format('x64|amd64|x86_64')} THEN 'x86_64' WHEN {_TOLD.format('ia32|x86')} THEN 'x86' ELSE 'unknown' END AS architecture,
+  CASE WHEN format = 'wasm' THEN 'wasm' WHEN {_TOLD.format('node|napi|addon')} THEN 'native-addon' WHEN format IN ('elf', 'pe', 'macho') THEN 'shared-library' WHEN len(s) > 0 THEN 'binary' ELSE 'unknown' END AS kind,
+  CASE WHEN format = 'elf' THEN {_names_sql(_number('18', 2, 'le'), files.ELF_MACHINES)} WHEN format = 'pe' AND signed THEN {_names_sql(_number('pe + 4', 2, 'true'), files.PE_MACHINES)} WHEN thin THEN {_names_sql(_number('4', 4, _MAC), files.MACHO_MACHINES)} END AS machine,
+  CASE WHEN format = 'elf' THEN {_names_sql(_number('16', 2, 'le'), files.ELF_TYPES)} WHEN format = 'pe' AND signed AND ({_number('pe + 22', 2, 'true')}) IS NOT NULL THEN CASE WHEN ({_number('pe + 22', 2, 'true')}) & 8192 > 0 THEN 'shared-library' ELSE 'executable' END WHEN thin THEN {_names_sql(_number('12', 4, _MAC), files.MACHO_TYPES)} END AS file_type,
+  CASE WHEN format = 'elf' THEN le WHEN format = 'pe' THEN true WHEN thin THEN {_MAC} END AS little, CASE WHEN format = 'elf' THEN CASE {_number('4', 1, 'true')} WHEN 2 THEN 64 WHEN 1 THEN 32 END WHEN thin THEN CASE WHEN {_HEAD} IN ('FEEDFACF', 'CFFAEDFE') THEN 64 ELSE 32 END END AS bits FROM c""")
+def s12_fingerprints(t: Inputs) -> DataFrame:
+    x = files.fingerprint(t["binary_files"].select("path", "content"))
+    return x.select("path", "size", "format", F.size("strings").alias("n_strings"), "architecture", "kind", "machine", "file_type", "little", "bits")
+
+
 # --- rules ------------------------------------------------------------------------------
 
 

@@ -131,16 +131,63 @@ def verify_records(records: DataFrame, contents: DataFrame) -> DataFrame:
     return records.join(actual, ["wheel", "file"], "left").withColumn("verified", F.when(skip, None).otherwise(F.coalesce(F.col("actual") == F.col("sha256"), F.lit(False)))).drop("actual")
 
 
-#: First bytes of binary formats as hexadecimal digits.
+#: First bytes of binary formats as hexadecimal digits, formats by extension, and numbers in their headers.
 MAGIC = {"elf": "7F454C46", "pe": "4D5A", "macho": "(?:FEEDFACE|FEEDFACF|CEFAEDFE|CFFAEDFE|CAFEBABE)", "wasm": "0061736D", "gzip": "1F8B", "zip": "504B0304"}
+EXTENSIONS = {"elf": r"\.(?:node|so)$", "pe": r"\.dll$", "macho": r"\.dylib$", "wasm": r"\.wasm$"}
+ELF_MACHINES = {3: "x86", 8: "mips", 20: "ppc", 21: "ppc64", 22: "s390x", 40: "arm", 62: "x86_64", 183: "arm64", 243: "riscv"}
+ELF_TYPES = {1: "relocatable", 2: "executable", 3: "shared-library", 4: "core"}
+PE_MACHINES = {0x14C: "x86", 0x8664: "x86_64", 0x1C0: "arm", 0x1C4: "arm", 0xAA64: "arm64"}
+PE_DLL = 0x2000
+MACHO_MACHINES = {7: "x86", 0x1000007: "x86_64", 12: "arm", 0x100000C: "arm64", 18: "ppc", 0x1000012: "ppc64"}
+MACHO_TYPES = {1: "relocatable", 2: "executable", 6: "shared-library", 8: "shared-library"}
 INTERESTING = r"(?i)https?://|\.(?:com|net|org|io)\b|/etc/|/tmp/|cmd\.exe|/bin/(?:ba)?sh|token|secret|password"
 
 
+def number_at(data: Column, at: Column | int, size: int, little: Column | bool) -> Column:
+    """An unsigned number of `size` bytes at a place of a binary column, in either byte order; null behind its end."""
+    at = F.lit(at) if isinstance(at, int) else at
+    byte = [F.substring(data, F.least(at + i + 1, F.lit(2**31 - 1)).cast("int"), F.lit(1)) for i in range(size)]
+    big, small = F.concat(*[F.hex(b) for b in byte]), F.concat(*[F.hex(b) for b in reversed(byte)])
+    digits = F.when(F.lit(little) if isinstance(little, bool) else little, small).otherwise(big)
+    return F.when(F.length(data) >= at + size, F.conv(digits, 16, 10).cast("long"))
+
+
+def _named(number: Column, names: dict[int, str]) -> Column:
+    return F.try_element_at(F.create_map(*[x for k, v in names.items() for x in (F.lit(k).cast("long"), F.lit(v))]), number)
+
+
+def header_fields(data: Column, kind: Column) -> Column:
+    """struct<machine, file_type, little, bits> from an executable's header; fields that can't be read are null."""
+    first = F.hex(F.substring(data, 1, 4))
+    elf = number_at(data, 5, 1, True) == 1
+    mac = first.isin("CEFAEDFE", "CFFAEDFE")
+    pe = number_at(data, 60, 4, True)
+    signed = F.hex(F.substring(data, F.least(pe + 1, F.lit(2**31 - 1)).cast("int"), F.lit(4))) == "50450000"
+    dll = F.when(signed, F.when(number_at(data, pe + 22, 2, True).bitwiseAND(PE_DLL) > 0, "shared-library").otherwise("executable"))
+    thin = (kind == "macho") & (first != "CAFEBABE")
+    machine = F.when(kind == "elf", _named(number_at(data, 18, 2, elf), ELF_MACHINES)).when((kind == "pe") & signed, _named(number_at(data, pe + 4, 2, True), PE_MACHINES)).when(thin, _named(number_at(data, 4, 4, mac), MACHO_MACHINES))
+    file_type = F.when(kind == "elf", _named(number_at(data, 16, 2, elf), ELF_TYPES)).when(kind == "pe", F.when(number_at(data, pe + 22, 2, True).isNotNull(), dll)).when(thin, _named(number_at(data, 12, 4, mac), MACHO_TYPES))
+    bits = F.when(kind == "elf", F.when(number_at(data, 4, 1, True) == 2, 64).when(number_at(data, 4, 1, True) == 1, 32)).when(thin, F.when(first.isin("FEEDFACF", "CFFAEDFE"), 64).otherwise(32))
+    return F.struct(machine.alias("machine"), file_type.alias("file_type"), F.when(kind == "elf", elf).when(kind == "pe", True).when(thin, mac).alias("little"), bits.alias("bits"))
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
-    """path, sha256, size, format, and printable and interesting strings of binary files (path, content)."""
+    """path, sha256, size, format, printable and interesting strings, architecture, kind and header fields of binary files (path, content).
+
+    The format goes by the first bytes, else by the extension.  architecture and kind are guessed from the path and the
+    strings; machine, file_type, little and bits are read from the header.
+    """
     head, kind = F.hex(F.substring("content", 1, 4)), None
     for name, magic in MAGIC.items():
         hit = head.rlike(f"^{magic}")
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+    for name, ending in EXTENSIONS.items():
+        kind = kind.when(F.lower("path").rlike(ending), name)
     strings = F.array_distinct(F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"[\x20-\x7E]{4,}"), F.lit(0)))
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"), kind.otherwise("unknown").alias("format"), strings.alias("strings")).withColumn("interesting", F.filter("strings", lambda s: s.rlike(INTERESTING)))
+    x = files.select("path", "content", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"), kind.otherwise("unknown").alias("format"), strings.alias("strings"))
+    x = x.withColumn("interesting", F.filter("strings", lambda s: s.rlike(INTERESTING)))
+    told = lambda p: F.lower("path").rlike(p) | F.exists("strings", lambda s: F.lower(s).rlike(p))
+    architecture = F.when(F.col("format") == "wasm", "wasm32").when(told("arm64|aarch64"), "arm64").when(told("x64|amd64|x86_64"), "x86_64").when(told("ia32|x86"), "x86").otherwise("unknown")
+    what = F.when(F.col("format") == "wasm", "wasm").when(told("node|napi|addon"), "native-addon").when(F.col("format").isin("elf", "pe", "macho"), "shared-library").when(F.size("strings") > 0, "binary").otherwise("unknown")
+    x = x.withColumn("architecture", architecture).withColumn("kind", what).withColumn("h", header_fields(F.col("content"), F.col("format")))
+    return x.select("path", "sha256", "size", "format", "strings", "interesting", "architecture", "kind", "h.*")
