@@ -54,14 +54,6 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return per.drop("n").join(total, "rule_id")
 
 
-def sbom_documents(packages: DataFrame, findings: DataFrame, key: str) -> DataFrame:
-    """A CycloneDX document of each package as JSON, with its findings as vulnerabilities."""
-    v = findings.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("severity", "title"))).alias("v"))
-    x = packages.join(v, key, "left")
-    doc = F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.array(F.struct(F.lit("library").alias("type"), "name", F.col("latest_version").alias("version"), F.concat(F.lit("pkg:"), F.col("ecosystem"), F.lit("/"), F.col("name"), F.lit("@"), F.col("latest_version")).alias("purl"))).alias("components"), F.coalesce("v", F.array().cast("array<struct<severity:string,title:string>>")).alias("vulnerabilities")))
-    return x.select(key, doc.alias("document"))
-
-
 # --- wheels and source archives ---------------------------------------------------
 
 

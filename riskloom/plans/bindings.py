@@ -110,6 +110,8 @@ FROM events""",
   unhex(concat(CASE doc_id % 8 WHEN 0 THEN concat('7F454C46020101', repeat('00', 9), '0300', CASE doc_id % 3 WHEN 0 THEN '3E00' WHEN 1 THEN 'B700' ELSE 'FF7F' END) WHEN 1 THEN concat('7F454C46010201', repeat('00', 9), '0002', '0014')
     WHEN 2 THEN concat('4D5A', repeat('00', 58), '48000000', repeat('00', 8), '50450000', CASE doc_id % 3 WHEN 0 THEN '6486' ELSE '4C01' END, repeat('00', 16), CASE WHEN doc_id % 2 = 0 THEN '0220' ELSE '0200' END) WHEN 3 THEN concat('4D5A', repeat('00', 20))
     WHEN 4 THEN concat('CFFAEDFE', '0C000001', '00000000', '06000000') WHEN 5 THEN concat('FEEDFACE', '00000012', '00000000', '00000002') WHEN 6 THEN '0061736D01000000' ELSE '' END, repeat('00', 4), CASE WHEN doc_id % 3 = 1 THEN '6E6170695F6D6F64756C65' ELSE '' END, md5(cast(doc_id AS string)))) AS content FROM documents""",
+    "sbom_packages": "SELECT p_partkey AS package_id, CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, replace(p_name, ' ', '-') AS name, concat(cast(p_size AS string), '.0.0') AS version, cast(p_size * 2 AS int) AS risk_score, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS risk_level FROM part",
+    "sbom_binaries": f"SELECT l_partkey AS package_id, {_ROW} AS binary_id, concat('lib/', l_returnflag, '/', cast(l_linenumber AS string), '.so') AS filename, CASE WHEN l_linenumber % 4 > 0 THEN md5(cast(l_orderkey AS string)) END AS sha256, cast(floor(l_quantity) AS int) AS risk_score, 'low' AS risk_level, 'elf' AS format, 'x86_64' AS architecture FROM lineitem",
     "kev_catalogue": """SELECT cve_id, cast(max(added) AS date) AS date_added, CASE WHEN max(even) = 1 THEN 'Known' ELSE 'Unknown' END AS ransomware FROM (
   SELECT concat('cve-', cast(year(o_orderdate) AS string), '-', cast(o_orderkey % 3000 AS string)) AS cve_id, o_orderdate AS added, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS even FROM orders WHERE o_orderkey % 7 < 2) k GROUP BY cve_id""",
     "known_cves": """SELECT l_partkey AS package_id, concat('CVE-2020-', cast(l_orderkey % 3000 AS string)) AS cve_id, cast((l_orderkey * 7919 + l_partkey) % 1000 AS double) / 1000 AS epss_percentile,

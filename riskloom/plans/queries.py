@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detectors, graph, kpi, names, products, reach, rules, scoring, setjoin, similarity, tables
+from ..operators import detectors, graph, kpi, names, products, reach, rules, sbom, scoring, setjoin, similarity, tables
 from ..sources import files, lockfiles
 from ..streaming import jobs
 from .bindings import AS_OF_EVENTS, AS_OF_FEED, AS_OF_ORDERS, Inputs, oracle
@@ -696,6 +696,25 @@ def s12_fingerprints(t: Inputs) -> DataFrame:
     return x.select("path", "size", "format", F.size("strings").alias("n_strings"), "architecture", "kind", "machine", "file_type", "little", "bits")
 
 
+_BEHAVED = "SELECT binary_id, 'network' AS behaviour, concat('port ', cast(risk_score AS string)) AS details FROM sbom_binaries WHERE risk_score % 3 = 0"
+_FOUND = "SELECT package_id, binary_id, concat('Finding \"', format, '\"') AS title, filename AS description, 'Review it' AS recommendation, CASE WHEN risk_score > 30 THEN 'high' ELSE 'low' END AS severity FROM sbom_binaries WHERE risk_score % 2 = 0"
+_PROP = "{{'name': 'riskloom:{0}', 'value': cast({1} AS varchar)}}"
+
+
+@query(f"""WITH p AS (SELECT *, concat('pkg:', ecosystem, '/', name, '@', version) AS ref FROM sbom_packages), v AS (SELECT *, concat(binary_id, '-0') AS i FROM ({_FOUND})),
+  b AS (SELECT x.package_id, string_agg(CAST(to_json({{'type': 'file', 'bom-ref': x.binary_id, 'name': filename, 'hashes': CASE WHEN sha256 IS NOT NULL THEN [{{'alg': 'SHA-256', 'content': sha256}}] ELSE [] END,
+      'properties': list_concat(CASE WHEN h.binary_id IS NOT NULL THEN [{{'name': concat('riskloom:behavior:', behaviour), 'value': details}}] ELSE [] END, [{_PROP.format('riskScore', 'risk_score')}, {_PROP.format('riskLevel', 'risk_level')}, {_PROP.format('format', 'format')}, {_PROP.format('architecture', 'architecture')}])}}) AS varchar), ',' ORDER BY x.binary_id) AS t
+    FROM sbom_binaries x LEFT JOIN ({_BEHAVED}) h ON h.binary_id = x.binary_id GROUP BY 1),
+  f AS (SELECT package_id, string_agg(CAST(to_json({{'bom-ref': concat('vuln-', i), 'id': concat('RLM-', i), 'description': description, 'detail': title, 'recommendation': recommendation, 'source': {{'name': 'riskloom'}}, 'ratings': [{{'severity': severity, 'method': {{'value': 'other'}}}}], 'affects': [{{'ref': binary_id}}]}}) AS varchar), ',' ORDER BY binary_id) AS t FROM v GROUP BY 1)
+  SELECT p.package_id, concat((CAST(to_json({{'bomFormat': 'CycloneDX', 'specVersion': '1.5', 'serialNumber': concat('urn:uuid:', regexp_replace(md5(concat(ref, '{AS_OF_ORDERS}')), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')), 'version': 1, 'metadata': {{'timestamp': '{AS_OF_ORDERS}', 'tools': {{'components': [{{'type': 'application', 'name': 'riskloom'}}]}},
+    'component': {{'type': 'library', 'bom-ref': ref, 'name': name, 'version': version, 'purl': ref, 'properties': [{_PROP.format('ecosystem', 'ecosystem')}, {_PROP.format('riskScore', 'risk_score')}, {_PROP.format('riskLevel', 'risk_level')}]}}}}}}) AS varchar))[:-2], ',"components":[', coalesce(b.t, ''), '],"vulnerabilities":[', coalesce(f.t, ''), ']}}') AS document
+  FROM p LEFT JOIN b ON b.package_id = p.package_id LEFT JOIN f ON f.package_id = p.package_id""")
+def k5_sbom_documents(t: Inputs) -> DataFrame:
+    parts = sbom.document_parts(t["sbom_packages"], t["sbom_binaries"], t.sql(_BEHAVED), t.sql(_FOUND), "package_id", AS_OF_ORDERS)
+    # whole documents for the comparison only: these packages have about thirty binaries
+    return parts.groupBy("package_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("document"))
+
+
 # --- rules ------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import similarity
+from riskloom.operators import sbom, similarity
 from riskloom.sources import feeds, files, lockfiles
 from riskloom.streaming import jobs
 
@@ -80,11 +80,21 @@ def test_wheels_and_binaries(spark, write):
     assert (f.size, f.format, f.sha256, f.interesting) == (len(code), "elf", hashlib.sha256(code).hexdigest(), ["http://x.example.com", "/bin/sh"])
 
 
-def test_sbom_export(spark):
-    p = spark.createDataFrame([(1, "a", "npm", "1.0")], "package_id int, name string, ecosystem string, latest_version string")
-    f = spark.createDataFrame([(1, "high", "t"), (1, "high", "t")], "package_id int, severity string, title string")
-    doc = json.loads(similarity.sbom_documents(p, f, "package_id").first().document)
-    assert doc["components"][0]["purl"] == "pkg:npm/a@1.0" and doc["vulnerabilities"] == [{"severity": "high", "title": "t"}]
+@pytest.mark.parametrize("part", [1000, 2])
+def test_sbom_export(spark, monkeypatch, part):
+    monkeypatch.setattr(sbom, "PART", part)
+    p = spark.createDataFrame([(1, "npm", 'a"b', "1.0", 5, "low"), (2, "pypi", "é", "2", None, None)], "k int, ecosystem string, name string, version string, risk_score int, risk_level string")
+    b = spark.createDataFrame([(1, f"b{i}", f"f{i}.so", None if i == 3 else "00", i, "low", "elf", "arm64") for i in range(5)] + [(9, "z", "z", None, 1, "low", "pe", "x86")], "k int, binary_id string, filename string, sha256 string, risk_score int, risk_level string, format string, architecture string")
+    shown = spark.createDataFrame([("b1", "network", "x; y"), ("b1", "crypto", "z")], "binary_id string, behaviour string, details string")
+    f = spark.createDataFrame([(1, "b1", "t", "d2", "r", "high"), (1, "b1", "t", "d1", "r", "low"), (1, "b4", "u", "d", None, "info")], "k int, binary_id string, title string, description string, recommendation string, severity string")
+    parts = sbom.document_parts(p, b, shown, f, "k", "2024-01-01").orderBy("k", "part").collect()
+    docs = {k: json.loads("".join(x.text for x in parts if x.k == k)) for k in (1, 2)}
+    assert [x.part for x in parts if x.k == 1] == list(range(5 if part > 2 else 8)) and len({x.k for x in parts}) == 2
+    assert docs[1]["metadata"]["component"]["purl"] == 'pkg:npm/a"b@1.0' and docs[2]["components"] == docs[2]["vulnerabilities"] == []
+    assert [c["bom-ref"] for c in docs[1]["components"]] == [f"b{i}" for i in range(5)]
+    assert [c["hashes"] for c in docs[1]["components"]][2:4] == [[{"alg": "SHA-256", "content": "00"}], []]
+    assert [x["value"] for x in docs[1]["components"][1]["properties"]] == ["z", "x; y", "1", "low", "elf", "arm64"]
+    assert [(v["bom-ref"], v["description"], v["ratings"][0]["severity"], v["affects"]) for v in docs[1]["vulnerabilities"]] == [("vuln-b1-0", "d1", "low", [{"ref": "b1"}]), ("vuln-b1-1", "d2", "high", [{"ref": "b1"}]), ("vuln-b4-0", "d", "info", [{"ref": "b4"}])]
 
 
 def run(stream, name, mode="append"):
