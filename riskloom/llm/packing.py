@@ -5,6 +5,7 @@ must not share a source or a duplicate cluster.  Pieces are spread by a hash of
 about GROUP pieces, so that no group grows with the input and a hot source or cluster is dealt evenly; within a
 group, longest piece first, the search starts at the bin with the least sufficient residual and goes on to the
 successors until one is compatible, and opens a new bin otherwise.  Bins carry their sources and clusters as bitmaps.
+Clusters are groups of near-duplicates (near_clusters()), or copies of a text where those were taken out before.
 
 A token is a run of characters other than white space.  A full piece is a bin by itself.  Only keys and lengths are
 shuffled, not texts.
@@ -22,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from . import minhash
+from .common import saved, text_key
 
 CAPACITY, GROUP = 2048, 4096
 SCHEMA = "doc_id long, piece int, first_token int, n_tokens int, bin_id long, bin_offset int"
@@ -57,18 +59,29 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int =
     return out
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None) -> DataFrame:
-    """doc_id, source, cluster, piece, first_token and n_tokens of every piece; copies of a text are a cluster unless given."""
-    cluster = F.xxhash64("text") if cluster is None else cluster
-    counted = docs.filter(F.col("text").isNotNull()).select("doc_id", "source", cluster.alias("cluster"), n_tokens(F.col("text")).alias("n")).filter("n > 0")
+def near_clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 (of the text) and cluster of every document: its group of near-duplicates, named by that group's least id."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    return saved(found.select("doc_id", "k1", "k2", F.coalesce("component_id", "k1").alias("cluster")).distinct())
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, cluster, piece, first_token and n_tokens of every piece; copies of a text are a cluster unless clusters are given."""
+    k1, k2 = text_key(F.col("text"))
+    counted = docs.filter(F.col("text").isNotNull()).select("doc_id", "source", k1, k2, n_tokens(F.col("text")).alias("n")).filter("n > 0")
+    if clusters is None:
+        counted = counted.withColumn("cluster", F.col("k1"))
+    else:
+        c = clusters.select(F.col("doc_id").alias("__d"), F.col("k1").alias("__1"), F.col("k2").alias("__2"), "cluster")
+        counted = counted.join(c.hint("merge"), (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     return counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))).select(
         "doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens")
     )
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, group: int = GROUP) -> DataFrame:
-    """The bin and offset of every piece of every document."""
-    cut = saved(pieces(docs, capacity, cluster))
+def pack(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None, group: int = GROUP) -> DataFrame:
+    """The bin and offset of every piece of every document; clusters: those of near_clusters(), else copies of a text are one."""
+    cut = saved(pieces(docs, capacity, clusters))
     groups = max(1, -(-cut.count() // group))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -23,7 +23,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, clusters=packing.near_clusters(docs))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,44 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert got == [(0, 0), (1, 0), (1, 5), (0, 6), (2, 0)]
 
 
+def plain_best_fit(lengths, sources, clusters, capacity):
+    """Every open bin is looked at: the fullest that fits and holds neither the source nor the cluster, the first of equal ones."""
+    bins, out = [], []
+    for n, s, c in zip(lengths, sources, clusters, strict=True):
+        able = [(b["free"], i) for i, b in enumerate(bins) if b["free"] >= n and (s is None or s not in b["s"]) and (c is None or c not in b["c"])]
+        i = min(able)[1] if able else len(bins)
+        if i == len(bins):
+            bins.append({"free": capacity, "s": set(), "c": set()})
+        b = bins[i]
+        out.append((i, capacity - b["free"]))
+        b["free"] -= n
+        b["s"].add(s)
+        b["c"].add(c)
+    return out
+
+
+def test_best_fit_equals_looking_at_every_bin():
+    r = random.Random(11)
+    for _ in range(60):
+        n = r.randint(0, 60)
+        lengths = sorted((r.randint(1, 20) for _ in range(n)), reverse=True)
+        sources, clusters = ([r.choice([None, *range(k)]) for _ in range(n)] for k in (4, 9))
+        assert packing.best_fit(lengths, sources, clusters, 20) == plain_best_fit(lengths, sources, clusters, 20)
+
+
+def test_near_copies_share_no_bin(spark):
+    r = random.Random(12)
+    base = [prose(60, r) for _ in range(12)]
+    rows = [(i, f"{base[i % 12]} end{i}", f"s{i}") for i in range(120)] + [(None, base[0], None), (3, base[0], "t"), (200, None, "s"), (201, " ", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    _, comp = brute.near_duplicates([t for _, t, _ in rows])
+    of = {(i, len(t.split())): c for (i, t, _), c in zip(rows, comp, strict=True) if t}
+    bins = {}
+    for x in packing.pack(df, 300, clusters=packing.near_clusters(df)).collect():
+        bins.setdefault(x.bin_id, []).append(of[x.doc_id, x.n_tokens])
+    assert sum(map(len, bins.values())) == 122 and all(len(set(b)) == len(b) for b in bins.values()) and max(map(len, bins.values())) > 2
+
+
 def planted(r, n=50):
     """Documents of their own words; those divisible by 5 share one passage of 60 words."""
     passage = " ".join(f"p{r.randrange(10**6)}" for _ in range(60))
