@@ -201,6 +201,7 @@ def f21_edit_distance(t: Inputs) -> DataFrame:
     return names.near_names(p, p, "base_name", "base_name").filter("a < b").withColumn("similarity", F.round(names.similarity(F.col("a"), F.col("b")), 4))
 
 
+#: No SQL: the engine that it would be compared with drops half a transposition where their number is odd.
 @query()
 def e3_jaro_winkler(t: Inputs) -> DataFrame:
     p = t["packages"].select("base_name", F.replace(F.concat("base_name", F.lit("x")), F.lit("e"), F.lit("a")).alias("other")).distinct()
@@ -627,14 +628,6 @@ def j7_cross_ecosystem(t: Inputs) -> DataFrame:
     return names.cross_ecosystem_pairs(t["packages"])
 
 
-@query()
-def j5_a32_name_intelligence(t: Inputs) -> DataFrame:
-    pk = t.sql(_VARIANTS)
-    popular = t["packages"].select(F.col("base_name").alias("name"), "ecosystem").distinct()
-    known = popular.select(F.concat("name", F.lit("x")).alias("name"), "ecosystem", F.col("name").alias("imitates"))
-    return names.name_audit(names.name_intelligence(pk, popular, known), pk)
-
-
 _GLYPH = f"translate(lower({{0}}), '{''.join(S.LOOKALIKES)}\u00ad', '{''.join(S.LOOKALIKES.values())}')"
 _CROSS = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '^@[^/]+/', ''), '[-_.]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _EXTENDS = "starts_with({0}, concat({1}, '-')) OR starts_with({0}, concat({1}, '/'))"
@@ -652,6 +645,30 @@ def x1_change_events(t: Inputs) -> DataFrame:
     return jobs.change_events(t["registry_changes"].withColumn("scripts", F.create_map("hook", "body")), t.sql(_SEEN), index, 100)
 
 
+_POPULAR_BOTH = "SELECT DISTINCT base_name AS name, ecosystem FROM packages"
+_RISKS = f"""SELECT name, ecosystem, target, max(r) AS r FROM (SELECT v.name, v.ecosystem, p.name AS target, 4 AS r FROM ({_VARIANTS}) v JOIN ({_POPULAR_BOTH}) p ON p.ecosystem = v.ecosystem AND lower(concat(p.name, 'x')) = lower(v.name)
+  UNION ALL SELECT v.name, v.ecosystem, p.name, 4 FROM ({_VARIANTS}) v JOIN ({_POPULAR_BOTH}) p ON p.ecosystem = v.ecosystem AND {_GLYPH.format('p.name')} = {_GLYPH.format('v.name')} AND lower(p.name) <> lower(v.name)
+  UNION ALL SELECT v.name, v.ecosystem, p.name, 4 - levenshtein(lower(v.name), lower(p.name)) FROM ({_VARIANTS}) v JOIN ({_POPULAR_BOTH}) p ON p.ecosystem = v.ecosystem AND levenshtein(lower(v.name), lower(p.name)) BETWEEN 1 AND 2 AND NOT ({_EXTENDS.format('lower(v.name)', 'lower(p.name)')} OR {_EXTENDS.format('lower(p.name)', 'lower(v.name)')})
+  UNION ALL SELECT v.name, v.ecosystem, v.name, 3 FROM ({_VARIANTS}) v WHERE {_CROSS.format('v.name')} IN (SELECT {_CROSS.format('name')} FROM ({_VARIANTS}) WHERE ecosystem = 'npm' INTERSECT SELECT {_CROSS.format('name')} FROM ({_VARIANTS}) WHERE ecosystem = 'pypi')
+    AND lower(v.name) NOT IN ({', '.join(f"'{n}'" for n in S.CROSS_LISTED)}) AND (length(v.name) <= 6 OR regexp_matches(lower(v.name), '{'|'.join(S.RISKY_PARTS)}'))) GROUP BY 1, 2, 3"""
+
+
+def _intelligence(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    popular = t.sql(_POPULAR_BOTH)
+    known = popular.select(F.concat("name", F.lit("x")).alias("name"), "ecosystem", F.col("name").alias("imitates"))
+    return names.name_intelligence(t.sql(_VARIANTS), popular, known), t.sql(_VARIANTS)
+
+
+@query(f"SELECT name, ecosystem, target, CASE r WHEN 4 THEN 'critical' WHEN 3 THEN 'high' ELSE 'medium' END AS risk_level FROM ({_RISKS})")
+def j5_name_intelligence(t: Inputs) -> DataFrame:
+    return _intelligence(t)[0]
+
+
+@query(f"SELECT v.ecosystem, count(*) AS scanned, count(r) AS risky, count(*) - count(r) AS clean, count(*) FILTER (r = 2) AS medium, count(*) FILTER (r = 3) AS high, count(*) FILTER (r = 4) AS critical FROM ({_VARIANTS}) v LEFT JOIN (SELECT name, ecosystem, max(r) AS r FROM ({_RISKS}) GROUP BY 1, 2) m ON m.name = v.name AND m.ecosystem = v.ecosystem GROUP BY 1")
+def a32_name_audit(t: Inputs) -> DataFrame:
+    return names.name_audit(*_intelligence(t))
+
+
 @query("""SELECT path, 'requirements' AS format, name, version, false AS dev FROM (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM (
   SELECT concat(l_orderkey, '/requirements.txt') AS path, replace(p_name, ' ', '-') AS name, concat(l_linenumber, '.', l_suppkey) AS version, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey)) WHERE i = 1""")
 def e4_parse_lockfile(t: Inputs) -> DataFrame:
@@ -861,7 +878,10 @@ def g5_cycle_impact(t: Inputs) -> DataFrame:
     return graph.cycle_impact(e, graph.cyclic_components(e))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT ecosystem, base_name FROM packages), e AS (SELECT concat('npm:', a.base_name) AS a, concat('pypi:', b.base_name) AS b FROM n a JOIN n b ON a.ecosystem = 'npm' AND b.ecosystem = 'pypi'
+    AND greatest(1 - levenshtein(a.base_name, b.base_name) / cast(greatest(length(a.base_name), length(b.base_name)) AS double), jaro_winkler_similarity(a.base_name, b.base_name)) >= 0.85),
+  l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other)
+  SELECT cluster, count(*) AS n FROM (SELECT node, min(other) AS cluster FROM r GROUP BY 1) GROUP BY 1""")
 def g6_clusters(t: Inputs) -> DataFrame:
     pairs = names.cross_ecosystem_pairs(t["packages"]).select(F.concat(F.lit("npm:"), F.col("a")).alias("a"), F.concat(F.lit("pypi:"), F.col("b")).alias("b"))
     return graph.clusters(pairs, "a", "b").groupBy("cluster").agg(F.count("*").alias("n"))
