@@ -112,6 +112,11 @@ FROM events""",
     WHEN 4 THEN concat('CFFAEDFE', '0C000001', '00000000', '06000000') WHEN 5 THEN concat('FEEDFACE', '00000012', '00000000', '00000002') WHEN 6 THEN '0061736D01000000' ELSE '' END, repeat('00', 4), CASE WHEN doc_id % 3 = 1 THEN '6E6170695F6D6F64756C65' ELSE '' END, md5(cast(doc_id AS string)))) AS content FROM documents""",
     "sbom_packages": "SELECT p_partkey AS package_id, CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, replace(p_name, ' ', '-') AS name, concat(cast(p_size AS string), '.0.0') AS version, cast(p_size * 2 AS int) AS risk_score, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS risk_level FROM part",
     "sbom_binaries": f"SELECT l_partkey AS package_id, {_ROW} AS binary_id, concat('lib/', l_returnflag, '/', cast(l_linenumber AS string), '.so') AS filename, CASE WHEN l_linenumber % 4 > 0 THEN md5(cast(l_orderkey AS string)) END AS sha256, cast(floor(l_quantity) AS int) AS risk_score, 'low' AS risk_level, 'elf' AS format, 'x86_64' AS architecture FROM lineitem",
+    "manifest_packages": "SELECT p_partkey AS package_id, CASE WHEN p_partkey % 3 = 0 THEN 'pypi' ELSE 'npm' END AS ecosystem, CASE p_partkey % 7 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN concat(replace(p_name, ' ', '-'), 'x') WHEN 2 THEN replace(p_name, ' ', '_') WHEN 3 THEN concat('@org/', replace(p_name, ' ', '-')) WHEN 4 THEN replace(replace(p_name, ' ', '-'), 'o', '0') ELSE concat('own-', cast(p_partkey AS string)) END AS name FROM part",
+    "manifest_sources": "SELECT doc_id * 7 % 200 AS package_id, doc_id AS source_id, concat('f', cast(doc_id % 3 AS string), '.js') AS file FROM documents",
+    "manifest_hooks": "SELECT p_partkey AS package_id, CASE p_size % 4 WHEN 0 THEN 'postinstall' WHEN 1 THEN 'prepare' ELSE 'test' END AS hook, CASE WHEN p_size % 8 = 1 THEN '' ELSE 'node x.js' END AS body FROM part",
+    "manifest_commands": "SELECT p_partkey AS package_id, CASE p_size % 9 WHEN 0 THEN 'Git' WHEN 1 THEN 'python3' ELSE concat('cmd', cast(p_size AS string)) END AS command FROM part UNION ALL SELECT p_partkey, 'npm' FROM part WHERE p_size % 11 = 0",
+    "manifest_context": "SELECT p_partkey AS package_id, cast(p_size * 2 AS double) / 100 AS percentile, (p_size % 3 = 0) AS kev, CASE p_size % 4 WHEN 0 THEN 'widespread' WHEN 1 THEN 'active-exploitation' ELSE 'none' END AS maturity, CASE p_size % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS patch_confidence, p_size * 3 AS days, cast(p_size AS double) / 60 AS adoption FROM part WHERE p_partkey % 5 > 0",
     "kev_catalogue": """SELECT cve_id, cast(max(added) AS date) AS date_added, CASE WHEN max(even) = 1 THEN 'Known' ELSE 'Unknown' END AS ransomware FROM (
   SELECT concat('cve-', cast(year(o_orderdate) AS string), '-', cast(o_orderkey % 3000 AS string)) AS cve_id, o_orderdate AS added, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS even FROM orders WHERE o_orderkey % 7 < 2) k GROUP BY cve_id""",
     "known_cves": """SELECT l_partkey AS package_id, concat('CVE-2020-', cast(l_orderkey % 3000 AS string)) AS cve_id, cast((l_orderkey * 7919 + l_partkey) % 1000 AS double) / 1000 AS epss_percentile,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import detectors, graph, kpi, names, products, reach, rules, sbom, scoring, setjoin, similarity, tables
+from ..operators import detectors, graph, kpi, manifest, names, products, reach, rules, sbom, scoring, setjoin, similarity, tables
 from ..sources import files, lockfiles
 from ..streaming import jobs
 from .bindings import AS_OF_EVENTS, AS_OF_FEED, AS_OF_ORDERS, Inputs, oracle
@@ -769,6 +769,35 @@ def r2_a5_manifest_scores(t: Inputs) -> DataFrame:
     return out.select("package_id", "n_findings", "score", S.risk_level(F.col("score")).alias("risk_level"))
 
 
+_WHEEL_NATIVE = "SELECT package_id, min(path) AS path FROM wheel_files WHERE regexp_matches(lower(path), '\\.(so|pyd|dylib)$') GROUP BY 1"
+_SQUATS = f"""SELECT DISTINCT package_id FROM (SELECT *, levenshtein(cb, pb) AS d FROM (SELECT package_id, lower(name) AS low, {_BARE.format('name')} AS cb FROM manifest_packages WHERE ecosystem = 'npm') c, (SELECT name AS target, {_BARE.format('name')} AS pb FROM ({_POPULAR})) p
+  WHERE length(cb) >= 3 AND low NOT IN (SELECT lower(base_name) FROM packages)) WHERE (low <> cb AND cb = lower(target)) OR (cb <> pb AND ({_C} = {_P} OR {_visual_sql(_C)} = {_visual_sql(_P)})) OR d BETWEEN 1 AND 2"""
+_MANIFEST_TRUSTED, _MANIFEST_MALWARE = "SELECT package_id FROM manifest_packages WHERE package_id % 4 = 0", "SELECT package_id FROM manifest_packages WHERE package_id % 41 = 0"
+_FINDINGS = f"""SELECT package_id, category, title, file, max({rank_sql('severity').replace("'none' THEN 0", "'info' THEN 0")}) AS rank FROM (
+  SELECT s.package_id, category, severity, title, file FROM ({_RULES_SQL}) h JOIN manifest_sources s ON s.source_id = h.source_id
+  UNION ALL SELECT package_id, 'installHook', 'low', '{manifest.HOOK}', 'package.json#scripts' FROM manifest_packages WHERE ecosystem = 'npm' AND package_id IN (SELECT package_id FROM manifest_hooks WHERE hook IN ('preinstall', 'install', 'postinstall', 'prepare') AND body <> '')
+  UNION ALL SELECT package_id, 'installHook', 'low', '{manifest.HOOK}', 'setup.py' FROM manifest_packages WHERE ecosystem = 'pypi' AND package_id % 2 = 0
+  UNION ALL SELECT p.package_id, 'pythonBinaryExtension', 'medium', '{manifest.EXTENSION}', path FROM manifest_packages p JOIN ({_WHEEL_NATIVE}) w ON w.package_id = p.package_id WHERE ecosystem = 'pypi'
+  UNION ALL SELECT package_id, 'dependencyConfusion', 'high', '{manifest.SHADOW}', 'package.json#bin' FROM manifest_packages WHERE ecosystem = 'npm' AND package_id IN (SELECT package_id FROM manifest_commands WHERE lower(command) IN ({', '.join(f"'{c}'" for c in manifest.SHADOWABLE)}))
+  UNION ALL SELECT package_id, 'dependencyConfusion', 'high', 'squat', 'package.json#name' FROM ({_SQUATS})) GROUP BY 1, 2, 3, 4"""
+_SEVERE = f"SELECT package_id, category, CASE WHEN category = 'installHook' AND rank IN (1, 2) AND package_id IN ({_MANIFEST_TRUSTED}) THEN 'info' ELSE CASE rank WHEN 0 THEN 'info' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END END AS severity FROM ({_FINDINGS})"
+
+
+@query(f"""WITH f AS ({_SEVERE}), own AS (SELECT package_id, count(*) AS n, sum({points_sql('severity', scoring.SEVERITY_POINTS)}) AS points FROM f GROUP BY 1),
+  t AS (SELECT package_id, sum(CASE WHEN category IN ({', '.join(f"'{c}'" for c in scoring.THREAT_POINTS)}) THEN {points_sql('category', scoring.THREAT_POINTS)} + least(n, 3) ELSE 0 END) AS threats FROM (SELECT package_id, category, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1),
+  s AS (SELECT p.package_id, coalesce(n, 0) AS n_findings, CASE WHEN p.package_id IN ({_MANIFEST_MALWARE}) THEN 100 ELSE greatest(0, least(100, coalesce(points, 0) + coalesce(threats, 0) + {epss_sql('percentile', 'a')} + CASE WHEN kev AND maturity IN ('active-exploitation', 'widespread') THEN 20 ELSE 0 END
+    + CASE patch_confidence WHEN 'high' THEN -15 WHEN 'medium' THEN -10 WHEN 'low' THEN -5 ELSE 0 END + CASE WHEN days IS NULL OR days < 7 OR adoption < 0.05 THEN 0 WHEN days >= 90 AND adoption >= 0.5 THEN -10 WHEN days >= 30 AND adoption >= 0.25 THEN -5 ELSE 0 END)) END AS score
+    FROM manifest_packages p LEFT JOIN own ON own.package_id = p.package_id LEFT JOIN t ON t.package_id = p.package_id LEFT JOIN manifest_context c ON c.package_id = p.package_id)
+  SELECT package_id, n_findings, cast(score AS int) AS score, {level_sql('score')} AS risk_level FROM s""")
+def a5_manifest_analysis(t: Inputs) -> DataFrame:
+    hits = rules.rule_hits(t["script_sources"], "content", ["source_id"], evidence=False)
+    # exploded hits are written before their join
+    hits = graph.checkpointed(hits.select("source_id", "category", "severity", "title")).join(t["manifest_sources"].hint("merge"), "source_id")
+    packages = t["manifest_packages"]
+    found = manifest.manifest_findings(hits, packages, t["manifest_hooks"], t["manifest_commands"], t["wheel_files"], packages.filter("package_id % 2 = 0"), t.sql(_POPULAR), t.sql(_MANIFEST_TRUSTED))
+    return manifest.manifest_scores(packages, graph.checkpointed(found), t["manifest_context"], t.sql(_MANIFEST_MALWARE))
+
+
 _PROFILE_VALUES = ", ".join(f"('{p}', '{s}', {scoring.SIGNAL_CONFIDENCE[s]}, {len(ss)})" for p, ss in scoring.PROFILES.items() for s in ss)
 
 
