@@ -283,3 +283,24 @@ def test_package_imports_without_the_corpus_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert 'a1_dashboard_kpis' in e.queries() and 'pipeline' not in e.queries() and not any(q.startswith('op') for q in e.queries()), e.queries().keys()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_manifest_findings_and_scores(spark):
+    from riskloom.operators import manifest
+
+    df = spark.createDataFrame
+    hits = df([(1, "wiper", "critical", "t", "a.js"), (1, "wiper", "critical", "t", "b.js"), (1, "wiper", "low", "t", "b.js"), (4, "other", "low", "t", "x")], "package_id int, category string, severity string, title string, file string")
+    packages = df([(1, "npm", "left-pad"), (2, "pypi", "q"), (3, "npm", "lodahs"), (4, "npm", "own-thing"), (5, "pypi", "r")], "package_id int, ecosystem string, name string")
+    hooks = df([(1, "install", "x"), (3, "test", "x"), (4, "prepare", ""), (2, "install", "x")], "package_id int, hook string, body string")
+    commands = df([(3, "GIT"), (3, "npm"), (2, "git")], "package_id int, command string")
+    native = df([(2, "b/x.so"), (2, "a/y.pyd"), (1, "z.so"), (5, "z.txt")], "package_id int, path string")
+    setups, trusted = df([(2,), (1,)], "package_id int"), df([(1,)], "package_id int")
+    popular = df([("lodash", 1), ("left-pad", 2)], "name string, ord int")
+    found = manifest.manifest_findings(hits, packages, hooks, commands, native, setups, popular, trusted)
+    assert {tuple(x) for x in found.select("package_id", "category", "severity", "file").collect()} == {
+        (1, "wiper", "critical", "a.js"), (1, "wiper", "critical", "b.js"), (4, "other", "low", "x"), (1, "installHook", "info", "package.json#scripts"), (2, "installHook", "low", "setup.py"),
+        (2, "pythonBinaryExtension", "medium", "a/y.pyd"), (3, "dependencyConfusion", "high", "package.json#bin"), (3, "dependencyConfusion", "high", "package.json#name"),
+    }
+    context = df([(2, 0.95, True, "widespread", "high", 100, 0.9), (5, None, None, None, None, None, None)], "package_id int, percentile double, kev boolean, maturity string, patch_confidence string, days int, adoption double")
+    got = {x.package_id: (x.n_findings, x.score, x.risk_level) for x in manifest.manifest_scores(packages, found, context, df([(5,)], "package_id int")).collect()}
+    assert got == {1: (3, 100, "critical"), 2: (2, 53, "medium"), 3: (2, 82, "critical"), 4: (1, 8, "low"), 5: (0, 100, "critical")}
