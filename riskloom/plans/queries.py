@@ -928,10 +928,10 @@ def g7_graph_audit(t: Inputs) -> DataFrame:
     return graph.graph_audit(t["dep_nodes"], e, graph.cyclic_components(e), t["dep_roots"])
 
 
-_VULNS = "SELECT n.graph_id, v.cve, n.node, n.version FROM dep_nodes n JOIN critical_cves v ON v.node = n.node"
+_GRAPH_VULNS = "SELECT n.graph_id, v.cve, n.node, n.version FROM dep_nodes n JOIN critical_cves v ON v.node = n.node"
 _RANGES = "SELECT graph_id, src AS blocker, dst AS node, concat('^', cast(src % 4 AS string), '.0.0') AS range FROM dep_edges"
 _RANK = "CASE WHEN fix_version IS NULL OR circular THEN 0 WHEN n_blockers > 3 THEN 15 WHEN n_blockers >= 2 THEN 30 WHEN n_blockers = 1 THEN 50 WHEN f[1] <> w[1] THEN 65 WHEN f[2] <> w[2] THEN 85 ELSE 100 END"
-_PATCHES = f"""{_CLOSURE}, u AS ({_VULNS}),
+_PATCHES = f"""{_CLOSURE}, u AS ({_GRAPH_VULNS}),
   fix AS (SELECT u.graph_id, u.cve, u.node, arg_min(p.version, {parts_sql('p.version')}) AS fix_version FROM u JOIN published_versions p ON p.node = u.node AND {parts_sql('p.version')} > {parts_sql('u.version')} GROUP BY 1, 2, 3),
   rejects AS (SELECT fix.graph_id, fix.cve, fix.node, count(DISTINCT r.blocker) AS n FROM fix JOIN ({_RANGES}) r ON r.graph_id = fix.graph_id AND r.node = fix.node
     WHERE NOT (cast(substr(r.range, 2, 1) AS bigint) = ({parts_sql('fix.fix_version')})[1] AND (cast(substr(r.range, 2, 1) AS bigint) > 0 OR ({parts_sql('fix.fix_version')})[2] = 0)) GROUP BY 1, 2, 3),
@@ -941,7 +941,7 @@ _PATCHES = f"""{_CLOSURE}, u AS ({_VULNS}),
 
 
 def _patchable(t: Inputs) -> DataFrame:
-    e, vulns = t["dep_edges"], t.sql(_VULNS)
+    e, vulns = t["dep_edges"], t.sql(_GRAPH_VULNS)
     blockers = graph.upstream_blockers(e, vulns.select("graph_id", "node").distinct())
     return graph.patchability(vulns, blockers, t.sql(_RANGES), t["published_versions"], graph.cyclic_components(e).select("graph_id", "node"))
 
@@ -978,7 +978,7 @@ _ORDER_SQL = f"list_position([{', '.join(f"'{h}'" for h in reach.HOOKS)}], hook)
   readable AS (SELECT package_id, path FROM package_files WHERE size <= 524288),
   edge AS (SELECT e.* FROM ({_resolve_sql("ref", "file, pos")}) e JOIN readable USING (package_id, path)),
   told AS (SELECT package_id, h, generate_subscripts(u, 1) AS i, unnest(u) AS reference FROM (SELECT package_id, h, list_transform(regexp_extract_all(body, '{reach.FILE_REFERENCE}'), lambda r: replace(r, chr(92), '/')) AS u FROM hook)),
-  walked AS (SELECT package_id, path, row_number() OVER (PARTITION BY package_id ORDER BY path) AS i FROM package_files WHERE regexp_matches(path, '(?i)(^|/)[^/]+\.(js|cjs|mjs|ts|jsx|tsx)$')),
+  walked AS (SELECT package_id, path, row_number() OVER (PARTITION BY package_id ORDER BY path) AS i FROM package_files WHERE regexp_matches(path, '(?i)(^|/)[^/]+\\.(js|cjs|mjs|ts|jsx|tsx)$')),
   seed AS (SELECT package_id, h AS a, i AS b, reference FROM told UNION ALL SELECT package_id, 100, pos, value FROM entry_points UNION ALL SELECT package_id, 200, i, path FROM walked WHERE i <= 64 AND regexp_matches(path, '{reach.INSTALL_NAME['npm']}')),
   start AS (SELECT s.package_id, path, min([a, b]) AS o FROM ({_resolve_sql("seed", "a, b")}) s JOIN readable USING (package_id, path) GROUP BY 1, 2),
   t(package_id, path, level, k) USING KEY (package_id, path) AS (SELECT package_id, path, 0, [row_number() OVER (PARTITION BY package_id ORDER BY o)] FROM start
@@ -991,14 +991,14 @@ def g9_reached_files(t: Inputs) -> DataFrame:
 # --- artifacts ------------------------------------------------------------------------------
 
 
-_SIGNALS = ("import_sig", "syscall_sig", "fuzzy_hash")
-_SHARED = " + ".join(f"CASE WHEN a.{s} = b.{s} AND a.{s} <> '' THEN 1 ELSE 0 END" for s in _SIGNALS)
+_SHARED_SIGNALS = ("import_sig", "syscall_sig", "fuzzy_hash")
+_SHARED = " + ".join(f"CASE WHEN a.{s} = b.{s} AND a.{s} <> '' THEN 1 ELSE 0 END" for s in _SHARED_SIGNALS)
 
 
 @query(f"""SELECT r.artifact_id, cast(coalesce(n, 0) AS int) AS n, coalesce(matches, '') AS matches FROM binary_registry r LEFT JOIN (SELECT artifact_id, count(*) AS n, string_agg(concat(score, ':', other), ',' ORDER BY i) AS matches FROM (
   SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY score DESC, other) AS i FROM (SELECT a.artifact_id, b.artifact_id AS other, {_SHARED} AS score FROM binary_registry a JOIN binary_registry b ON a.ecosystem = b.ecosystem AND a.artifact_id <> b.artifact_id) WHERE score > 0) WHERE i <= 50 GROUP BY 1) m ON m.artifact_id = r.artifact_id""")
 def j14_similar_artifacts(t: Inputs) -> DataFrame:
-    x = setjoin.most_alike(t["binary_registry"], _SIGNALS)
+    x = setjoin.most_alike(t["binary_registry"], _SHARED_SIGNALS)
     return x.select("artifact_id", F.size("matches").alias("n"), F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["score"].cast("string"), m["artifact_id"].cast("string"))), ",").alias("matches"))
 
 
