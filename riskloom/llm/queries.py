@@ -118,10 +118,10 @@ ORACLES: dict[str, str] = {
   pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(f.value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
   every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
   SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 10""",
-    "op13_target_resampling": f"""WITH byte AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+    "op13_target_resampling": f"""WITH byte AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
   d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS3} AS w FROM documents), b AS (SELECT {_WORDS3} AS w FROM benchmark),
   word AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM d UNION ALL SELECT unnest(w) FROM b)),
-  bucket AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), i -> ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)), (c, x) -> xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS b FROM word, byte),
+  bucket AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS b FROM word, byte),
   dw AS (SELECT r, b FROM (SELECT r, unnest(w) AS word FROM d) JOIN bucket USING (word)), s AS (SELECT b, count(*) AS s FROM dw GROUP BY 1),
   t AS (SELECT b, count(*) AS t FROM (SELECT unnest(w) AS word FROM b) JOIN bucket USING (word) GROUP BY 1),
   gain AS (SELECT s.b, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((SELECT sum(s) FROM s) + 10000)::double / ((s + 1)::double * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::double))) AS bigint) AS g FROM s LEFT JOIN t ON s.b = t.b),
