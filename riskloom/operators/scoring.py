@@ -96,13 +96,17 @@ def epss_override(packages: DataFrame, cves: DataFrame, key: str, as_of: Column,
 
 
 def correlation_score(cves: DataFrame, detectors: DataFrame, key: str) -> DataFrame:
-    """CVE score with exploit probability, KEV and mean confidence of the detectors that fired."""
-    means = detectors.filter("detected").groupBy(key).agg(F.avg("confidence").alias("mean"), F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("analyzers"))
+    """CVE score with exploit probability, KEV and mean confidence of the detectors that fired.
+
+    Confidences are read to nine places and added up as decimals, so a mean that is a step exactly reaches it in any order.
+    """
+    total = F.sum(F.col("confidence").cast("decimal(20,9)"))
+    means = detectors.filter("detected").groupBy(key).agg(total.alias("total"), F.count("confidence").alias("said"), F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("analyzers"))
     joined = cves.join(means, key, "left")
-    mean = F.coalesce("mean", F.lit(0.0))
-    boost = F.when(mean >= 0.8, 15).when(mean >= 0.5, 10).when(mean >= 0.2, 5).otherwise(0)
+    tenths = F.col("total") * 10
+    boost = F.when(tenths >= F.col("said") * 8, 15).when(tenths >= F.col("said") * 5, 10).when(tenths >= F.col("said") * 2, 5).otherwise(0)
     score = S.normalize_risk(S.cvss_floor(F.col("cvss_score")) + S.epss_boost(F.col("epss_percentile"), "c") + S.kev_flat(F.col("is_kev"), 15) + boost)
-    return joined.withColumn("score", score).withColumn("severity", S.risk_level(F.col("score"))).drop("mean")
+    return joined.withColumn("score", score).withColumn("severity", S.risk_level(F.col("score"))).drop("total", "said")
 
 
 def composite_exploit_risk(vulns: DataFrame, key: str) -> DataFrame:
