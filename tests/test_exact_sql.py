@@ -1,8 +1,12 @@
 """Borders at which a query and its SQL differed on larger tables."""
 
-from pyspark.sql import functions as F
+import os
+
+import compare
+import pytest
 
 from riskloom.operators import scoring
+from riskloom.plans import queries
 
 
 def test_correlation_means_on_a_step(spark):
@@ -13,3 +17,39 @@ def test_correlation_means_on_a_step(spark):
     det = spark.createDataFrame([(i, "d", x / 10, True) for i, (_, v) in enumerate(groups) for x in v], "id int, detector string, confidence double, detected boolean")
     got = dict(scoring.correlation_score(cves, det, "id").select("id", "score").collect())
     assert got == {i: {2: 5, 5: 10, 8: 15}[t] for i, (t, _) in enumerate(groups)}
+
+
+@pytest.fixture
+def folder(spark, sf, tmp_path):
+    """Makes a folder of tables in which the given ones stand for those of sf."""
+
+    def make(**tables):
+        for t in compare.TABLES:
+            os.symlink(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
+        for t, df in tables.items():
+            os.unlink(tmp_path / f"{t}.parquet")
+            df.write.parquet(str(tmp_path / f"{t}.parquet"))
+            os.rename(tmp_path / f"{t}.parquet", tmp_path / f"{t}.parts")
+            os.symlink(next((tmp_path / f"{t}.parts").glob("part-*.parquet")), tmp_path / f"{t}.parquet")
+        return str(tmp_path)
+
+    return make
+
+
+def test_lockfile_risk_on_a_half(spark, sf, folder):
+    """Seven scores whose 0.65 of the greatest and 0.35 of the mean are a half but for the last bit of a double."""
+    line, order = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1), spark.read.parquet(f"{sf}/orders.parquet").limit(1)
+    wanted = [[36, 22, 16, 12, 12, 12, 12], [36, 30, 20, 14, 14, 14, 14], [52, 50, 48, 44, 40, 40, 40], [62, 40, 36, 30, 28, 24, 24]]
+    rows = spark.createDataFrame([(i, 12 * (7 * i + k) + 3, x / 2) for i, v in enumerate(wanted) for k, x in enumerate(v)], "o long, p long, q double").coalesce(1)
+    items = line.drop("l_orderkey", "l_partkey", "l_quantity").crossJoin(rows).selectExpr("o as l_orderkey", "p as l_partkey", "q as l_quantity", "*").select(line.columns)
+    orders = order.drop("o_orderkey", "o_custkey").crossJoin(rows.select("o").distinct().coalesce(1)).selectExpr("o as o_orderkey", "o as o_custkey", "*").select(order.columns)
+    at = folder(lineitem=items.coalesce(1), orders=orders.coalesce(1))
+    assert compare.differences(queries.QUERIES["j12_a14_lockfile_risk"](spark, at), compare.connect(at), queries.ORACLES["j12_a14_lockfile_risk"]) == []
+
+
+def test_top_vulnerability_of_large_ids(spark, sf, folder):
+    """Of ids in the millions the greater percentile still counts first."""
+    line, order = spark.read.parquet(f"{sf}/lineitem.parquet").limit(1), spark.read.parquet(f"{sf}/orders.parquet").limit(1)
+    ids = spark.range(1, 9_000_000, 50_021).coalesce(1)
+    at = folder(lineitem=line.drop("l_orderkey").crossJoin(ids).withColumnRenamed("id", "l_orderkey").select(line.columns).coalesce(1), orders=order.drop("o_orderkey").crossJoin(ids).withColumnRenamed("id", "o_orderkey").select(order.columns).coalesce(1))
+    assert compare.differences(queries.QUERIES["j26_top_vulnerability"](spark, at), compare.connect(at), queries.ORACLES["j26_top_vulnerability"]) == []
