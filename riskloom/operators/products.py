@@ -156,14 +156,20 @@ def trusted_source(source: Column, trusted: Column) -> Column:
     return F.coalesce(source.isNotNull() & (source != "") & F.exists(F.coalesce(trusted, F.array().cast("array<string>")), one), F.lit(False))
 
 
-def confusion_hits(packages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Packages (package_id, name, resolved_from) whose name matches an organisation's pattern without a trusted source.
-
-    patterns: org_id, watchlist_id, internal_package_pattern, trusted_domains.  Patterns that begin with literals are
-    joined on these, so only names that begin alike are tested; the others are counted, and tested against all names in
-    blocks of PATTERNS.  Patterns that can't be read match nothing.
+def confusion_rules(packages: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packages (package_id, name, resolved_from) whose name matches a pattern without a trusted source, by rule.
+
+    patterns: org_id, watchlist_id, internal_package_pattern, trusted_domains.  Watchlists of equal pattern and domains are
+    one rule, named by the least of them: the hits (rule, package_id, name) are found once a rule, and its members (rule,
+    org_id, watchlist_id) are the other table.  Patterns that begin with literals are joined on these, so only names that
+    begin alike are tested; the others are counted, and tested against all names in blocks of PATTERNS.  Patterns that
+    can't be read match nothing.
     """
-    one = patterns.filter("internal_package_pattern is not null and internal_package_pattern <> ''").select(F.col("internal_package_pattern").alias("pattern")).distinct()
+    patterns = patterns.filter("internal_package_pattern is not null and internal_package_pattern <> ''")
+    same = (F.col("pattern") == F.col("internal_package_pattern")) & F.col("d").eqNullSafe(F.col("trusted_domains"))
+    rules = checkpointed(patterns.groupBy(F.col("internal_package_pattern").alias("pattern"), F.col("trusted_domains").alias("d")).agg(F.min("watchlist_id").alias("rule")))
+    members = patterns.join(rules.hint("merge"), same).select("rule", "org_id", "watchlist_id")
+    one = rules.select("pattern").distinct()
     one = checkpointed(one.filter(F.pandas_udf(_compiles, "boolean")("pattern")).withColumn("starts", literal_prefixes(F.col("pattern"))))
     names = packages.select("name").distinct()
     anchored = checkpointed(one.filter("starts is not null").select("pattern", F.explode("starts").alias("start")))
@@ -176,8 +182,14 @@ def confusion_hits(packages: DataFrame, patterns: DataFrame) -> DataFrame:
         block = F.broadcast(loose.filter(F.col("i").between(at + 1, at + PATTERNS)).select("pattern"))
         hits = hits.unionByName(names.join(block, F.expr("name rlike pattern")).select("name", "pattern"))
     hits = checkpointed(hits.distinct())
-    found = packages.select("package_id", "name", "resolved_from").join(hits.hint("merge"), "name").join(patterns.withColumnRenamed("internal_package_pattern", "pattern").hint("merge"), "pattern")
-    return found.filter(~trusted_source(F.col("resolved_from"), F.col("trusted_domains"))).select("org_id", "watchlist_id", "package_id", "name")
+    found = packages.select("package_id", "name", "resolved_from").join(hits.hint("merge"), "name").join(rules.hint("merge"), "pattern")
+    return found.filter(~trusted_source(F.col("resolved_from"), F.col("d"))).select("rule", "package_id", "name"), members
+
+
+def confusion_hits(packages: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The hits of confusion_rules() for each watchlist (org_id, watchlist_id, package_id, name); its rows are pairs."""
+    hits, members = confusion_rules(packages, patterns)
+    return hits.join(members.hint("merge"), "rule").select("org_id", "watchlist_id", "package_id", "name")
 
 
 def timestamp_skew(files: DataFrame, keys: list[str], at: str, most: int = 48 * 3600) -> DataFrame:

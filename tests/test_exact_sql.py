@@ -5,7 +5,7 @@ import os
 import compare
 import pytest
 
-from riskloom.operators import scoring
+from riskloom.operators import products, scoring, tables
 from riskloom.plans import queries
 
 
@@ -53,3 +53,32 @@ def test_top_vulnerability_of_large_ids(spark, sf, folder):
     ids = spark.range(1, 9_000_000, 50_021).coalesce(1)
     at = folder(lineitem=line.drop("l_orderkey").crossJoin(ids).withColumnRenamed("id", "l_orderkey").select(line.columns).coalesce(1), orders=order.drop("o_orderkey").crossJoin(ids).withColumnRenamed("id", "o_orderkey").select(order.columns).coalesce(1))
     assert compare.differences(queries.QUERIES["j26_top_vulnerability"](spark, at), compare.connect(at), queries.ORACLES["j26_top_vulnerability"]) == []
+
+
+def test_newer_versions_are_not_paired(spark):
+    """Equal versions of different spelling aren't newer than each other, unreadable ones are left out, no join is made."""
+    rows = [(1, v) for v in ("1.0.0", "01.0.0", "1.0", "2.0.0", "10.0.0", "x")] + [(2, "1.0.0")]
+    got = tables.newer_versions(spark.createDataFrame(rows, "package_id int, version string"))
+    old = ["10.0.0", "2.0.0"]
+    assert {(p, v): c for p, v, c in got.collect()} == {(1, "1.0.0"): old, (1, "01.0.0"): old, (1, "1.0"): old, (1, "2.0.0"): ["10.0.0"]}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dependency_advisories_meet_an_advisory_once(spark):
+    """Several ranges of an advisory count once, with the percentile and mark of those that hold the version."""
+    dep = spark.createDataFrame([(1, "1.5.0"), (1, "3.0.0"), (1, "9.0.0"), (2, "1.0.0")], "package_id int, version string")
+    adv = [(1, 7, 0.5, None, "1.0.0", "2.0.0"), (1, 7, 0.9, "2020-01-01", "3.0.0", "4.0.0"), (1, 7, 0.5, None, "1.0.0", "1.9.0"), (1, 8, 0.2, None, None, "4.0.0"), (1, 9, None, None, "1.0.0", "2.0.0")]
+    got = tables.dependency_advisories(dep, spark.createDataFrame(adv, "package_id int, advisory_id int, epss_percentile double, kev_date string, min_version string, max_version string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "1.5.0", 3, 0.5, False), (1, "3.0.0", 2, 0.9, True)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "advisory_id" not in plan.split("Join")[0]
+
+
+def test_confusion_rules_are_hit_once(spark):
+    """A thousand watchlists of one rule cost a hit a package, and lose no watchlist."""
+    lists = spark.createDataFrame([(i, i, "^a-", ["x.test"] if i % 2 else None) for i in range(1000)] + [(1, 5000, None, None)], "org_id int, watchlist_id int, internal_package_pattern string, trusted_domains array<string>")
+    packages = spark.createDataFrame([(1, "a-b", None), (2, "a-c", "https://x.test/q"), (3, "b", None)], "package_id int, name string, resolved_from string")
+    hits, members = products.confusion_rules(packages, lists)
+    assert sorted(map(tuple, hits.collect())) == [(0, 1, "a-b"), (0, 2, "a-c"), (1, 1, "a-b")]
+    assert {tuple(x) for x in members.collect()} == {(i % 2, i, i) for i in range(1000)}
+    assert products.confusion_hits(packages, lists).count() == 1500
