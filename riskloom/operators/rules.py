@@ -24,25 +24,27 @@ class Rule:
     title: str
     patterns: tuple[str, ...]
     least: int = 1
+    #: Lower-case texts of which every match of a pattern holds one; the patterns aren't tested on a text without any.
+    needs: tuple[str, ...] = ()
 
 
 RULES_VERSION = "1.0.0"
 #: The install-script rules; (?i) marks patterns that ignore case.
 SCRIPT_RULES = (
-    Rule("remote-shell-pipe", "remoteCodeExecution", "critical", "Remote payload piped into a shell", (r"(?i)\b(?:curl|wget)\b[^\n|]{0,240}\|\s*(?:sudo\s+)?(?:ba|z|d|a|c)?sh\b", r"(?i)\b(?:curl|wget)\b[^\n|]{0,240}\|\s*(?:node|python[23]?|perl|ruby)\b", r"(?i)\biwr\b[^\n|]{0,240}\|\s*iex\b", r"(?i)Invoke-WebRequest[^\n]{0,240}\|\s*Invoke-Expression")),
-    Rule("remote-fetch-eval", "remoteCodeExecution", "critical", "Remote code fetched and evaluated", (r"(?i)eval\s*\(\s*(?:await\s+)?(?:fetch|require\s*\(\s*['\"]https?:)", r"(?i)new\s+Function\s*\([^)]{0,120}(?:fetch|https?:\/\/|atob)", r"(?i)exec\s*\(\s*(?:await\s+)?(?:requests?\.(?:get|post)|urllib|urlopen)", r"(?i)(?:vm\.runInNewContext|vm\.runInThisContext)\s*\([^)]{0,80}(?:fetch|http)")),
-    Rule("shell-exec-in-install", "scriptInjection", "high", "Shell command execution", (r"(?i)child_process['\"]?\s*\)?\s*\.\s*(?:exec|execSync|spawn|spawnSync|execFile)\s*\(", r"(?i)\brequire\s*\(\s*['\"]child_process['\"]\s*\)", r"(?i)\bos\.system\s*\(", r"(?i)\bsubprocess\.(?:run|call|Popen|check_output|check_call)\s*\(", r"(?i)\bos\.popen\s*\(")),
-    Rule("dynamic-code-eval", "scriptInjection", "medium", "Dynamic code evaluation", (r"(?i)\beval\s*\(", r"(?i)new\s+Function\s*\(", r"\b(?:exec|compile)\s*\(\s*(?:[\"'`]|[A-Za-z_])", r"(?i)\bGLOBAL\b|\bglobalThis\s*\[")),
-    Rule("env-secret-harvest", "environmentTheft", "high", "Sensitive environment variable access", (r"\b(?:NPM_TOKEN|NPM_AUTH_TOKEN|NODE_AUTH_TOKEN)\b", r"\bAWS_(?:SECRET_ACCESS_KEY|ACCESS_KEY_ID|SESSION_TOKEN)\b", r"\b(?:GITHUB_TOKEN|GH_TOKEN|GITLAB_TOKEN|CI_JOB_TOKEN)\b", r"\b(?:STRIPE_SECRET_KEY|TWILIO_AUTH_TOKEN|SLACK_TOKEN|DIGITALOCEAN_TOKEN)\b")),
-    Rule("env-enumeration", "environmentTheft", "high", "Bulk environment variable enumeration", (r"(?i)JSON\.stringify\s*\(\s*process\.env\b", r"(?i)Object\.(?:keys|entries|values|assign)\s*\(\s*\{?\s*\.{0,3}\s*process\.env\b", r"(?i)\{\s*\.\.\.\s*process\.env\s*\}", r"(?i)\bdict\s*\(\s*os\.environ\s*\)|\bos\.environ\.copy\s*\(\)|json\.dumps\s*\(\s*dict\s*\(\s*os\.environ")),
-    Rule("credential-file-access", "environmentTheft", "high", "Credential file access", (r"\.npmrc\b|\.pypirc\b", r"(?i)\.ssh\/(?:id_(?:rsa|ed25519|ecdsa)|authorized_keys)", r"(?i)\.aws\/credentials|\.config\/gcloud|\.kube\/config", r"(?i)(?:wallet\.dat|keystore|\.ethereum|\.electrum|Local Storage\/leveldb|\.config\/solana)")),
-    Rule("exfil-endpoint", "environmentTheft", "high", "Exfiltration endpoint", (r"(?i)discord(?:app)?\.com\/api\/webhooks", r"(?i)hooks\.slack\.com|api\.telegram\.org\/bot", r"(?i)(?:pastebin\.com|paste\.ee|pastes?\.io|transfer\.sh|0x0\.st)", r"(?i)\b[a-z0-9-]+\.(?:ngrok\.(?:io|app)|burpcollaborator\.net|interactsh\.com|oast\.(?:fun|live|site|pro))\b")),
-    Rule("filesystem-wiper", "wiper", "critical", "Destructive filesystem operation", (r"(?i)\brm\s+-[rRfd]{1,3}[a-zA-Z]*\s+(?:--no-preserve-root\s+)?(?:\/(?:\s|$)|~|\$HOME|\/\*|\/root|\/home)", r"(?i)fs\.(?:rm|rmdir|rmSync)\s*\([^)]{0,160}recursive\s*:\s*true", r"(?i)shutil\.rmtree\s*\(\s*(?:os\.path\.expanduser\(['\"]~|['\"]\/)(?:[^)]*)", r"(?i)\b(?:del|rd)\s+\/[sqf]\b|format\s+[a-z]:|mkfs\.|dd\s+if=\/dev\/(?:zero|random|urandom)\s+of=\/")),
-    Rule("reverse-shell", "reverseShell", "critical", "Reverse shell", (r"(?i)(?:ba|z|c)?sh\s+-i\s+(?:>|&)?[^\n]{0,40}\/dev\/tcp\/", r"(?i)\bnc(?:at)?\b[^\n]{0,80}(?:-e|--exec|-c)\b[^\n]{0,40}(?:ba|z|c)?sh", r"(?i)socket\.socket\([^)]*\)[^\n]{0,400}(?:dup2|os\.dup2|subprocess)", r"(?i)net\.(?:connect|createConnection)\s*\([^)]{0,120}\)[^\n]{0,200}child_process")),
-    Rule("obfuscated-blob", "obfuscation", "medium", "Obfuscated or encoded payload", (r"(?i)Buffer\.from\s*\(\s*['\"][A-Za-z0-9+/]{120,}={0,2}['\"]\s*,\s*['\"]base64['\"]", r"(?i)\batob\s*\(\s*['\"][A-Za-z0-9+/]{120,}", r"(?i)(?:String\.fromCharCode\s*\(\s*\d[\d,\s]{60,})", r"(?i)(?:\\x[0-9a-f]{2}){24,}|(?:\\u[0-9a-f]{4}){16,}")),
-    Rule("obfuscated-base64-exec", "remoteCodeExecution", "high", "Encoded payload decoded and executed", (r"(?i)(?:eval|exec|Function|child_process)[^\n]{0,80}(?:atob|Buffer\.from|base64\.b64decode)", r"(?i)base64\.b64decode\s*\([^)]{0,80}\)[^\n]{0,40}(?:exec|eval|compile)", r"(?i)(?:atob|Buffer\.from)[^\n]{0,80}(?:eval|new\s+Function|child_process)")),
-    Rule("crypto-miner", "remoteCodeExecution", "high", "Cryptocurrency miner", (r"(?i)stratum\+tcp:\/\/", r"(?i)\bxmrig\b|cryptonight|\bminerd\b", r"(?i)pool\.(?:minexmr|supportxmr|nanopool)\.")),
-    Rule("process-persistence", "scriptInjection", "high", "Persistence mechanism", (r"(?i)\bcrontab\s+-|\/etc\/cron\.|\/etc\/systemd\/system\/", r"(?i)>\>\s*~?\/?\.[bashrc|zshrc|bash_profile|profile]\b", r"\bLaunchAgents\b|\bLaunchDaemons\b", r"(?i)reg\s+add\b[^\n]{0,80}\\Run\b")),
+    Rule("remote-shell-pipe", "remoteCodeExecution", "critical", "Remote payload piped into a shell", (r"(?i)\b(?:curl|wget)\b[^\n|]{0,240}\|\s*(?:sudo\s+)?(?:ba|z|d|a|c)?sh\b", r"(?i)\b(?:curl|wget)\b[^\n|]{0,240}\|\s*(?:node|python[23]?|perl|ruby)\b", r"(?i)\biwr\b[^\n|]{0,240}\|\s*iex\b", r"(?i)Invoke-WebRequest[^\n]{0,240}\|\s*Invoke-Expression"), needs=("curl", "wget", "iwr", "invoke-webrequest")),
+    Rule("remote-fetch-eval", "remoteCodeExecution", "critical", "Remote code fetched and evaluated", (r"(?i)eval\s*\(\s*(?:await\s+)?(?:fetch|require\s*\(\s*['\"]https?:)", r"(?i)new\s+Function\s*\([^)]{0,120}(?:fetch|https?:\/\/|atob)", r"(?i)exec\s*\(\s*(?:await\s+)?(?:requests?\.(?:get|post)|urllib|urlopen)", r"(?i)(?:vm\.runInNewContext|vm\.runInThisContext)\s*\([^)]{0,80}(?:fetch|http)"), needs=("eval", "function", "exec", "vm.runin")),
+    Rule("shell-exec-in-install", "scriptInjection", "high", "Shell command execution", (r"(?i)child_process['\"]?\s*\)?\s*\.\s*(?:exec|execSync|spawn|spawnSync|execFile)\s*\(", r"(?i)\brequire\s*\(\s*['\"]child_process['\"]\s*\)", r"(?i)\bos\.system\s*\(", r"(?i)\bsubprocess\.(?:run|call|Popen|check_output|check_call)\s*\(", r"(?i)\bos\.popen\s*\("), needs=("child_process", "os.system", "subprocess.", "os.popen")),
+    Rule("dynamic-code-eval", "scriptInjection", "medium", "Dynamic code evaluation", (r"(?i)\beval\s*\(", r"(?i)new\s+Function\s*\(", r"\b(?:exec|compile)\s*\(\s*(?:[\"'`]|[A-Za-z_])", r"(?i)\bGLOBAL\b|\bglobalThis\s*\["), needs=("eval", "function", "exec", "compile", "global")),
+    Rule("env-secret-harvest", "environmentTheft", "high", "Sensitive environment variable access", (r"\b(?:NPM_TOKEN|NPM_AUTH_TOKEN|NODE_AUTH_TOKEN)\b", r"\bAWS_(?:SECRET_ACCESS_KEY|ACCESS_KEY_ID|SESSION_TOKEN)\b", r"\b(?:GITHUB_TOKEN|GH_TOKEN|GITLAB_TOKEN|CI_JOB_TOKEN)\b", r"\b(?:STRIPE_SECRET_KEY|TWILIO_AUTH_TOKEN|SLACK_TOKEN|DIGITALOCEAN_TOKEN)\b"), needs=("_token", "aws_", "stripe_secret_key")),
+    Rule("env-enumeration", "environmentTheft", "high", "Bulk environment variable enumeration", (r"(?i)JSON\.stringify\s*\(\s*process\.env\b", r"(?i)Object\.(?:keys|entries|values|assign)\s*\(\s*\{?\s*\.{0,3}\s*process\.env\b", r"(?i)\{\s*\.\.\.\s*process\.env\s*\}", r"(?i)\bdict\s*\(\s*os\.environ\s*\)|\bos\.environ\.copy\s*\(\)|json\.dumps\s*\(\s*dict\s*\(\s*os\.environ"), needs=("process.env", "os.environ")),
+    Rule("credential-file-access", "environmentTheft", "high", "Credential file access", (r"\.npmrc\b|\.pypirc\b", r"(?i)\.ssh\/(?:id_(?:rsa|ed25519|ecdsa)|authorized_keys)", r"(?i)\.aws\/credentials|\.config\/gcloud|\.kube\/config", r"(?i)(?:wallet\.dat|keystore|\.ethereum|\.electrum|Local Storage\/leveldb|\.config\/solana)"), needs=(".npmrc", ".pypirc", ".ssh/", ".aws/credentials", ".config/gcloud", ".kube/config", "wallet.dat", "keystore", ".ethereum", ".electrum", "local storage/leveldb", ".config/solana")),
+    Rule("exfil-endpoint", "environmentTheft", "high", "Exfiltration endpoint", (r"(?i)discord(?:app)?\.com\/api\/webhooks", r"(?i)hooks\.slack\.com|api\.telegram\.org\/bot", r"(?i)(?:pastebin\.com|paste\.ee|pastes?\.io|transfer\.sh|0x0\.st)", r"(?i)\b[a-z0-9-]+\.(?:ngrok\.(?:io|app)|burpcollaborator\.net|interactsh\.com|oast\.(?:fun|live|site|pro))\b"), needs=("discord", "hooks.slack.com", "api.telegram.org/bot", "paste", "transfer.sh", "0x0.st", ".ngrok.", ".burpcollaborator.net", ".interactsh.com", ".oast.")),
+    Rule("filesystem-wiper", "wiper", "critical", "Destructive filesystem operation", (r"(?i)\brm\s+-[rRfd]{1,3}[a-zA-Z]*\s+(?:--no-preserve-root\s+)?(?:\/(?:\s|$)|~|\$HOME|\/\*|\/root|\/home)", r"(?i)fs\.(?:rm|rmdir|rmSync)\s*\([^)]{0,160}recursive\s*:\s*true", r"(?i)shutil\.rmtree\s*\(\s*(?:os\.path\.expanduser\(['\"]~|['\"]\/)(?:[^)]*)", r"(?i)\b(?:del|rd)\s+\/[sqf]\b|format\s+[a-z]:|mkfs\.|dd\s+if=\/dev\/(?:zero|random|urandom)\s+of=\/"), needs=("-r", "-f", "-d", "fs.rm", "shutil.rmtree", "/s", "/q", "/f", "format", "mkfs.", "if=/dev/")),
+    Rule("reverse-shell", "reverseShell", "critical", "Reverse shell", (r"(?i)(?:ba|z|c)?sh\s+-i\s+(?:>|&)?[^\n]{0,40}\/dev\/tcp\/", r"(?i)\bnc(?:at)?\b[^\n]{0,80}(?:-e|--exec|-c)\b[^\n]{0,40}(?:ba|z|c)?sh", r"(?i)socket\.socket\([^)]*\)[^\n]{0,400}(?:dup2|os\.dup2|subprocess)", r"(?i)net\.(?:connect|createConnection)\s*\([^)]{0,120}\)[^\n]{0,200}child_process"), needs=("/dev/tcp/", "-e", "-c", "socket.socket(", "net.connect", "net.createconnection")),
+    Rule("obfuscated-blob", "obfuscation", "medium", "Obfuscated or encoded payload", (r"(?i)Buffer\.from\s*\(\s*['\"][A-Za-z0-9+/]{120,}={0,2}['\"]\s*,\s*['\"]base64['\"]", r"(?i)\batob\s*\(\s*['\"][A-Za-z0-9+/]{120,}", r"(?i)(?:String\.fromCharCode\s*\(\s*\d[\d,\s]{60,})", r"(?i)(?:\\x[0-9a-f]{2}){24,}|(?:\\u[0-9a-f]{4}){16,}"), needs=("buffer.from", "atob", "string.fromcharcode", "\\x", "\\u")),
+    Rule("obfuscated-base64-exec", "remoteCodeExecution", "high", "Encoded payload decoded and executed", (r"(?i)(?:eval|exec|Function|child_process)[^\n]{0,80}(?:atob|Buffer\.from|base64\.b64decode)", r"(?i)base64\.b64decode\s*\([^)]{0,80}\)[^\n]{0,40}(?:exec|eval|compile)", r"(?i)(?:atob|Buffer\.from)[^\n]{0,80}(?:eval|new\s+Function|child_process)"), needs=("atob", "buffer.from", "base64.b64decode")),
+    Rule("crypto-miner", "remoteCodeExecution", "high", "Cryptocurrency miner", (r"(?i)stratum\+tcp:\/\/", r"(?i)\bxmrig\b|cryptonight|\bminerd\b", r"(?i)pool\.(?:minexmr|supportxmr|nanopool)\."), needs=("stratum+tcp://", "xmrig", "cryptonight", "minerd", "pool.")),
+    Rule("process-persistence", "scriptInjection", "high", "Persistence mechanism", (r"(?i)\bcrontab\s+-|\/etc\/cron\.|\/etc\/systemd\/system\/", r"(?i)>\>\s*~?\/?\.[bashrc|zshrc|bash_profile|profile]\b", r"\bLaunchAgents\b|\bLaunchDaemons\b", r"(?i)reg\s+add\b[^\n]{0,80}\\Run\b"), needs=("crontab", "/etc/cron.", "/etc/systemd/system/", ">>", "launchagents", "launchdaemons", "\\run")),
 )
 
 
@@ -53,14 +55,22 @@ def rule_hits(sources: DataFrame, text: str, keys: Sequence[str], rules: Sequenc
     """
     t = F.col(text)
 
-    def result(r: Rule) -> Column:
+    def result(r: Rule, low: Column) -> Column:
         matched = F.lit(0)
         for p in r.patterns:
             matched = matched + t.rlike(p).cast("int")
+        if r.needs:
+            some = F.contains(low, F.lit(r.needs[0]))
+            for w in r.needs[1:]:
+                some = some | F.contains(low, F.lit(w))
+            # a null text stays null
+            matched = F.when(~some, 0).otherwise(matched)
         return F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"), matched.alias("matched"), F.lit(r.least).alias("least"))
 
     # the outer explode keeps the optimiser from testing every pattern a second time in a filter below it
-    found = F.filter(F.array(*[result(r) for r in rules]), lambda x: x["matched"] >= x["least"])
+    # a lambda's argument is worked out once: the text in lower case
+    each = F.get(F.transform(F.array(F.lower(t)), lambda low: F.array(*[result(r, low) for r in rules])), F.lit(0))
+    found = F.filter(each, lambda x: x["matched"] >= x["least"])
     kept = [*keys, text] if evidence else list(keys)
     out = sources.select(*kept, F.explode_outer(found).alias("h")).filter("h is not null").select(*kept, "h.rule", "h.category", "h.severity", "h.title", "h.matched")
     if evidence:
