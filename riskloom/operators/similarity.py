@@ -2,17 +2,50 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from ..functions import scalars as S
 
 
+@F.pandas_udf(BinaryType())
+def bigram_set(data: pd.Series) -> pd.Series:
+    """The distinct pairs of neighbouring bytes of each value in order, two bytes a pair; empty for less than two bytes."""
+    met = np.zeros(1 << 16, bool)
+
+    def pairs(d: bytes | None) -> bytes:
+        if d is None or len(d) < 2:
+            return b""
+        b = np.frombuffer(d, np.uint8).astype(np.uint16)
+        met[b[:-1] << 8 | b[1:]] = True
+        found = np.flatnonzero(met)
+        met[found] = False
+        return found.astype(">u2").tobytes()
+
+    return data.map(pairs, na_action=None).astype(object)
+
+
+@F.pandas_udf(LongType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Number of pairs in both of two sets of bigram_set(); null where a set is."""
+
+    def count(x: bytes | None, y: bytes | None) -> int | None:
+        if x is None or y is None:
+            return None
+        return len(np.intersect1d(np.frombuffer(x, ">u2"), np.frombuffer(y, ">u2"), assume_unique=True))
+
+    return pd.Series([count(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
 def with_bigrams(df: DataFrame, data: str, name: str = "grams") -> DataFrame:
     """With the distinct pairs of neighbouring bytes of a binary column, as sorted hexadecimal digits."""
-    n = F.length(data)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.hex(F.substring(data, i, F.lit(2))))
-    return df.withColumn(name, F.when(n >= 2, F.array_sort(F.array_distinct(pairs))).otherwise(F.array().cast("array<string>")))
+    out = df.withColumn(name, bigram_set(F.col(data)))
+    n = F.length(name)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(2)), lambda i: F.hex(F.substring(F.col(name), i, F.lit(2))))
+    return out.withColumn(name, F.when(n > 0, pairs).otherwise(F.array().cast("array<string>")))
 
 
 def version_diff(rows: DataFrame, before: int, after: int) -> DataFrame:
@@ -119,12 +152,23 @@ def repackaging(registry: DataFrame) -> DataFrame:
     return x.select("artifact_id", kind.alias("kind"), severity.alias("severity")).filter("kind is not null")
 
 
+def _score(current: Column, published: Column, common: Column, size, least: int) -> Column:
+    union = size(current) + size(published) - common
+    score = F.when(current.isNull() | published.isNull(), None).when((size(current) == 0) | (size(published) == 0), F.lit(0)).otherwise(S.js_round(common * 100.0 / union).cast("int"))
+    return F.struct(score.alias("similarity"), (score >= least).alias("correlated"))
+
+
 def correlated(current: Column, published: Column, least: int = 70) -> Column:
     """struct<similarity, correlated> of two arrays of distinct bigrams; nulls where a side is missing."""
-    common = F.size(F.array_intersect(current, published))
-    union = F.size(current) + F.size(published) - common
-    score = F.when(current.isNull() | published.isNull(), None).when((F.size(current) == 0) | (F.size(published) == 0), F.lit(0)).otherwise(S.js_round(common * 100.0 / union).cast("int"))
-    return F.struct(score.alias("similarity"), (score >= least).alias("correlated"))
+    return _score(current, published, F.size(F.array_intersect(current, published)), F.size, least)
+
+
+def correlated_sets(pairs: DataFrame, current: str, published: str, least: int = 70) -> DataFrame:
+    """With similarity and correlated of two columns of bigram_set(); nulls where a side is missing."""
+    size = lambda c: (F.length(c) / 2).cast("long")
+    counted = pairs.withColumn("__common", _common(F.col(current), F.col(published)))
+    out = counted.withColumn("__c", _score(F.col(current), F.col(published), F.col("__common"), size, least))
+    return out.select(*pairs.columns, "__c.*")
 
 
 def wheel_fresh(built: Column, uploaded: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import texts
-from ..operators import rules, scoring, setjoin, similarity, tables
+from ..operators import graph, rules, scoring, setjoin, similarity, tables
 from ..operators import signatures as G
 from .bindings import Inputs
 from .queries import _RULES_SQL, _hits, epss_sql, level_sql, query
@@ -248,9 +248,10 @@ _GRAMS = "SELECT doc_id, list_distinct(list_transform(range(0, greatest(length(h
 @query(f"""SELECT doc_id, similarity, similarity >= 70 AS correlated FROM (SELECT a.doc_id, CASE WHEN b.g IS NULL THEN NULL WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE cast(floor(len(list_intersect(a.g, b.g)) * 100.0 / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) + 0.5) AS int) END AS similarity
   FROM ({_GRAMS}) a LEFT JOIN ({_GRAMS}) b ON b.doc_id = a.doc_id - 7)""")
 def j29_build_similarity(t: Inputs) -> DataFrame:
-    g = similarity.with_bigrams(t["documents"].select("doc_id", F.col("text").cast("binary").alias("d")), "d", "g").select("doc_id", "g")
-    both = g.join(g.select((F.col("doc_id") + 7).alias("doc_id"), F.col("g").alias("h")), "doc_id", "left")
-    return both.select("doc_id", similarity.correlated(F.col("g"), F.col("h")).alias("c")).select("doc_id", "c.*")
+    # the sets are saved, as both sides of the join read them
+    g = graph.checkpointed(t["documents"].select("doc_id", similarity.bigram_set(F.col("text").cast("binary")).alias("g")))
+    both = g.join(g.select((F.col("doc_id") + 7).alias("doc_id"), F.col("g").alias("h")).hint("merge"), "doc_id", "left")
+    return similarity.correlated_sets(both, "g", "h").drop("g", "h")
 
 
 @query("SELECT l_orderkey AS release_id, l_linenumber AS n, epoch(o_orderdate) - epoch(l_shipdate - INTERVAL 50 DAY) BETWEEN -300 AND 2592000 AS fresh FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
