@@ -44,8 +44,7 @@ def r5_string_signatures(t: Inputs) -> DataFrame:
 @query(f"""{_rules_sql(G.BINARY_RULES)} UNION ALL SELECT artifact_id, 'HighEntropy_Section', 'obfuscation', 'medium', 1 FROM (SELECT artifact_id, sum(-c / cast(n AS double) * log2(c / cast(n AS double))) AS e FROM (
   SELECT artifact_id, byte, count(*) AS c, sum(count(*)) OVER (PARTITION BY artifact_id) AS n FROM (SELECT artifact_id, substr(h, 2 * i - 1, 2) AS byte FROM (SELECT artifact_id, hex(data) AS h, unnest(range(1, octet_length(data) + 1)) AS i FROM binaries)) GROUP BY 1, 2) GROUP BY 1) WHERE e > 7.5""")
 def r4_binary_rules(t: Inputs) -> DataFrame:
-    both = t["binary_strings"].join(t["binaries"].withColumnRenamed("artifact_id", "source_id"), "source_id")
-    return G.binary_hits(both, "content", "data", ["source_id"])
+    return G.binary_hits(t["binary_strings"], "content", "data", ["source_id"], t["binaries"].withColumnRenamed("artifact_id", "source_id"))
 
 
 _BEHAVIOUR_SQL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.CATEGORY_BEHAVIOUR.items()) + " END"
