@@ -30,57 +30,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved, small_side, text_key
 from .graph import components
-from .tokens import mix, shingle_set
+from .tokens import mix, shingle_set, shingle_sets
 
 BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES, DIFFER, RARE = 128, 32, 4, 5, 75, 64, 34, 8
+#: Bytes of the texts that are signed at once.
+TOGETHER = 1 << 18
 #: Each bin's own random order of all bins, itself first.
 ORDER = np.stack([np.concatenate(([i], np.random.default_rng(977 + i).permutation(np.delete(np.arange(BINS), i)))) for i in range(BINS)])
 _BIN = np.arange(BINS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 _WEIGHT = np.random.default_rng(5).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The BINS values of a sorted, non-empty set of hashes."""
-    bins, first = np.unique((hashes >> np.uint64(57)).astype(np.int64), return_index=True)
-    value, filled = np.zeros(BINS, dtype=np.uint64), np.zeros(BINS, dtype=bool)
-    value[bins], filled[bins] = hashes[first], True
-    if len(bins) == BINS:
-        return value
-    return value[ORDER[np.arange(BINS), filled[ORDER].argmax(axis=1)]]
+def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The BINS values of each of several sorted, non-empty sets of hashes, given one after the other."""
+    of, bins = np.repeat(np.arange(len(sizes)), sizes), (hashes >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (bins[1:] != bins[:-1])))
+    value, filled = np.zeros((len(sizes), BINS), dtype=np.uint64), np.zeros((len(sizes), BINS), dtype=bool)
+    value[of[first], bins[first]], filled[of[first], bins[first]] = hashes[first], True
+    s, b = np.nonzero(~filled)
+    for i in range(1, BINS):
+        if not len(s):
+            break
+        source = ORDER[b, i]
+        hit = filled[s, source]
+        value[s[hit], b[hit]] = value[s[hit], source[hit]]
+        s, b = s[~hit], b[~hit]
+    return value
 
 
 def bands(values: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket for each band of a signature."""
-    total = (values.reshape(BANDS, ROWS) * _WEIGHT).sum(axis=1, dtype=np.uint64)
+    """One 64-bit bucket for each band of the signatures."""
+    total = (values.reshape(-1, BANDS, ROWS) * _WEIGHT).sum(axis=2, dtype=np.uint64)
     return mix(total + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """A bit of each value of a signature, which depends on its bin, as two 64-bit numbers."""
+def sketches(values: np.ndarray) -> np.ndarray:
+    """A bit of each value of the signatures, which depends on its bin, as two 64-bit numbers a signature."""
     bits = mix(values + _BIN) & np.uint64(1)
-    return (bits.reshape(2, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return (bits.reshape(-1, 2, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, node, rows, s1, s2 = [], [], [], [], []
-        for text in batch.column("text"):
-            s = shingle_set(text.as_py(), SHINGLE)
-            n.append(len(s))
-            node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-            values = signature(s) if len(s) else None
-            rows.append(bands(values) if len(s) else None)
-            a, b = sketch(values).tolist() if len(s) else (None, None)
-            s1.append(a)
-            s2.append(b)
-        keep = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=[*keep, "n_shingles", "node", "bands", "s1", "s2"])
+        # as many texts at once as their bytes stay in a cache
+        bounds = np.flatnonzero(np.diff(np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER, prepend=-1))
+        for at, to in zip(bounds.tolist(), [*bounds[1:].tolist(), batch.num_rows], strict=True):
+            part = batch.slice(at, to - at)
+            hashes, sizes, words = shingle_sets(part.column("text").to_pylist(), SHINGLE)
+            some = sizes > 0
+            values = signatures(hashes, sizes[some])
+            ends = np.cumsum(sizes).tolist()
+            node = [xxhash.xxh3_64_intdigest(hashes[e - n : e].tobytes()) - 2**63 if n else None for n, e in zip(sizes.tolist(), ends, strict=True)]
+            rank, two = np.cumsum(some) - some, np.zeros((2, len(sizes)), dtype=np.int64)
+            two[:, some] = sketches(values).T
+            buckets = pa.ListArray.from_arrays(pa.array(np.append(rank, some.sum()) * BANDS, pa.int32()), pa.array(bands(values).ravel()), mask=pa.array(~some))
+            keep = [c for c in part.schema.names if c != "text"]
+            columns = [pa.array(words, pa.int64()), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), buckets, pa.array(two[0], mask=~some), pa.array(two[1], mask=~some)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *columns], names=[*keep, "n_words", "n_shingles", "node", "bands", "s1", "s2"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +216,13 @@ def star_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
         many *= 8
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (of the text), n_shingles, component_id and kept of every row."""
-    keyed = docs.select("doc_id", *text_key(F.col("text")), "text")
-    signed = saved(keyed.mapInArrow(_sign, "doc_id long, k1 long, k2 long, n_shingles long, node long, bands array<long>, s1 long, s2 long"))
+def near_duplicates(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, k1, k2 (of the text), other columns that are named, n_words, n_shingles, component_id and kept of every row."""
+    keyed = docs.select("doc_id", *text_key(F.col("text")), *others, "text")
+    found = (("n_words", T.LongType()), ("n_shingles", T.LongType()), ("node", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("s1", T.LongType()), ("s2", T.LongType()))
+    told = T.StructType([*[f for f in keyed.schema if f.name != "text"], *[T.StructField(*f) for f in found]])
+    signed = saved(keyed.mapInArrow(_sign, told))
+    keyed = keyed.drop(*others)
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
     one = [F.first(c).alias(c) for c in ("s1", "s2", "n_shingles", "bands")]
     classes = saved(signed.filter("node is not null").groupBy("node").agg(own, *one).select("node", F.col("r.doc_id").alias("cid"), "r.k1", "r.k2", "s1", "s2", F.col("n_shingles").alias("n"), "bands"))
@@ -228,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = named.join(least.hint("merge"), "label").select("node", "component_id")
     out = signed.drop("bands", "s1", "s2").join(found.hint("merge"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "k1", "k2", *others, "n_words", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -60,20 +60,20 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int =
 
 
 def near_clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (of the text) and cluster of every document: its group of near-duplicates, named by that group's least id."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    return saved(found.select("doc_id", "k1", "k2", F.coalesce("component_id", "k1").alias("cluster")).distinct())
+    """doc_id, source, n (tokens) and cluster of every document: its group of near-duplicates, named by that group's least id.
+
+    Tokens are the words of near-duplicates, so each text is read through once.
+    """
+    found = minhash.near_duplicates(docs.select("doc_id", "source", "text"), "source")
+    return found.select("doc_id", "source", F.col("n_words").alias("n"), F.coalesce("component_id", "k1").alias("cluster"))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, clusters: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, cluster, piece, first_token and n_tokens of every piece; copies of a text are a cluster unless clusters are given."""
-    k1, k2 = text_key(F.col("text"))
-    counted = docs.filter(F.col("text").isNotNull()).select("doc_id", "source", k1, k2, n_tokens(F.col("text")).alias("n")).filter("n > 0")
+    """doc_id, source, cluster, piece, first_token and n_tokens of every piece; copies of a text are a cluster unless near_clusters() of the documents are given."""
     if clusters is None:
-        counted = counted.withColumn("cluster", F.col("k1"))
-    else:
-        c = clusters.select(F.col("doc_id").alias("__d"), F.col("k1").alias("__1"), F.col("k2").alias("__2"), "cluster")
-        counted = counted.join(c.hint("merge"), (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+        k1, _ = text_key(F.col("text"))
+        clusters = docs.filter(F.col("text").isNotNull()).select("doc_id", "source", k1.alias("cluster"), n_tokens(F.col("text")).alias("n"))
+    counted = clusters.filter("n > 0")
     return counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))).select(
         "doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens")
     )

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with every odd case, and on the smallest test tables."""
 
 import random
+import re
 import time
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, chunking, decontaminate, embeddings, html, langid, minhash, packing, pii, queries, sharding
+from riskloom.llm import chat, chunking, decontaminate, embeddings, html, langid, minhash, packing, pii, queries, sharding, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, score string"
 R = random.Random(5)
@@ -216,6 +217,26 @@ def test_best_fit_equals_looking_at_every_bin():
         assert packing.best_fit(lengths, sources, clusters, 20) == plain_best_fit(lengths, sources, clusters, 20)
 
 
+def test_texts_signed_together_have_their_own_sets_and_tokens(spark):
+    r = random.Random(31)
+    texts = [None, "", " \t", "one", "A b", "a B", "x y z w v", "x " * 3000, "é\u00a0ü É", *[prose(r.randrange(1, 700), r) for _ in range(60)], "z" * 9000]
+    for some in (texts, texts[:3], texts[3:4]):
+        values, sizes, words = tokens.shingle_sets(some)
+        assert [v.tolist() for v in np.split(values, np.cumsum(sizes))[:-1]] == [tokens.shingle_set(t).tolist() for t in some]
+        assert words.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in some]
+    values, sizes, _ = tokens.shingle_sets(texts)
+    own = [minhash.signatures(s, np.array([len(s)])) for s in np.split(values, np.cumsum(sizes))[:-1] if len(s)]
+    assert (minhash.signatures(values, sizes[sizes > 0]) == np.concatenate(own)).all()
+    # a bin holds the least hash that falls into it, an empty one that of the first filled bin in its own order
+    for s, got in zip([tokens.shingle_set(t) for t in texts if (t or "").strip()], own, strict=True):
+        least = {int(h) >> 57: int(h) for h in s[::-1]}
+        assert got[0].tolist() == [least[next(b for b in minhash.ORDER[i].tolist() if b in least)] for i in range(minhash.BINS)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(3, "one", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    n = sorted((x.doc_id, x.source, x.n) for x in packing.near_clusters(df).collect())
+    assert n == sorted((i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows)
+
+
 def test_near_copies_share_no_bin(spark):
     r = random.Random(12)
     base = [prose(60, r) for _ in range(12)]
