@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
-
 #: Entries of a part, and the name that properties and the tool carry.
 PART, TOOL = 1000, "riskloom"
 
@@ -15,13 +13,19 @@ def _property(name: str, value: Column) -> Column:
     return F.struct(F.lit(f"{TOOL}:{name}").alias("name"), value.cast("string").alias("value"))
 
 
-def _parts(entries: DataFrame, key: str, first: int) -> DataFrame:
-    """Entries (key, order, entry) of each package as parts of PART entries, joined by commas; every part but the first begins with one."""
-    at = Window.partitionBy(key).orderBy("order")
-    dealt = entries.withColumn("i", F.row_number().over(at) - 1).withColumn("n", F.floor(F.col("i") / PART).cast("int"))
-    held = dealt.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("i", "entry"))).alias("e"))  # at most PART
-    text = F.array_join(F.col("e.entry"), ",")
-    return held.select(key, F.lit(first).alias("section"), "n", F.when(F.col("n") > 0, F.concat(F.lit(","), text)).otherwise(text).alias("text"))
+def _parts(entries: DataFrame, key: str, text: Column) -> DataFrame:
+    """Entries (key, section, binary_id, i, known) as parts of PART entries, joined by commas; every part of a section but its first begins with one.
+
+    Entries are dealt by their key once, as columns; their texts are written where they are joined.
+    """
+    order = Window.partitionBy(key).orderBy("section", "binary_id", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(key, "section").orderBy("binary_id", "i")
+    # a package's head is its first entry: what follows no head belongs to no package
+    dealt = entries.withColumn("known", F.max("known").over(order)).withColumn("at", F.row_number().over(within) - 1).filter("known")
+    dealt = dealt.select(key, "section", F.floor(F.col("at") / PART).cast("int").alias("n"), "at", text.alias("entry"))
+    held = dealt.groupBy(key, "section", "n").agg(F.array_sort(F.collect_list(F.struct("at", "entry"))).alias("e"))  # at most PART
+    joined = F.array_join(F.col("e.entry"), ",")
+    return held.select(key, "section", "n", F.when(F.col("n") > 0, F.concat(F.lit(","), joined)).otherwise(joined).alias("text"))
 
 
 def document_parts(packages: DataFrame, binaries: DataFrame, behaviours: DataFrame, findings: DataFrame, key: str, as_of: str) -> DataFrame:
@@ -38,27 +42,24 @@ def document_parts(packages: DataFrame, binaries: DataFrame, behaviours: DataFra
     component = F.struct(F.lit("library").alias("type"), ref.alias("bom-ref"), "name", "version", ref.alias("purl"), own.alias("properties"))
     tool = F.struct(F.array(F.struct(F.lit("application").alias("type"), F.lit(TOOL).alias("name"))).alias("components"))
     head = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.concat(F.lit("urn:uuid:"), uuid).alias("serialNumber"), F.lit(1).alias("version"), F.struct(F.lit(as_of).alias("timestamp"), tool.alias("tools"), component.alias("component")).alias("metadata"))
-    packages = checkpointed(packages)
     # the head's closing brace is left off, and put at the end
-    start = packages.select(key, F.lit(0).alias("section"), F.lit(0).alias("n"), F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"components":[')).alias("text"))
-    middle = packages.select(key, F.lit(2).alias("section"), F.lit(0).alias("n"), F.lit('],"vulnerabilities":[').alias("text"))
-    end = packages.select(key, F.lit(4).alias("section"), F.lit(0).alias("n"), F.lit("]}").alias("text"))
+    frame = [(0, F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"components":['))), (2, F.lit('],"vulnerabilities":[')), (4, F.lit("]}"))]
+    rows = packages.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("section"), text.alias("frame")) for n, text in frame])).alias("f")).select(key, "f.*", (F.col("f.section") == 0).alias("known"))
     shown = behaviours.groupBy("binary_id").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit(f"{TOOL}:behavior:"), "behaviour").alias("name"), F.col("details").alias("value")))).alias("shown"))
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    told = F.concat(F.coalesce("shown", none), F.array(*[_property(n, F.col(c)) for n, c in (("riskScore", "risk_score"), ("riskLevel", "risk_level"), ("format", "format"), ("architecture", "architecture"))]))
-    hashes = F.when(F.col("sha256").isNotNull(), F.array(F.struct(F.lit("SHA-256").alias("alg"), F.col("sha256").alias("content")))).otherwise(F.array().cast("array<struct<alg:string,content:string>>"))
-    file = F.struct(F.lit("file").alias("type"), F.col("binary_id").alias("bom-ref"), F.col("filename").alias("name"), hashes.alias("hashes"), told.alias("properties"))
-    files = binaries.join(shown.hint("merge"), "binary_id", "left").select(key, F.struct("binary_id").alias("order"), F.to_json(file).alias("entry"))
+    told = binaries.filter(F.col(key).isNotNull()).join(shown.hint("merge"), "binary_id", "left")
+    told = told.select(key, F.lit(1).alias("section"), "binary_id", F.struct("filename", "sha256", "risk_score", "risk_level", "format", "architecture", "shown").alias("b"))
     by = Window.partitionBy("binary_id").orderBy("title", "description", "severity")
-    numbered = findings.withColumn("i", F.row_number().over(by) - 1)
+    numbered = findings.withColumn("i", F.row_number().over(by) - 1).filter(F.col(key).isNotNull())
+    numbered = numbered.select(key, F.lit(3).alias("section"), "binary_id", "i", F.struct("title", "description", "recommendation", "severity").alias("f"))
+    rows = rows.unionByName(told, True).unionByName(numbered, True)
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    told = F.concat(F.coalesce("b.shown", none), F.array(*[_property(n, F.col(c)) for n, c in (("riskScore", "b.risk_score"), ("riskLevel", "b.risk_level"), ("format", "b.format"), ("architecture", "b.architecture"))]))
+    hashes = F.when(F.col("b.sha256").isNotNull(), F.array(F.struct(F.lit("SHA-256").alias("alg"), F.col("b.sha256").alias("content")))).otherwise(F.array().cast("array<struct<alg:string,content:string>>"))
+    file = F.struct(F.lit("file").alias("type"), F.col("binary_id").alias("bom-ref"), F.col("b.filename").alias("name"), hashes.alias("hashes"), told.alias("properties"))
     name = F.concat_ws("-", "binary_id", F.col("i").cast("string"))
-    rating = F.array(F.struct(F.col("severity").alias("severity"), F.struct(F.lit("other").alias("value")).alias("method")))
-    vulnerability = F.struct(F.concat(F.lit("vuln-"), name).alias("bom-ref"), F.concat(F.lit("RLM-"), name).alias("id"), "description", F.col("title").alias("detail"), "recommendation", F.struct(F.lit(TOOL).alias("name")).alias("source"), rating.alias("ratings"), F.array(F.struct(F.col("binary_id").alias("ref"))).alias("affects"))
-    vulnerabilities = numbered.select(key, F.struct("binary_id", "i").alias("order"), F.to_json(vulnerability).alias("entry"))
-    known = packages.select(key).hint("merge")
-    parts = start.unionByName(middle).unionByName(end)
-    for section, entries in ((1, files), (3, vulnerabilities)):
-        parts = parts.unionByName(_parts(entries.join(known, key, "left_semi"), key, section))
+    rating = F.array(F.struct(F.col("f.severity").alias("severity"), F.struct(F.lit("other").alias("value")).alias("method")))
+    vulnerability = F.struct(F.concat(F.lit("vuln-"), name).alias("bom-ref"), F.concat(F.lit("RLM-"), name).alias("id"), "f.description", F.col("f.title").alias("detail"), "f.recommendation", F.struct(F.lit(TOOL).alias("name")).alias("source"), rating.alias("ratings"), F.array(F.struct(F.col("binary_id").alias("ref"))).alias("affects"))
+    parts = _parts(rows, key, F.when(F.col("section") == 1, F.to_json(file)).when(F.col("section") == 3, F.to_json(vulnerability)).otherwise(F.col("frame")))
     # sections and parts of a package, not its entries
     order = Window.partitionBy(key).orderBy("section", "n")
     return parts.select(key, (F.row_number().over(order) - 1).cast("int").alias("part"), "text")

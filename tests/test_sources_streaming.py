@@ -97,6 +97,20 @@ def test_sbom_export(spark, monkeypatch, part):
     assert [(v["bom-ref"], v["description"], v["ratings"][0]["severity"], v["affects"]) for v in docs[1]["vulnerabilities"]] == [("vuln-b1-0", "d1", "low", [{"ref": "b1"}]), ("vuln-b1-1", "d2", "high", [{"ref": "b1"}]), ("vuln-b4-0", "d", "info", [{"ref": "b4"}])]
 
 
+def test_sbom_entries_are_dealt_by_package_once(spark):
+    p = spark.createDataFrame([(1, "npm", "a", "1", 5, "low"), (None, "npm", "b", "1", 5, "low")], "k int, ecosystem string, name string, version string, risk_score int, risk_level string")
+    b = spark.createDataFrame([(k, f"b{k}", "f", None, 1, "low", "elf", "arm64") for k in (None, 1, 7)], "k int, binary_id string, filename string, sha256 string, risk_score int, risk_level string, format string, architecture string")
+    shown = spark.createDataFrame([("b1", "network", "x")], "binary_id string, behaviour string, details string")
+    f = spark.createDataFrame([(k, f"b{k}", "t", "d", "r", "low") for k in (None, 1, 7)], "k int, binary_id string, title string, description string, recommendation string, severity string")
+    parts = sbom.document_parts(p, b, shown, f, "k", "2024-01-01")
+    docs = {k: json.loads("".join(x.text for x in sorted(parts.collect(), key=lambda x: x.part) if x.k == k)) for k in (None, 1)}
+    assert {x.k for x in parts.collect()} == {None, 1}
+    assert docs[None]["components"] == docs[None]["vulnerabilities"] == [] and len(docs[1]["components"]) == len(docs[1]["vulnerabilities"]) == 1
+    # binaries, behaviours and findings by binary, and all entries by package
+    plan = parts.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4, plan
+
+
 def run(stream, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
