@@ -97,3 +97,15 @@ def test_summary_counts_in_the_singular(spark):
     df = spark.createDataFrame([(1, 0, 1, 0), (2, 80, 0, 3)], "n int, r int, c int, o int")
     got = [r[0] for r in df.select(texts.audit_summary(*map(F.col, "nrco"))).collect()]
     assert got == ["1 package in graph; no risk scores recorded; 1 circular dep detected; no orphaned deps.", "2 packages in graph; CRITICAL max-transitive risk score 80/100; no circular deps; 3 orphaned deps."]
+
+
+def test_chains_by_numbers_or_parts_of_names_are_found_without_a_plain_mention(spark):
+    rows = [
+        ("numbers", "MOV EAX, 39 ; mov rax, 0x3b ; mov eax, 29"),
+        ("parts", "my_UNSHAREd(x); do_Pivot_Root2(y)"),
+        ("order", "pivot_root(y) unshare(x)"),
+        ("no call", "unshare and pivot_root"),
+        ("none", None),
+    ]
+    got = {r["k"]: r["signatures"] for r in signatures.call_chains(spark.createDataFrame(rows, "k string, t string"), "t", ["k"]).collect()}
+    assert got == {"numbers": "fork_exec_socket_c2", "parts": "unshare_pivot_root_escape"}
