@@ -15,7 +15,8 @@ copies costs n comparisons.  A pair meets in its first common bucket only.
 
 A large group of copies that are alike but mostly not linked would cost n * n there.  After the first round its members
 are therefore split by shingles: a pair either has a rare shingle in common, and is found by a join on these, or it
-has only common ones, of which most members have too few to be linked with anything.  Both bounds are exact.
+has only common ones, of which most members have too few to be linked with anything.  Both bounds are exact.  If what is
+left then can be compared with each other for at most DIRECT comparisons a member on average, one round does that.
 
 A node is named by 64 bits of its set's digest.
 
@@ -41,6 +42,8 @@ from .graph import components
 from .tokens import mix, shingle_set, shingle_sets
 
 BINS, BANDS, ROWS, SHINGLE, PERCENT, CENTRES, DIFFER, RARE = 128, 32, 4, 5, 75, 64, 34, 8
+#: Comparisons by sketch a member on average, and members of the largest bucket, up to which all members are centres.
+DIRECT, LARGEST = 1024, 4096
 #: Bytes of the texts that are signed at once.
 TOGETHER = 1 << 18
 #: Each bin's own random order of all bins, itself first.
@@ -141,7 +144,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     known = labels.hint("merge")
     ends = links.join(known.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(known.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
     ends = saved(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
-    merged = saved(components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+    merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     fresh = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("node"), F.col("lb").alias("label")))
     every = labels.unionByName(fresh).distinct()
     return saved(every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
@@ -175,7 +178,7 @@ def by_rare_shingles(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, Data
     known = saved(tokens.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"))
     common = tokens.select("node", "item").join(known.filter(F.col("df") > RARE).select("item").hint("merge"), "item").groupBy("node").agg(F.count("*").alias("k"))
     k = saved(nodes.select("node").join(common.hint("merge"), "node", "left").select("node", F.coalesce("k", F.lit(0)).alias("k")))
-    rare = saved(tokens.join(known.filter(F.col("df") <= RARE).select("item").hint("merge"), "item"))
+    rare = tokens.join(known.filter(F.col("df") <= RARE).select("item").hint("merge"), "item")
     left = rare.select("item", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
     right = rare.select("item", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
     met = left.join(right.hint("merge"), "item").filter("a < b and la <> lb").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
@@ -187,13 +190,14 @@ def star_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
     """node and label of the linked nodes in buckets (h, band, node, n, score, s1, s2, bands); None if there are no buckets.
 
     The first round has one centre a bucket, its member of highest score.  What isn't one component then is ruled out
-    by its shingles where possible; the rest goes through rounds of CENTRES centres and eight times as many each time.
+    by its shingles where possible; the rest is compared in one round where DIRECT and LARGEST allow it, else in rounds
+    of CENTRES centres and eight times as many each time.
     """
     if buckets.isEmpty():
         return None
     every = buckets.withColumn("k", F.col("n")).withColumn("label", F.col("node"))
     centres = saved(centres_of(every, "h"))
-    labels = saved(components(saved(linked(pairs_of(stars(every, centres)), sets))))
+    labels = saved(components(linked(pairs_of(stars(every, centres)), sets)))
 
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -203,12 +207,17 @@ def star_components(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
     if rest.isEmpty():
         return labels
     pairs, k = by_rare_shingles(saved(labelled(rest.select("node").distinct())), sets)
-    labels = relabelled(labels, saved(linked(saved(pairs), sets)))
+    labels = relabelled(labels, saved(linked(pairs, sets)))
     rest, many = rest.join(k.hint("merge"), "node"), CENTRES
     while True:
         rest = saved(undone(labelled(rest)))
-        if rest.isEmpty():
+        rows, met, largest = rest.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+        if not rows:
             return labels
+        if met <= DIRECT * rows and largest <= LARGEST:
+            centres = rest.select("h", F.struct("node", "n", "k", "s1", "s2", "bands", "label").alias("c"))
+            pairs = stars(rest, centres).filter("node < c").withColumnsRenamed({"node": "a", "c": "b"})
+            return relabelled(labels, saved(linked(pairs, sets)))
         rest = rest.withColumn("salt", F.when(F.col("size") <= many, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(many))))
         centres = saved(centres_of(rest, "h", "salt").drop("salt"))
         labels = relabelled(labels, saved(linked(pairs_of(stars(rest, centres)), sets)))

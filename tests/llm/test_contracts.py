@@ -133,6 +133,23 @@ def test_large_loose_groups_lose_no_link(spark, with_base):
     assert [got[i] for i in range(len(rows))] == comp and 20 < len(set(comp)) < len(rows)
 
 
+@pytest.mark.parametrize("direct", [minhash.DIRECT, 0])
+def test_what_can_be_compared_at_once_takes_one_round(spark, monkeypatch, direct):
+    r, words = random.Random(8), [f"b{i}" for i in range(150)]
+    rows = []
+    for _ in range(200):
+        w = words[:]
+        for _ in range(r.randint(2, 12)):
+            w[r.randrange(150)] = f"n{r.randrange(6)}"
+        rows.append((len(rows), " ".join(w)))
+    _, comp = brute.near_duplicates([t for _, t in rows])
+    calls, own = [], minhash.undone
+    monkeypatch.setattr(minhash, "DIRECT", direct)
+    monkeypatch.setattr(minhash, "undone", lambda members: calls.append(1) or own(members))
+    got = dict(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(rows))] == comp and (len(calls) == 2) == (direct > 0)
+
+
 def test_shards(docs, empty):
     rows = sharding.hilbert_shards(docs, 5).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((r[0], len((r[1] or "").encode()) + 16, brute.crc(r[1])) for r in ROWS)
