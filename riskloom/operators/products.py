@@ -156,19 +156,13 @@ def trusted_source(source: Column, trusted: Column) -> Column:
     return F.coalesce(source.isNotNull() & (source != "") & F.exists(F.coalesce(trusted, F.array().cast("array<string>")), one), F.lit(False))
 
 
-def confusion_rules(packages: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Packages (package_id, name, resolved_from) whose name matches a pattern without a trusted source, by rule.
-
-    patterns: org_id, watchlist_id, internal_package_pattern, trusted_domains.  Watchlists of equal pattern and domains are
-    one rule, named by the least of them: the hits (rule, package_id, name) are found once a rule, and its members (rule,
-    org_id, watchlist_id) are the other table.  Patterns that begin with literals are joined on these, so only names that
-    begin alike are tested; the others are counted, and tested against all names in blocks of PATTERNS.  Patterns that
-    can't be read match nothing.
-    """
+def _by_rule(packages: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits (no, rule, package_id, name) and members (no, rule, org_id, watchlist_id) of rules, as confusion_rules() says; no is one of each rule."""
     patterns = patterns.filter("internal_package_pattern is not null and internal_package_pattern <> ''")
     same = (F.col("pattern") == F.col("internal_package_pattern")) & F.col("d").eqNullSafe(F.col("trusted_domains"))
-    rules = checkpointed(patterns.groupBy(F.col("internal_package_pattern").alias("pattern"), F.col("trusted_domains").alias("d")).agg(F.min("watchlist_id").alias("rule")))
-    members = patterns.join(rules.hint("merge"), same).select("rule", "org_id", "watchlist_id")
+    rules = patterns.groupBy(F.col("internal_package_pattern").alias("pattern"), F.col("trusted_domains").alias("d")).agg(F.min("watchlist_id").alias("rule"))
+    rules = checkpointed(rules.withColumn("no", F.monotonically_increasing_id()))
+    members = patterns.join(rules.hint("merge"), same).select("no", "rule", "org_id", "watchlist_id")
     one = rules.select("pattern").distinct()
     one = checkpointed(one.filter(F.pandas_udf(_compiles, "boolean")("pattern")).withColumn("starts", literal_prefixes(F.col("pattern"))))
     names = packages.select("name").distinct()
@@ -183,13 +177,48 @@ def confusion_rules(packages: DataFrame, patterns: DataFrame) -> tuple[DataFrame
         hits = hits.unionByName(names.join(block, F.expr("name rlike pattern")).select("name", "pattern"))
     hits = checkpointed(hits.distinct())
     found = packages.select("package_id", "name", "resolved_from").join(hits.hint("merge"), "name").join(rules.hint("merge"), "pattern")
-    return found.filter(~trusted_source(F.col("resolved_from"), F.col("d"))).select("rule", "package_id", "name"), members
+    return found.filter(~trusted_source(F.col("resolved_from"), F.col("d"))).select("no", "rule", "package_id", "name"), members
+
+
+def confusion_rules(packages: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packages (package_id, name, resolved_from) whose name matches a pattern without a trusted source, by rule.
+
+    patterns: org_id, watchlist_id, internal_package_pattern, trusted_domains.  Watchlists of equal pattern and domains are
+    one rule, named by the least of them: the hits (rule, package_id, name) are found once a rule, and its members (rule,
+    org_id, watchlist_id) are the other table.  Patterns that begin with literals are joined on these, so only names that
+    begin alike are tested; the others are counted, and tested against all names in blocks of PATTERNS.  Patterns that
+    can't be read match nothing.
+    """
+    hits, members = _by_rule(packages, patterns)
+    return hits.drop("no"), members.drop("no")
+
+
+#: Hits and watchlists of a rule that meet in a block, rules whose sizes are broadcast, tasks that write blocks.
+HITS, MEMBERS, SIZES, TASKS = 1000, 10_000, 200_000, 2000
 
 
 def confusion_hits(packages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The hits of confusion_rules() for each watchlist (org_id, watchlist_id, package_id, name); its rows are pairs."""
-    hits, members = confusion_rules(packages, patterns)
-    return hits.join(members.hint("merge"), "rule").select("org_id", "watchlist_id", "package_id", "name")
+    """Packages as in confusion_rules() for each watchlist that they hit (org_id, watchlist_id, package_id, name); its rows are pairs.
+
+    Few rules may have most hits and most watchlists.  So a rule's hits are dealt to slots and its watchlists to lists, and
+    every slot meets every list in a block: what is shuffled is a row a hit and list and an entry a watchlist and slot,
+    and pairs are written where they meet.
+    """
+    hits, members = [checkpointed(x.drop("rule")) for x in _by_rule(packages, patterns)]
+    slots = hits.groupBy("no").agg(F.ceil(F.count("*") / HITS).alias("slots"))
+    lists = members.groupBy("no").agg(F.ceil(F.count("*") / MEMBERS).alias("lists"))
+    sizes = checkpointed(slots.join(lists.hint("merge"), "no"))
+    n, blocks = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("slots") * F.col("lists")), F.lit(1))).first()
+    sizes = F.broadcast(sizes) if n <= SIZES else sizes.hint("merge")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    at = ["no", "slot", "list"]
+    hit = hits.join(sizes, "no").select("no", F.pmod(F.xxhash64("package_id", "name"), F.col("slots")).alias("slot"), every("lists").alias("list"), "package_id", "name")
+    listed = members.join(sizes, "no").groupBy("no", "slots", F.pmod(F.xxhash64("org_id", "watchlist_id"), F.col("lists")).alias("list")).agg(F.collect_list(F.struct("org_id", "watchlist_id")).alias("of"))
+    listed = listed.select("no", every("slots").alias("slot"), "list", "of")
+    # numbered, so that few bytes that make many rows aren't put into one task
+    tasks = min(blocks, TASKS)
+    met = hit.repartition(tasks, *at).join(listed.repartition(tasks, *at).hint("merge"), at)
+    return met.select(F.inline("of"), "package_id", "name")
 
 
 def timestamp_skew(files: DataFrame, keys: list[str], at: str, most: int = 48 * 3600) -> DataFrame:

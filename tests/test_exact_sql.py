@@ -82,3 +82,13 @@ def test_confusion_rules_are_hit_once(spark):
     assert sorted(map(tuple, hits.collect())) == [(0, 1, "a-b"), (0, 2, "a-c"), (1, 1, "a-b")]
     assert {tuple(x) for x in members.collect()} == {(i % 2, i, i) for i in range(1000)}
     assert products.confusion_hits(packages, lists).count() == 1500
+
+
+def test_confusion_query_has_every_watchlist(spark, sf, folder):
+    """The query's rows are packages by watchlist, also where many watchlists have a rule in common."""
+    one = spark.read.parquet(f"{sf}/supplier.parquet").limit(1)
+    at = folder(supplier=one.drop("s_suppkey").crossJoin(spark.range(120).withColumnRenamed("id", "s_suppkey")).select(one.columns).coalesce(1))
+    got = queries.QUERIES["j3_confusion_hits"](spark, at)
+    assert sorted(got.columns) == ["name", "org_id", "package_id", "watchlist_id"]
+    assert compare.differences(got, compare.connect(at), queries.ORACLES["j3_confusion_hits"]) == []
+    assert got.groupBy("package_id").count().filter("count >= 8").count() > 0

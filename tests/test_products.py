@@ -73,6 +73,18 @@ def test_confusion_hits(spark, monkeypatch, block):
     assert {(x.watchlist_id, x.package_id) for x in got.collect()} == want and got.count() == len(want)
 
 
+def test_confusion_hits_in_blocks(spark, monkeypatch):
+    """Hits and watchlists of a rule meet in small blocks, each once; a watchlist may have several rules."""
+    monkeypatch.setattr(products, "HITS", 3)
+    monkeypatch.setattr(products, "MEMBERS", 4)
+    lists = [(i % 3, i, ["^a-", "^b", "[05]$"][i % 3], ["x.test"] if i % 2 else None) for i in range(60)] + [(0, 0, "^b", None), (0, 0, "^c", None)]
+    names = [f"{'abc'[i % 3]}-{i}" for i in range(40)]
+    rows = [(i, n, "https://x.test/q" if i % 4 == 0 else None) for i, n in enumerate(names)]
+    want = sorted((o, w, k, n) for o, w, p, d in lists for k, n, s in rows if re.search(p, n) and not (d and s))
+    got = products.confusion_hits(table(spark, rows, "package_id int, name string, resolved_from string"), table(spark, lists, "org_id int, watchlist_id int, internal_package_pattern string, trusted_domains array<string>"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 600
+
+
 def test_timestamp_skew(spark):
     r = random.Random(1)
     rows = [(k, r.choice([None, *range(0, 400_000, 1000), 172_800, 172_801])) for k in range(12) for _ in range(k)]
