@@ -4,11 +4,14 @@ import base64
 import datetime
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import sbom, similarity
+from riskloom.plans.queries import QUERIES
 from riskloom.sources import feeds, files, lockfiles
 from riskloom.streaming import jobs
 
@@ -111,6 +114,48 @@ def test_sbom_entries_are_dealt_by_package_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 4, plan
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_sbom_texts_across_batches(spark, monkeypatch, rows):
+    """Packages that are cut by batches, unknown ones, binaries of two packages, and digests that aren't lower-case hex."""
+    monkeypatch.setattr(sbom, "PART", 2)
+    r = random.Random(5)
+    p = spark.createDataFrame([(f"k{k}", "npm", f"n{k}", "1", k, "low") for k in range(0, 12, 2)], "k string, ecosystem string, name string, version string, risk_score int, risk_level string")
+    held = sorted({(f"k{r.randrange(12)}", f"b{r.randrange(25)}") for _ in range(60)})
+    digests = ["00ff", "00FF", "0", "", None, "zz"]
+    b = spark.createDataFrame([(k, x, "f", digests[int(x[1:]) % 6], 1, "low", "elf", "arm64") for k, x in held], "k string, binary_id string, filename string, sha256 string, risk_score int, risk_level string, format string, architecture string")
+    shown = spark.createDataFrame([(f"b{i}", "network", f"{i}") for i in range(0, 40, 3)] + [(None, "x", "y")], "binary_id string, behaviour string, details string")
+    said = [(*r.choice(held), f"t{r.randrange(3)}", f"d{r.randrange(99)}", "r", "low") for _ in range(50)]
+    f = spark.createDataFrame(said, "k string, binary_id string, title string, description string, recommendation string, severity string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        parts = sbom.document_parts(p, b, shown, f, "k", "2024-01-01").collect()
+        whole = dict(sbom.documents(p, b, shown, f, "k", "2024-01-01").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(whole) == {f"k{k}" for k in range(0, 12, 2)} == {x.k for x in parts} and len(whole) == 6
+    for k, text in whole.items():
+        mine = sorted((x.part, x.text) for x in parts if x.k == k)
+        assert [n for n, _ in mine] == list(range(len(mine))) and "".join(t for _, t in mine) == text
+        doc = json.loads(text)
+        ids = [x for q, x in held if q == k]
+        assert [c["bom-ref"] for c in doc["components"]] == sorted(ids)
+        for c in doc["components"]:
+            n = int(c["bom-ref"][1:])
+            assert [h["content"] for h in c["hashes"]] == [d for d in [digests[n % 6]] if d is not None]
+            assert [x["value"] for x in c["properties"]][:-4] == ([str(n)] if n % 3 == 0 else [])
+        want = sorted((x, t, d) for q, x, t, d, *_ in said if q == k)
+        assert [(v["affects"][0]["ref"], v["detail"], v["description"]) for v in doc["vulnerabilities"]] == want
+        assert [v["id"] for v in doc["vulnerabilities"]] == [f"RLM-{x}-{sum(y[0] == x for y in want[:i])}" for i, (x, *_) in enumerate(want)]
+
+
+def test_sbom_binaries_are_dealt_and_sorted_once(spark, sf):
+    """Only the entries by package are dealt and sorted whole, and no text is."""
+    plan = QUERIES["k5_sbom_documents"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("collect_list") <= 2, plan
+    assert "text#" not in plan.split("Window", 1)[1]
+    assert len(re.findall(r"\bSort \[", plan)) <= 3, plan
+
+
 def run(stream, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
